@@ -37,8 +37,8 @@ def _(t):
 
 @query(
     "sink_upsert",
-    """SELECT student_id, date, subject, status, notes FROM (SELECT *, row_number() OVER (PARTITION BY student_id, date, subject ORDER BY at DESC, id DESC) AS rn FROM (
- SELECT id, student_id, date, subject, status, notes, updated_at AS at FROM attendance UNION ALL SELECT seq, student_id, date, nullif(subject, ''), status, notes, changed_at FROM change_log) u) x WHERE rn = 1""",
+    """SELECT student_id, date, subject, status, notes FROM (SELECT *, row_number() OVER (PARTITION BY student_id, date, subject ORDER BY changed DESC, id DESC) AS rn FROM (
+ SELECT id, student_id, date, subject, status, notes, updated_at AS changed FROM attendance UNION ALL SELECT seq, student_id, date, nullif(subject, ''), status, notes, changed_at FROM change_log) u) x WHERE rn = 1""",
 )
 def _(t):
     columns = ["id", "student_id", "date", "subject", "status", "notes", "updated_at"]

@@ -62,13 +62,18 @@ class Tables:
             self.assignment_students, self.assignment_teachers,
         )
 
+    def _roster(self, *month: int) -> DataFrame:
+        return build_roster(
+            self.slots, self.students, self.teachers, self.student_subject_tuition, self.hidden_attendance_rows, *month
+        )
+
     @cached_property
     def roster(self) -> DataFrame:
-        return build_roster(self.slots, self.student_subject_tuition, self.hidden_attendance_rows, YEAR, MONTH)
+        return self._roster(YEAR, MONTH)
 
     @cached_property
     def roster_all(self) -> DataFrame:
-        return build_roster(self.slots, self.student_subject_tuition, self.hidden_attendance_rows)
+        return self._roster()
 
     @cached_property
     def records(self) -> DataFrame:
@@ -115,5 +120,16 @@ def plain(df: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
+_TABLES: dict[tuple[str, int, str], Tables] = {}
+
+
+def tables(spark: SparkSession, sf_dir: str) -> Tables:
+    """The tables of a folder, analysed once per session."""
+    key = (spark.sparkContext.applicationId, id(spark), sf_dir)
+    if key not in _TABLES:
+        _TABLES[key] = Tables(spark, sf_dir)
+    return _TABLES[key]
+
+
 def run(name: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return plain(QUERIES[name](Tables(spark, sf_dir)))
+    return plain(QUERIES[name](tables(spark, sf_dir)))

@@ -173,7 +173,7 @@ def _(t):
     )
     # a set of weekdays has at most seven members
     listed = t.assignment_students.join(weekdays, "assignment_id").groupBy("student_id", "subject").agg(
-        F.array_sort(F.collect_set("weekday")).alias("days")
+        F.sort_array(F.collect_set("weekday")).alias("days")
     )
     return listed.withColumn("days", F.array_join(F.transform("days", lambda d: d.cast("string")), ","))
 
@@ -187,7 +187,7 @@ def _(t):
     pairs = t.assignment_students.join(t.assignment_teachers, "assignment_id").join(teachers, "teacher_id")
     distinct = pairs.select("student_id", "name").distinct()
     return distinct.groupBy("student_id").agg(
-        F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("teachers")
+        F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("teachers")
     )
 
 
@@ -321,9 +321,11 @@ def _(t):
 
 @query("w_first_teacher", "SELECT student_id, subject, teacher_name FROM o_rows")
 def _(t):
-    rows = t.slots.select("student_id", "subject", "start_min", "end_min", "teacher_name")
-    order = [F.col("start_min"), F.col("end_min"), *nulls_last("teacher_name")]
-    return first_per_key(rows, ["student_id", "subject"], order).select("student_id", "subject", "teacher_name")
+    rows = t.slots.select("student_id", "subject", "start_min", "end_min", "teacher_ref")
+    order = [F.col("start_min"), F.col("end_min"), *nulls_last("teacher_ref")]
+    first = first_per_key(rows, ["student_id", "subject"], order)
+    names = t.teachers.select(F.col("id").alias("teacher_ref"), F.col("name").alias("teacher_name"))
+    return first.join(names, "teacher_ref", "left").select("student_id", "subject", "teacher_name")
 
 
 @query(

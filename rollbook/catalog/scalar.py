@@ -226,7 +226,7 @@ def _(t):
     rows = sets.groupBy("student_id").agg(F.collect_list(F.struct("days")).alias("schedules"))
     union = days.days_union("schedules", F.lit(None).cast("string"))
     codes = F.transform(union, lambda d: days.days_text(F.array(d)))
-    return rows.select("student_id", F.array_join(F.array_sort(codes), ",").alias("days"))
+    return rows.select("student_id", F.array_join(F.sort_array(codes), ",").alias("days"))
 
 
 @query(

@@ -149,21 +149,22 @@ SELECT student_id, subject, date, status FROM (
  SELECT *, row_number() OVER (PARTITION BY student_id, subject, date ORDER BY original_id DESC, id DESC) AS rn FROM o_records) t WHERE rn = 1""",
     "o_slots": f"""
 SELECT min(s.id) AS student_id, max(s.student_id) AS external_id, s.name, s.korean_name, max(s.english_name) AS english_name, max(s.color_keyword) AS color_keyword,
- a.subject, t.name AS teacher_name, ts.start_min, ts.end_min, {_DAY_TEXT.format(dow=_DOW)} AS days
+ a.subject, t.name AS teacher_name, min(r.ref) AS teacher_ref, ts.start_min, ts.end_min, {_DAY_TEXT.format(dow=_DOW)} AS days
 FROM assignment_students x JOIN students s ON s.id = x.student_id JOIN assignments a ON a.id = x.assignment_id
 JOIN time_slots ts ON ts.id = a.time_slot_id LEFT JOIN assignment_teachers y ON y.assignment_id = a.id LEFT JOIN teachers t ON t.id = y.teacher_id
+LEFT JOIN (SELECT name, min(id) AS ref FROM teachers GROUP BY name) r ON r.name = t.name
 WHERE a.is_active AND s.is_active GROUP BY s.name, s.korean_name, a.subject, t.name, ts.start_min, ts.end_min""",
     "o_rows": """
 SELECT student_id, subject, teacher_name FROM (
- SELECT *, row_number() OVER (PARTITION BY student_id, subject ORDER BY start_min, end_min, teacher_name NULLS LAST) AS rn FROM o_slots) t WHERE rn = 1""",
+ SELECT *, row_number() OVER (PARTITION BY student_id, subject ORDER BY start_min, end_min, teacher_ref NULLS LAST) AS rn FROM o_slots) t WHERE rn = 1""",
     "o_info": """
 SELECT student_id, external_id, name, korean_name, english_name, color_keyword FROM (
- SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY subject NULLS LAST, start_min, end_min, teacher_name NULLS LAST) AS rn FROM o_slots) t WHERE rn = 1""",
+ SELECT *, row_number() OVER (PARTITION BY student_id ORDER BY subject NULLS LAST, start_min, end_min, teacher_ref NULLS LAST) AS rn FROM o_slots) t WHERE rn = 1""",
     "o_merged": """
 SELECT student_id, subject, days, min(start_min) AS start_min, arg_max(end_min, seq) AS end_min FROM (
  SELECT *, sum(CASE WHEN prev_end = start_min THEN 0 ELSE 1 END) OVER (PARTITION BY student_id, subject, days ORDER BY seq) AS island FROM (
   SELECT *, lag(end_min) OVER w AS prev_end, row_number() OVER w AS seq FROM o_slots
-  WINDOW w AS (PARTITION BY student_id, subject, days ORDER BY start_min, end_min, teacher_name NULLS LAST)) p) q
+  WINDOW w AS (PARTITION BY student_id, subject, days ORDER BY start_min, end_min, teacher_ref NULLS LAST)) p) q
 GROUP BY student_id, subject, days, island""",
     "o_schedules": f"""
 SELECT student_id, subject, count(*) AS n_schedules,

@@ -71,5 +71,5 @@ def nested_groups(
     ``bucket`` keeps every array short: a key with very many rows is written as several
     array rows next to each other instead of one huge value.
     """
-    items = F.array_sort(F.collect_list(F.struct(*fields)))
+    items = F.sort_array(F.collect_list(F.struct(*fields)))
     return rows.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("n_items"), items.alias(name))

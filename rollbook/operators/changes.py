@@ -85,8 +85,8 @@ def set_records(
         F.struct("updated_at", "id", "notes").alias("_stored"),
     )
     kinds = {f.name: f.dataType for f in state.schema.fields}
-    new = changes.select(
-        "student_id", "date", blank_to_null("subject").alias("subject"),
+    new = changes.withColumn("subject", blank_to_null("subject")).select(
+        *CELL,
         *_lone(null_subject_mode, F.concat(F.lit("c"), F.col("seq").cast("string"))),
         F.struct(
             F.col("changed_at").alias("at"), F.col("seq").cast("long").alias("seq"), "status",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.dates import time12, time_range, weekday_num, weekday_of
@@ -12,12 +12,9 @@ from rollbook.functions.days import mask_has, mask_text, mask_union
 from rollbook.functions.names import blank_to_null, row_key
 from rollbook.functions.predicates import hidden_as_of
 from rollbook.operators.compaction import nulls_last
-from rollbook.operators.joins import drop_known
+from rollbook.operators.joins import drop_known, null_safe_join
 from rollbook.operators.slots import merge_slots
 
-_INFO = ("name", "korean_name", "english_name", "color_keyword", "external_id")
-
-
 def schedule_slots(
     students: DataFrame,
     teachers: DataFrame,
@@ -29,30 +26,31 @@ def schedule_slots(
 ) -> DataFrame:
     """Active assignments per person, subject, teacher and slot with the set of weekdays.
 
-    Students of equal name and Korean name count as one; their lowest id stands for them.
-    ``canonical`` (``id``, ``canonical_id``) replaces that id.
+    Students of equal name and Korean name count as one (``name_id``, their lowest id), as
+    do teachers of equal name (``teacher_ref``); the lowest student id of a row stands for
+    it. Names stay out: rows are grouped and sorted on numbers and meet the names last.
+    ``canonical`` (``id``, ``canonical_id``) replaces the student id.
     """
     live = assignments.filter("is_active").select(
         F.col("id").alias("assignment_id"), "subject", "time_slot_id",
         weekday_num("date").alias("weekday"),
     )
-    people = students.filter("is_active").select(
-        F.col("id").alias("sid"), "name", "korean_name", "english_name", "color_keyword",
+    active = students.filter("is_active")
+    alike = active.groupBy("name", "korean_name").agg(F.min("id").alias("name_id"))
+    people = null_safe_join(active, alike, ["name", "korean_name"], "inner").select(
+        F.col("id").alias("student_id"), "name_id", "english_name", "color_keyword",
         F.col("student_id").alias("external_id"),
     )
     slots = time_slots.select(F.col("id").alias("time_slot_id"), "start_min", "end_min")
-    teacher_names = teachers.select(F.col("id").alias("teacher_id"), F.col("name").alias("teacher_name"))
     joined = (
         live.join(slots, "time_slot_id")
         .join(assignment_students, "assignment_id")
-        .join(people, F.col("student_id") == F.col("sid"))
+        .join(people, "student_id")
         .join(assignment_teachers, "assignment_id", "left")
-        .join(teacher_names, "teacher_id", "left")
+        .join(teacher_refs(teachers), "teacher_id", "left")
     )
-    grouped = joined.groupBy(
-        "name", "korean_name", "subject", "teacher_name", "start_min", "end_min"
-    ).agg(
-        F.min("sid").alias("student_id"),
+    grouped = joined.groupBy("name_id", "subject", "teacher_ref", "start_min", "end_min").agg(
+        F.min("student_id").alias("student_id"),
         F.max("external_id").alias("external_id"),
         F.max("english_name").alias("english_name"),
         F.max("color_keyword").alias("color_keyword"),
@@ -67,6 +65,14 @@ def schedule_slots(
     ).drop("canonical_id")
 
 
+def teacher_refs(teachers: DataFrame) -> DataFrame:
+    """``teacher_id -> teacher_ref``: the lowest id of the teachers of that name."""
+    refs = teachers.groupBy("name").agg(F.min("id").alias("teacher_ref"))
+    return null_safe_join(teachers, refs, ["name"], "inner").select(
+        F.col("id").alias("teacher_id"), "teacher_ref"
+    )
+
+
 def _schedule_text(entry):
     return F.array_repeat(F.concat(entry["days"], F.lit(" "), entry["time"]), entry["copies"].cast("int"))
 
@@ -79,6 +85,8 @@ def schedules_text(schedules="schedules"):
 
 def build_roster(
     slots: DataFrame,
+    students: DataFrame,
+    teachers: DataFrame,
     tuition: DataFrame,
     hidden: DataFrame,
     year: int | None = None,
@@ -90,54 +98,75 @@ def build_roster(
     Subjects that occur only in the tuition table are added for students who have an
     assignment; rows hidden as of the month (hidden at any time without one) are left out.
     """
-    first = F.struct(*nulls_last("start_min"), *nulls_last("end_min"), *nulls_last("teacher_name"), *_INFO)
     keys = ["student_id", "subject"]
-    per_slot = slots.groupBy(*keys, "days", "start_min", "end_min").agg(
-        F.count(F.lit(1)).alias("copies"), F.min(first).alias("first")
+    unseen = hidden.filter(hidden_as_of(year, month)).select(
+        "student_id", blank_to_null("subject").alias("subject")
     )
-    merged = merge_slots(per_slot, keys, carry="first", legacy_text_order=legacy_text_order)
-    only_tuition = tuition.select("student_id", blank_to_null("subject").alias("subject")).distinct()
-    every = merged.unionByName(only_tuition, allowMissingColumns=True)
+    names = students.select(F.col("id").alias("name_id"), "name", "korean_name")
+    teacher_names = teachers.select(F.col("id").alias("teacher_ref"), F.col("name").alias("teacher_name"))
+    return (
+        drop_known(_student_subjects(slots, tuition, legacy_text_order), unseen.distinct(), keys)
+        .join(names, "name_id")
+        .join(teacher_names, "teacher_ref", "left")
+        .select(
+            F.col("student_id").alias("id"), "external_id", "name", "korean_name", "english_name",
+            "color_keyword", "teacher_name",
+            F.get("schedules.time", F.lit(0)).alias("schedule_time"),
+            F.get("schedules.days", F.lit(0)).alias("schedule_days"),
+            "schedules", "days_mask", "subject",
+            row_key("student_id", "subject").alias("row_key"),
+        )
+    )
+
 
-    text = mask_text("days")
-    start, end = F.col("start_min"), F.col("end_min")
-    order = (
-        [time12(start).alias("o1"), time12(end).alias("o2")]
-        if legacy_text_order
-        else [start.alias("o1"), end.alias("o2")]
+def _student_subjects(slots: DataFrame, tuition: DataFrame, legacy_text_order: bool) -> DataFrame:
+    """One row per student and subject: first teacher, merged schedules, the student's info.
+
+    Slots are counted once per key with a map-side combine. After that a student has a
+    bounded number of rows (subjects x sets of weekdays x slots), so they are brought
+    together once, and merging, nesting and the choice of the student's first row all use
+    that one distribution.
+    """
+    keys = ["student_id", "subject"]
+    shown = ["name_id", "external_id", "english_name", "color_keyword"]
+    extra = tuition.select(
+        "student_id", blank_to_null("subject").alias("subject"), F.lit(0).alias("days"), F.lit(False).alias("assigned")
+    )
+    taught = slots.select(
+        *keys, "days", "start_min", "end_min", "teacher_ref", *shown, F.lit(True).alias("assigned")
+    )
+    first = F.struct(
+        (~F.col("assigned")).alias("o"), *nulls_last("start_min"), *nulls_last("end_min"),
+        *nulls_last("teacher_ref"), *shown,
     )
+    per_slot = (
+        taught.unionByName(extra, allowMissingColumns=True)
+        .groupBy(*keys, "days", "start_min", "end_min")
+        .agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"))
+        .repartition("student_id")
+    )
+    merged = merge_slots(per_slot, keys, carry="first", legacy_text_order=legacy_text_order)
+    start, end, text = F.col("start_min"), F.col("end_min"), mask_text("days")
     timed = start.isNotNull() & end.isNotNull() & (F.col("days") != 0)
+    order = [time12(start), time12(end)] if legacy_text_order else [start, end]
     entry = F.struct(
-        F.lower(text).alias("o0"), *order, text.alias("days"),
-        time_range(time12(start), time12(end)).alias("time"), "copies",
+        F.lower(text).alias("o0"), order[0].alias("o1"), order[1].alias("o2"),
+        time_range(time12(start), time12(end)).alias("time"), text.alias("days"), "copies",
     )
-    rows = every.groupBy(*keys).agg(
+    rows = merged.select(*keys, "first", F.when(timed, entry).alias("entry"), F.when(timed, F.col("days")).alias("days"))
+    nested = rows.groupBy(*keys).agg(
         F.min("first").alias("first"),
-        F.array_sort(F.collect_list(F.when(timed, entry))).alias("_entries"),
-        F.coalesce(F.bit_or(F.when(timed, F.col("days"))), F.lit(0)).alias("days_mask"),
-    )
-    people = (
-        rows.filter(F.col("first").isNotNull())
-        .groupBy("student_id")
-        .agg(F.min(F.struct(*nulls_last("subject"), "first"))["first"].alias("info"))
-    )
-    with_info = rows.join(people, "student_id").select(
-        F.col("student_id").alias("id"),
-        *[F.col("info")[name].alias(name) for name in ("external_id", *_INFO[:-1])],
-        F.col("first.teacher_name").alias("teacher_name"),
-        F.get("_entries", F.lit(0))["time"].alias("schedule_time"),
-        F.get("_entries", F.lit(0))["days"].alias("schedule_days"),
-        F.transform(
-            "_entries", lambda e: F.struct(e["time"].alias("time"), e["days"].alias("days"), e["copies"].alias("copies"))
-        ).alias("schedules"),
-        "days_mask",
-        "subject",
-        row_key("student_id", "subject").alias("row_key"),
+        F.sort_array(F.collect_list("entry")).alias("entries"),
+        F.coalesce(F.bit_or("days"), F.lit(0)).alias("days_mask"),
     )
-    unseen = hidden.filter(hidden_as_of(year, month)).select(
-        F.col("student_id").alias("id"), blank_to_null("subject").alias("subject")
+    by_student = Window.partitionBy("student_id")
+    info = F.min(F.struct(F.col("first.o"), *nulls_last("subject"), "first")).over(by_student)
+    chosen = nested.withColumn("info", info["first"]).filter(~F.col("info.o"))
+    return chosen.select(
+        *keys, F.col("first.teacher_ref").alias("teacher_ref"), *[F.col("info")[c].alias(c) for c in shown],
+        F.arrays_zip(*[F.col("entries")[c].alias(c) for c in ("time", "days", "copies")]).alias("schedules"),
+        "days_mask",
     )
-    return drop_known(with_info, unseen.distinct(), ["id", "subject"])
 
 
 def teacher_filter_list(roster: DataFrame) -> DataFrame:

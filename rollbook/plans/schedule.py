@@ -82,7 +82,7 @@ def teachers_by_date(
         .distinct()
     )
     listed = weekly.groupBy("student_id", "weekday_name").agg(
-        F.array_join(F.array_sort(F.collect_list("name")), ", ").alias("teachers")
+        F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("teachers")
     )
     return listed.join(dates.select("date", "weekday_name"), "weekday_name").select(
         "student_id", "date", "teachers"
