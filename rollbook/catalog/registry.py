@@ -11,8 +11,10 @@ from pyspark.sql import types as T
 
 from rollbook.catalog import views
 from rollbook.operators import identity
+from rollbook.operators.compaction import latest_per_key
 from rollbook.plans import records
 from rollbook.plans.roster import build_roster, schedule_slots
+from rollbook.schema import KEYS
 from rollbook.sources.readers import read_table
 
 YEAR, MONTH = 2024, 1
@@ -26,6 +28,14 @@ class Tables:
         self.sf_dir = sf_dir
         self._frames: dict[str, DataFrame] = {}
 
+    @cached_property
+    def attendance(self) -> DataFrame:
+        """Current state of the log: the last write per student, date and subject."""
+        latest = latest_per_key(self.attendance_log, KEYS["attendance"], ["updated_at", "id"])
+        return latest.withColumnRenamed("is_delete", "is_deleted").withColumn(
+            "deleted_at", F.when(F.col("is_deleted"), F.col("updated_at"))
+        )
+
     def __getattr__(self, name: str) -> DataFrame:
         if name.startswith("_"):
             raise AttributeError(name)

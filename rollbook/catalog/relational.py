@@ -371,8 +371,7 @@ def _(t):
 SELECT student_id, subject, FALSE FROM student_subject_tuition u WHERE NOT EXISTS (SELECT 1 FROM o_slots s WHERE s.student_id = u.student_id AND s.subject = u.subject)""",
 )
 def _(t):
-    assigned = t.slots.select("student_id", "subject").distinct()
-    extra = joins.drop_known(
-        t.student_subject_tuition.select("student_id", "subject"), assigned, ["student_id", "subject"]
-    )
-    return assigned.withColumn("assigned", F.lit(True)).unionByName(extra.withColumn("assigned", F.lit(False)))
+    keys = ["student_id", "subject"]
+    assigned = t.slots.select(*keys, F.lit(True).alias("assigned"))
+    extra = t.student_subject_tuition.select(*keys, F.lit(False).alias("assigned"))
+    return assigned.unionByName(extra).groupBy(*keys).agg(F.max("assigned").alias("assigned"))

@@ -1,6 +1,7 @@
 """The analytics tables, derived from the given ones.
 
-``TABLES`` holds one SQL text per table that Spark and DuckDB both run. ``CHECKS`` holds
+``TABLES`` holds one SQL text per table that Spark and DuckDB both run; only
+``attendance`` is made by the compaction operator in Spark. ``CHECKS`` holds
 further views that only the DuckDB statements use.
 """
 

@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.dates import time12
 
 
 def merge_slots(
-    slots: DataFrame, keys: Sequence[str], carry: str | None = None, legacy_text_order: bool = False
+    slots: DataFrame,
+    keys: Sequence[str],
+    carry: Mapping[str, Column] | None = None,
+    legacy_text_order: bool = False,
 ) -> DataFrame:
     """Join slots with equal days whose end is the next one's start.
 
@@ -20,13 +23,13 @@ def merge_slots(
     each other and do not touch, so only the first can join what comes before and only the
     last what comes after; those in between stay alone and are kept as one row with a
     count. A window group therefore holds at most three rows per distinct slot, whatever
-    the number of copies. ``carry`` names a column reduced with ``min``.
+    the number of copies. ``carry`` names further aggregates to keep.
 
     With ``legacy_text_order`` slots are sorted by their 12-hour text ("01:00 PM" before
     "09:00 AM").
     """
     group = [*keys, "days"]
-    carried = [F.min(carry).alias(carry)] if carry else []
+    carried = [column.alias(name) for name, column in (carry or {}).items()]
     copies = F.when(F.col("start_min") == F.col("end_min"), F.lit(1)).otherwise(F.col("copies"))
     one = F.lit(1).cast("long")
 

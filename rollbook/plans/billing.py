@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rollbook.functions.names import composite_id
@@ -121,43 +121,43 @@ def tuition(
     due once here; a per-row report repeats them on each of the student's roster rows,
     and ``copies`` is how often, so such totals need no repeated rows.
     """
-    rows = roster.select(
-        F.col("id").alias("student_id"), "name", "korean_name", "english_name", "teacher_name", "subject"
-    )
     known = ["name", "korean_name", "english_name"]
-    per_student = rows.groupBy("student_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min(F.struct(F.coalesce("subject", F.lit("")).alias("o"), "teacher_name", *known)).alias("first"),
+    listed = roster.select(
+        F.col("id").alias("student_id"), "subject", "teacher_name", *known, F.lit(True).alias("on_roster")
     )
     priced = rates.select(
         "student_id", "subject", F.col("price_per_class").alias("price"),
         F.col("currency").alias("price_currency"), F.lit(True).alias("is_priced"),
     )
-    has_price = priced.select("student_id").distinct().withColumn("has_price", F.lit(True))
-    from_roster = (
-        rows.join(has_price, "student_id", "left")
-        .filter(F.col("subject").isNotNull() | F.col("has_price").isNull())
-        .select(
-            "student_id", F.coalesce("subject", F.lit("(No Subject)")).alias("subject"),
-            F.lit(True).alias("on_roster"), F.col("teacher_name").alias("row_teacher"),
-        )
+    # a student has one row per subject on either side, so a window over a student is small
+    by_student = Window.partitionBy("student_id")
+    first = F.struct(F.coalesce("subject", F.lit("")).alias("o"), "teacher_name", *known)
+    both = listed.unionByName(priced, allowMissingColumns=True).select(
+        "*",
+        F.count("on_roster").over(by_student).alias("n_rows"),
+        F.max("is_priced").over(by_student).alias("has_price"),
+        F.min(F.when(F.col("on_roster"), first)).over(by_student).alias("first"),
+    )
+    due = both.filter(
+        F.col("first").isNotNull()
+        & (F.col("is_priced") | F.col("subject").isNotNull() | F.col("has_price").isNull())
     )
     subjects = (
-        priced.unionByName(from_roster, allowMissingColumns=True)
+        due.withColumn("subject", F.coalesce("subject", F.lit("(No Subject)")))
         .groupBy("student_id", "subject")
         .agg(
             F.max("price").alias("price"),
             F.max("price_currency").alias("price_currency"),
             F.max("is_priced").alias("is_priced"),
             F.max("on_roster").alias("on_roster"),
-            F.max("row_teacher").alias("row_teacher"),
+            F.max(F.when(F.col("on_roster"), F.col("teacher_name"))).alias("row_teacher"),
+            F.max("n_rows").alias("n_rows"),
+            F.min("first").alias("first"),
         )
     )
     paid = _of_month(payments, year, month).select("student_id", "subject", "paid", "payment_date", "notes")
-    joined = (
-        subjects.join(per_student, "student_id")
-        .join(present_counts(attendance, year, month), "student_id", "left")
-        .join(paid, ["student_id", "subject"], "left")
+    joined = subjects.join(present_counts(attendance, year, month), "student_id", "left").join(
+        paid, ["student_id", "subject"], "left"
     )
     price = F.coalesce("price", _zero())
     count = F.coalesce("class_count", F.lit(0))
@@ -187,8 +187,8 @@ def tuition_summary(rows: DataFrame, fanout: bool = False) -> DataFrame:
 
 def multi_subject_students(rows: DataFrame) -> DataFrame:
     """Tuition rows of students that have more than one, the ones that may be deleted."""
-    several = rows.groupBy("student_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    return rows.join(several.select("student_id"), "student_id", "left_semi")
+    several = F.count(F.lit(1)).over(Window.partitionBy("student_id"))
+    return rows.withColumn("_n", several).filter("_n > 1").drop("_n")
 
 
 def teacher_rates(teachers: DataFrame, rates: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from rollbook.functions.days import mask_has, mask_text, mask_union
 from rollbook.functions.names import blank_to_null, row_key
 from rollbook.functions.predicates import hidden_as_of
 from rollbook.operators.compaction import nulls_last
-from rollbook.operators.joins import drop_known, null_safe_join
+from rollbook.operators.joins import null_safe_join
 from rollbook.operators.slots import merge_slots
 
 def schedule_slots(
@@ -98,14 +98,11 @@ def build_roster(
     Subjects that occur only in the tuition table are added for students who have an
     assignment; rows hidden as of the month (hidden at any time without one) are left out.
     """
-    keys = ["student_id", "subject"]
-    unseen = hidden.filter(hidden_as_of(year, month)).select(
-        "student_id", blank_to_null("subject").alias("subject")
-    )
+    unseen = hidden.filter(hidden_as_of(year, month))
     names = students.select(F.col("id").alias("name_id"), "name", "korean_name")
     teacher_names = teachers.select(F.col("id").alias("teacher_ref"), F.col("name").alias("teacher_name"))
     return (
-        drop_known(_student_subjects(slots, tuition, legacy_text_order), unseen.distinct(), keys)
+        _student_subjects(slots, tuition, unseen, legacy_text_order)
         .join(names, "name_id")
         .join(teacher_names, "teacher_ref", "left")
         .select(
@@ -119,33 +116,45 @@ def build_roster(
     )
 
 
-def _student_subjects(slots: DataFrame, tuition: DataFrame, legacy_text_order: bool) -> DataFrame:
+def _student_subjects(
+    slots: DataFrame, tuition: DataFrame, hidden: DataFrame, legacy_text_order: bool
+) -> DataFrame:
     """One row per student and subject: first teacher, merged schedules, the student's info.
 
-    Slots are counted once per key with a map-side combine. After that a student has a
+    Tuition subjects and hidden rows travel with the slots as flagged rows of the same
+    keys, which takes the place of a join with each. Slots are counted once per key with a map-side combine. After that a student has a
     bounded number of rows (subjects x sets of weekdays x slots), so they are brought
     together once, and merging, nesting and the choice of the student's first row all use
     that one distribution.
     """
     keys = ["student_id", "subject"]
     shown = ["name_id", "external_id", "english_name", "color_keyword"]
-    extra = tuition.select(
-        "student_id", blank_to_null("subject").alias("subject"), F.lit(0).alias("days"), F.lit(False).alias("assigned")
-    )
+    pair = ["student_id", blank_to_null("subject").alias("subject"), F.lit(0).alias("days")]
+    yes, no = F.lit(True), F.lit(False)
     taught = slots.select(
-        *keys, "days", "start_min", "end_min", "teacher_ref", *shown, F.lit(True).alias("assigned")
+        *keys, "days", "start_min", "end_min", "teacher_ref", *shown,
+        yes.alias("assigned"), yes.alias("listed"), no.alias("hidden"),
     )
+    priced = tuition.select(*pair, no.alias("assigned"), yes.alias("listed"), no.alias("hidden"))
+    unseen = hidden.select(*pair, no.alias("assigned"), no.alias("listed"), yes.alias("hidden"))
     first = F.struct(
         (~F.col("assigned")).alias("o"), *nulls_last("start_min"), *nulls_last("end_min"),
         *nulls_last("teacher_ref"), *shown,
     )
     per_slot = (
-        taught.unionByName(extra, allowMissingColumns=True)
+        taught.unionByName(priced, allowMissingColumns=True)
+        .unionByName(unseen, allowMissingColumns=True)
         .groupBy(*keys, "days", "start_min", "end_min")
-        .agg(F.count(F.lit(1)).alias("copies"), F.min(first).alias("first"))
+        .agg(
+            F.count(F.lit(1)).alias("copies"),
+            F.min(first).alias("first"),
+            F.max("listed").alias("listed"),
+            F.max("hidden").alias("hidden"),
+        )
         .repartition("student_id")
     )
-    merged = merge_slots(per_slot, keys, carry="first", legacy_text_order=legacy_text_order)
+    carried = {"first": F.min("first"), "listed": F.max("listed"), "hidden": F.max("hidden")}
+    merged = merge_slots(per_slot, keys, carry=carried, legacy_text_order=legacy_text_order)
     start, end, text = F.col("start_min"), F.col("end_min"), mask_text("days")
     timed = start.isNotNull() & end.isNotNull() & (F.col("days") != 0)
     order = [time12(start), time12(end)] if legacy_text_order else [start, end]
@@ -153,15 +162,17 @@ def _student_subjects(slots: DataFrame, tuition: DataFrame, legacy_text_order: b
         F.lower(text).alias("o0"), order[0].alias("o1"), order[1].alias("o2"),
         time_range(time12(start), time12(end)).alias("time"), text.alias("days"), "copies",
     )
-    rows = merged.select(*keys, "first", F.when(timed, entry).alias("entry"), F.when(timed, F.col("days")).alias("days"))
+    rows = merged.select(*keys, *carried, F.when(timed, entry).alias("entry"), F.when(timed, F.col("days")).alias("days"))
     nested = rows.groupBy(*keys).agg(
-        F.min("first").alias("first"),
+        *[c.alias(name) for name, c in carried.items()],
         F.sort_array(F.collect_list("entry")).alias("entries"),
         F.coalesce(F.bit_or("days"), F.lit(0)).alias("days_mask"),
     )
     by_student = Window.partitionBy("student_id")
     info = F.min(F.struct(F.col("first.o"), *nulls_last("subject"), "first")).over(by_student)
-    chosen = nested.withColumn("info", info["first"]).filter(~F.col("info.o"))
+    chosen = nested.withColumn("info", info["first"]).filter(
+        ~F.col("info.o") & F.col("listed") & ~F.col("hidden")
+    )
     return chosen.select(
         *keys, F.col("first.teacher_ref").alias("teacher_ref"), *[F.col("info")[c].alias(c) for c in shown],
         F.arrays_zip(*[F.col("entries")[c].alias(c) for c in ("time", "days", "copies")]).alias("schedules"),
@@ -174,13 +185,10 @@ def teacher_filter_list(roster: DataFrame) -> DataFrame:
 
     The row with a NULL name is the unfiltered total.
     """
-    named = roster.filter(F.col("teacher_name") != "").groupBy("teacher_name").agg(
-        F.count(F.lit(1)).alias("n_rows")
-    )
-    total = roster.agg(F.count(F.lit(1)).alias("n_rows")).select(
-        F.lit(None).cast("string").alias("teacher_name"), "n_rows"
+    counted = roster.groupingSets([["teacher_name"], []], "teacher_name").agg(
+        F.grouping("teacher_name").alias("_all"), F.count(F.lit(1)).alias("n_rows")
     )
-    return named.unionByName(total)
+    return counted.filter((F.col("_all") == 1) | (F.col("teacher_name") != "")).drop("_all")
 
 
 def bulk_candidates(roster: DataFrame, date: dt.date) -> DataFrame:
