@@ -37,14 +37,10 @@ def mask_days(mask) -> Column:
     )
 
 
-def mask_text(mask) -> Column:
-    """Mask to text such as ``MWF``."""
-    return F.concat(
-        *[
-            F.when(col(mask).bitwiseAND(F.lit(1 << number)) != 0, F.lit(code)).otherwise(F.lit(""))
-            for number, code in enumerate(DAY_CODES)
-        ]
-    )
+def mask_text(mask: str) -> Column:
+    """Mask to text such as ``MWF``, looked up among the 128 sets."""
+    texts = ["".join(code for i, code in enumerate(DAY_CODES) if bits >> i & 1) for bits in range(128)]
+    return F.get(F.lit(texts), F.col(mask))
 
 
 def days_text(days) -> Column:

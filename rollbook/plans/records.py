@@ -8,10 +8,10 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.functions.days import WORKDAY_MASK
 from rollbook.functions.names import blank_to_null, clean_name
 from rollbook.functions.predicates import not_deleted, recent, status_in
-from rollbook.functions.values import percentage
-from rollbook.functions.values import status_code
+from rollbook.functions.values import STATUS_CODES, percentage
 from rollbook.operators.aggregates import tally
 from rollbook.operators.identity import apply_remap
 from rollbook.operators.joins import null_safe_join
@@ -87,7 +87,7 @@ def scheduled_summary(marked: DataFrame, holidays: DataFrame, year: int, month:
 
     Rows without a schedule count Monday to Friday.
     """
-    workdays = F.when(F.col("days_mask") != 0, F.col("days_mask")).otherwise(F.lit(0b0111110))
+    workdays = f"IF(days_mask != 0, days_mask, {WORKDAY_MASK})"
     rows = marked.withColumn("_holidays", holiday_set(holidays, year, month)).withColumn(
         "_open", without(schedule_set(workdays, year, month), F.col("_holidays"))
     )
@@ -128,11 +128,10 @@ def month_grid(marked: DataFrame, holidays: DataFrame, year: int, month: int) ->
     rows = marked.withColumn("_holidays", holiday_set(holidays, year, month))
 
     def cell(day: int):
-        bit = F.lit(1 << (day - 1)).cast("long")
-        result = F.when(F.col("_holidays").bitwiseAND(bit) != 0, F.lit("H"))
-        for s in STATUSES:
-            result = result.when(F.col(f"{s}_days").bitwiseAND(bit) != 0, status_code(F.lit(s)))
-        return result.otherwise(F.lit("")).alias(f"d{day:02d}")
+        # one SQL text per day: building 31 nested conditions call by call takes seconds
+        bit = f"{1 << (day - 1)}L"
+        marks = " ".join(f"WHEN {s}_days & {bit} != 0 THEN '{code}'" for s, code in STATUS_CODES.items())
+        return F.expr(f"CASE WHEN _holidays & {bit} != 0 THEN 'H' {marks} ELSE '' END").alias(f"d{day:02d}")
 
     return rows.select(
         "id", "name", "korean_name", "subject", "teacher_name", *[cell(day) for day in range(1, 32)]

@@ -19,6 +19,7 @@ def build_session(app: str = "rollbook", cores: int | str = "*", **extra: str) -
         .config("spark.sql.shuffle.partitions", "8")
         # small local shuffles stay spread over the cores
         .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
+        .config("spark.driver.memory", "12g")
         .config("spark.ui.enabled", "false")
     )
     for key, value in extra.items():

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.common import col
 from rollbook.functions.dates import in_month_days, month_bounds, weekday_name, weekday_of
-from rollbook.functions.days import mask_has
 from rollbook.functions.predicates import in_month
 
 
@@ -70,13 +69,13 @@ def holiday_set(holidays: DataFrame, year: int, month: int) -> Column:
     return holidays.filter(in_month(year, month)).agg(day_set(F.lit(True))).scalar()
 
 
-def schedule_set(mask, year: int, month: int) -> Column:
-    """Days of the month that fall on the weekdays of a mask."""
-    result = F.lit(0).cast("long")
-    for weekday, bits in enumerate(in_month_days(year, month)):
-        part = F.when(mask_has(mask, F.lit(weekday)), F.lit(bits).cast("long"))
-        result = result.bitwiseOR(F.coalesce(part, F.lit(0).cast("long")))
-    return result
+def schedule_set(mask: str, year: int, month: int) -> Column:
+    """Days of the month that fall on the weekdays of a mask (a column or SQL text)."""
+    parts = [
+        f"IF(({mask}) & {1 << weekday} != 0, {bits}L, 0L)"
+        for weekday, bits in enumerate(in_month_days(year, month))
+    ]
+    return F.expr(" | ".join(parts))
 
 
 def without(days: Column, removed: Column) -> Column:
