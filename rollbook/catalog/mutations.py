@@ -164,12 +164,12 @@ def _(t):
 
 @query(
     "m_holiday_delete",
-    "SELECT id, date, name FROM holidays WHERE id NOT IN (SELECT 20240100 + day(date) FROM attendance_log WHERE status = 'present' AND day(date) = 15)",
+    "SELECT id, date, name FROM holidays WHERE date NOT IN (SELECT date FROM attendance_log WHERE dayofweek(date) IN (0, 6))",
 )
 def _(t):
-    ids = t.attendance_log.filter((F.col("status") == "present") & (F.dayofmonth("date") == 15)).select(
-        (F.lit(20240100) + F.dayofmonth("date")).alias("id")
-    )
+    # the holidays on weekend days that have records
+    weekend = t.attendance_log.filter(F.dayofweek("date").isin(1, 7)).select("date").distinct()
+    ids = t.holidays.join(weekend, "date", "left_semi").select("id")
     return changes.delete_holidays(t.holidays, ids)
 
 

@@ -13,7 +13,6 @@ from rollbook.operators.compaction import first_per_key, latest_per_key, nulls_l
 from rollbook.operators.ranking import row_index
 from rollbook.operators.slots import merge_slots
 from rollbook.plans import billing, directory, records, schedule
-from rollbook.sources.calendar import month_calendar
 
 # ---- joins ---------------------------------------------------------------------------------
 
@@ -271,7 +270,7 @@ def _(t):
 
 def _schedule(t):
     return schedule.teacher_schedule(
-        month_calendar(t.spark, YEAR, MONTH), t.students, t.teachers, t.time_slots, t.assignments,
+        *dates.month_bounds(YEAR, MONTH), t.students, t.teachers, t.time_slots, t.assignments,
         t.assignment_students, t.assignment_teachers, t.attendance,
     )
 

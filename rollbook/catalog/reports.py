@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 from rollbook.catalog.registry import MONTH, YEAR, query
 from rollbook.catalog.relational import _currency_sql, _schedule
+from rollbook.functions.dates import month_bounds
 from rollbook.operators import identity
 from rollbook.plans import billing, directory, records, roster, schedule
 from rollbook.schema import STATUSES
-from rollbook.sources import calendar
 from rollbook.sources.readers import clean_entries
 
 # ---- identity and roster -------------------------------------------------------------------
@@ -201,7 +201,7 @@ JOIN assignment_teachers y ON y.assignment_id = a.id JOIN teachers t ON t.id = y
 )
 def _(t):
     return schedule.teachers_by_date(
-        calendar.month_calendar(t.spark, YEAR, MONTH), t.assignments, t.assignment_students, t.assignment_teachers,
+        *month_bounds(YEAR, MONTH), t.assignments, t.assignment_students, t.assignment_teachers,
         t.teachers,
     )
 

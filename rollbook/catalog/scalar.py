@@ -292,7 +292,7 @@ def _(t):
 def _(t):
     return t.events.select(
         "event_id",
-        values.int_or_zero(F.substring("props", 7, 1000)).alias("parsed"),
+        values.int_or_zero(F.expr("substr(props, 7)")).alias("parsed"),
         values.float_or_zero("props").alias("unparsed"),
     )
 

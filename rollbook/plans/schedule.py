@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rollbook.functions.dates import time12
+from rollbook.functions.dates import time12, weekday_num
 from rollbook.functions.predicates import not_deleted
 from rollbook.operators.aggregates import tally_with_unmarked
+from rollbook.sources.calendar import weekly_dates
+from rollbook.sources.readers import date_range
 
 
 def teacher_schedule(
-    dates: DataFrame,
+    start: dt.date,
+    end: dt.date,
     students: DataFrame,
     teachers: DataFrame,
     time_slots: DataFrame,
@@ -21,15 +26,15 @@ def teacher_schedule(
     attendance: DataFrame,
     teacher: str | None = None,
 ) -> DataFrame:
-    """Students by slot for each date (``date``, ``weekday_name``) with their status.
+    """Students by slot for each date of a range with their status.
 
     One teacher's name, or every teacher. A subject of NULL never finds a record.
     """
     named = teachers if teacher is None else teachers.filter(F.col("name") == teacher)
     live = assignments.filter("is_active").select(
-        F.col("id").alias("assignment_id"), F.col("date").alias("weekday_name"), "subject", "time_slot_id"
+        F.col("id").alias("assignment_id"), weekday_num("date").alias("weekday"), "subject", "time_slot_id"
     )
-    rows = (
+    weekly = (
         live.join(
             time_slots.select(F.col("id").alias("time_slot_id"), "start_min", "end_min"), "time_slot_id"
         )
@@ -37,13 +42,11 @@ def teacher_schedule(
         .join(named.select(F.col("id").alias("teacher_id"), F.col("name").alias("teacher_name")), "teacher_id")
         .join(assignment_students, "assignment_id")
         .join(students.select(F.col("id").alias("student_id"), "name", "korean_name"), "student_id")
-        .join(dates.select("date", "weekday_name"), "weekday_name")
     )
-    marks = attendance.filter(not_deleted()).select(
+    marks = date_range(attendance, start, end).filter(not_deleted()).select(
         "student_id", "date", "subject", F.col("status").alias("attendance_status")
     )
-    marks = marks.join(dates.select("date"), "date", "left_semi")
-    return rows.join(marks, ["student_id", "date", "subject"], "left").select(
+    return weekly_dates(weekly, "weekday", start, end).join(marks, ["student_id", "date", "subject"], "left").select(
         "teacher_name", "date", "start_min",
         time12("start_min").alias("start_time"), time12("end_min").alias("end_time"),
         "student_id", "name", "korean_name", "subject", "attendance_status",
@@ -60,7 +63,8 @@ def schedule_tally(schedule: DataFrame) -> DataFrame:
 
 
 def teachers_by_date(
-    dates: DataFrame,
+    start: dt.date,
+    end: dt.date,
     assignments: DataFrame,
     assignment_students: DataFrame,
     assignment_teachers: DataFrame,
@@ -71,19 +75,17 @@ def teachers_by_date(
     Names are listed once per weekday and only then spread over the dates.
     """
     live = assignments.filter("is_active").select(
-        F.col("id").alias("assignment_id"), F.col("date").alias("weekday_name")
+        F.col("id").alias("assignment_id"), weekday_num("date").alias("weekday")
     )
     names = teachers.select(F.col("id").alias("teacher_id"), "name")
     weekly = (
         live.join(assignment_teachers, "assignment_id")
         .join(names, "teacher_id")
         .join(assignment_students, "assignment_id")
-        .select("student_id", "weekday_name", "name")
+        .select("student_id", "weekday", "name")
         .distinct()
     )
-    listed = weekly.groupBy("student_id", "weekday_name").agg(
+    listed = weekly.groupBy("student_id", "weekday").agg(
         F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("teachers")
     )
-    return listed.join(dates.select("date", "weekday_name"), "weekday_name").select(
-        "student_id", "date", "teachers"
-    )
+    return weekly_dates(listed, "weekday", start, end).select("student_id", "date", "teachers")

@@ -68,14 +68,12 @@ def with_month_partition(df: DataFrame) -> DataFrame:
 def write_month_partitions(df: DataFrame, path: str) -> None:
     """Replace exactly the months that occur in ``df``, one folder per month.
 
-    Rows are spread over a month by hash of the student, so no month is one task, and
-    sorted so that a student's rows sit together in the files.
+    Rows are gathered by month and then split or joined to files of even size, whatever the
+    size of a month, and sorted so that a student's rows sit together in a file.
     """
-    spread = F.pmod(F.xxhash64("student_id", "date"), F.lit(64)).alias("_spread")
-    parted = with_month_partition(df)
+    months = with_month_partition(df).hint("rebalance", F.col("year"), F.col("month"))
     (
-        parted.repartition("year", "month", spread)
-        .sortWithinPartitions("year", "month", "student_id", "date")
+        months.sortWithinPartitions("year", "month", "student_id", "date")
         .write.mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy("year", "month")

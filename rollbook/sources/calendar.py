@@ -93,3 +93,14 @@ def calendar_of(rows: DataFrame, date: str = "date") -> DataFrame:
         F.explode(F.sequence(F.trunc("first", "month"), F.last_day("last"))).alias("date")
     )
     return with_day_columns(days)
+
+
+def weekly_dates(rows: DataFrame, weekday: str, start: dt.date, end: dt.date) -> DataFrame:
+    """Each row once per date of the range on its weekday, as ``date``.
+
+    The dates are counted up in steps of seven from the first one, so no calendar is joined.
+    """
+    from_start = F.pmod(F.col(weekday) - F.lit((start.weekday() + 1) % 7), F.lit(7)).cast("int")
+    first = rows.withColumn("_first", F.date_add(F.lit(start), from_start)).filter(F.col("_first") <= F.lit(end))
+    every = F.sequence(F.col("_first"), F.lit(end), F.expr("INTERVAL 7 DAYS"))
+    return first.withColumn("date", F.explode(every)).drop("_first")

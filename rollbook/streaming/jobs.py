@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from rollbook.operators.compaction import latest_per_key
 from rollbook.sinks.writers import remove_path, upsert_months
 
 
@@ -57,8 +56,7 @@ def apply_changes(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        latest = latest_per_key(batch, keys, order)
-        upsert_months(spark, table, latest, keys, order, f"b{batch_id}")
+        upsert_months(spark, table, batch, keys, order, f"b{batch_id}")
         remove_path(spark, f"{table}.staging/b{batch_id - 1}")
 
     writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)

@@ -15,7 +15,7 @@ from rollbook.operators.ranking import row_index
 from rollbook.operators.slots import merge_slots
 from rollbook.plans import billing, records, roster, schedule
 from rollbook.schema import SCHEMAS, STATUSES
-from rollbook.sources.calendar import month_calendar
+from rollbook.sources.calendar import calendar, weekly_dates
 
 
 def table(spark, name, rows):
@@ -351,8 +351,7 @@ def test_primary_teacher_ties(spark):
 def test_schedule_matches_subject_plainly(spark):
     t = school(spark, [student(1)], [("Monday", "Math", 540, 570, [1], [1]), ("Monday", None, 600, 630, [1], [1])],
                attendance=marks(1, "Math", {8: "present"}) + marks(1, None, {8: "absent"}, 5))
-    day = month_calendar(spark, 2024, 1).filter("day = 8")
-    rows = schedule.teacher_schedule(day, t["students"], t["teachers"], t["time_slots"], t["assignments"],
+    rows = schedule.teacher_schedule(dt.date(2024, 1, 8), dt.date(2024, 1, 14), t["students"], t["teachers"], t["time_slots"], t["assignments"],
                                      t["assignment_students"], t["assignment_teachers"], t["attendance"], teacher="T1")
     assert {(r["subject"], r["attendance_status"]) for r in rows.collect()} == {("Math", "present"), (None, None)}
     tally = schedule.schedule_tally(rows).filter("is_total").first()
@@ -443,3 +442,13 @@ def test_nested_groups_stay_split(spark):
 def test_time_text_sorts_like_legacy(spark):
     df = spark.createDataFrame([(540,), (780,)], "m int").orderBy(time12("m"))
     assert [r["m"] for r in df.collect()] == [780, 540]
+
+
+@pytest.mark.parametrize("start, end", [((2024, 1, 1), (2024, 1, 31)), ((2024, 2, 28), (2024, 3, 2)), ((2024, 5, 5), (2024, 5, 5))])
+def test_weekly_dates(spark, start, end):
+    span = dt.date(*start), dt.date(*end)
+    weekdays = spark.range(7).select(F.col("id").cast("int").alias("weekday")).unionByName(
+        spark.sql("SELECT CAST(NULL AS INT) AS weekday")
+    )
+    got = sorted(map(tuple, weekly_dates(weekdays, "weekday", *span).select("date", "weekday").collect()))
+    assert got == sorted(map(tuple, calendar(spark, *span).select("date", "weekday").collect()))
