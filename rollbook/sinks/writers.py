@@ -93,7 +93,8 @@ def upsert_months(
 
     The merged months are written beside the table first and then swapped in. A batch that
     is run again finds its finished copy and only repeats the swap, so a lost driver
-    leaves neither a half-written month nor a change applied twice.
+    leaves neither a half-written month nor a change applied twice. ``batch`` names the
+    batch and must not be used again for other changes.
     """
     staged = f"{path}.staging/{batch}"
     if not path_exists(spark, f"{staged}/_SUCCESS"):

@@ -56,8 +56,10 @@ def apply_changes(
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        upsert_months(spark, table, batch, keys, order, f"b{batch_id}")
-        remove_path(spark, f"{table}.staging/b{batch_id - 1}")
+        # numbers start again with a new checkpoint, so a batch is named by the query's id too
+        query_id = spark.read.json(f"{checkpoint}/metadata").first()["id"]
+        upsert_months(spark, table, batch, keys, order, f"{query_id}-{batch_id}")
+        remove_path(spark, f"{table}.staging/{query_id}-{batch_id - 1}")
 
     writer = changes.writeStream.foreachBatch(merge).option("checkpointLocation", checkpoint)
     return run(writer, interval)

@@ -53,6 +53,16 @@ def test_stream_equals_batch(spark, t, order):
     assert rows_of(spark.read.parquet(f"{base}/table").select(*got.columns)) == rows_of(want)
 
 
+def test_second_stream_into_one_table(spark, t):
+    base = run_dir(spark, "two")
+    for n in (0, 1):
+        folder = split_log(t, 2, [n])
+        stream = _as_changes(jobs.read_stream(spark, folder, t.events.schema))
+        jobs.apply_changes(stream, f"{base}/table", f"{base}/progress{n}")
+    got = spark.read.parquet(f"{base}/table").select(*CELL, "id", "status", "is_delete", "updated_at")
+    assert rows_of(got) == rows_of(latest_per_key(_as_changes(t.events), CELL, ["updated_at", "id"]).select(*got.columns))
+
+
 def test_upsert_repeats_a_swap(spark, t):
     path = run_dir(spark, "upsert")
     old = t.attendance.select("id", *CELL, "status", "updated_at")
