@@ -101,7 +101,7 @@ _DAY = dt.date(2024, 1, 10)
 
 
 def _at():
-    return F.lit(dt.datetime(2024, 2, 1)).cast("timestamp_ntz")
+    return F.lit("2024-02-01 00:00:00").cast("timestamp_ntz")
 
 
 @query(

@@ -179,7 +179,7 @@ def _(t):
 FROM attendance a LEFT JOIN students s ON s.id = a.student_id WHERE a.is_deleted AND a.deleted_at >= TIMESTAMP '2024-01-31 00:00:00' - INTERVAL 1440 MINUTE""",
 )
 def _(t):
-    as_of = F.lit(dt.datetime(2024, 1, 31)).cast("timestamp_ntz")
+    as_of = F.lit("2024-01-31 00:00:00").cast("timestamp_ntz")
     return records.recent_deletes(t.attendance, t.students, as_of, 1440)
 
 
