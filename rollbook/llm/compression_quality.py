@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import Scorer, as_bytes, filter_by_text, named, per_text
+from rollbook.llm.common import Scorer, as_bytes, filter_by_text, named, per_text, staged
 
 
 @dataclass(frozen=True)
@@ -92,29 +92,35 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 
 def fit(
-    labelled: DataFrame, *, text: str = "text", label: str = "label", sample_rows: int = 2000,
-    sample_chars: int = 20_000, dictionary_bytes: int = 65_536, piece: int = 512, level: int = 3,
+    docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
+    sample_rows: int = 2000, sample_chars: int = 20_000, dictionary_bytes: int = 65_536, piece: int = 512, level: int = 3,
 ) -> CompressionModel:
-    """Train on a bounded sample of ``labelled``: of each label (0 and 1) the ``sample_rows`` rows with the
-    smallest hash of their text, of each a window of at most ``sample_chars`` characters at a hashed place.
+    """Train on a bounded sample of ``docs`` with a row in ``labels``: of each label (0 and 1) the ``sample_rows``
+    keys with the smallest hash, of each text a window of at most ``sample_chars`` characters at a hashed place.
 
     The curve is learnt from sizes under dictionaries of the other half of the sample, each half in turn; the
-    dictionaries that are kept come from all of it. Rows with a null label or a
-    null or empty text teach nothing; equal texts are one row. Without rows of both labels every text gets
-    the share of label 1 among the rows seen, 0.5 if there are none.
+    dictionaries that are kept come from all of it. Null keys and labels, and null or empty texts, teach
+    nothing; repeated rows are one, and a key of both labels is not used. Without two rows of both labels every
+    text gets the share of label 1 among the keys seen, 0.5 if there are none. Keys meet labels without texts.
     """
-    body = F.col("body")
-    rows = labelled.select(named(text).alias("body"), named(label).cast("int").alias("y"))
-    rows = rows.where(F.col("y").isin(0, 1) & (F.length(body) > 0)).withColumn("h", F.xxhash64(body))
-    room = F.greatest(F.length(body) - sample_chars, F.lit(0)) + 1
-    window = F.substr(body, (F.pmod("h", room) + 1).cast("int"), F.lit(sample_chars))
-    shares = {r["y"]: r["n"] for r in rows.groupBy("y").agg(F.count("*").alias("n")).collect()}
+    known = labels.select(named(key).alias("k"), named(label).cast("int").alias("y")).where("k IS NOT NULL AND y IN (0, 1)")
+    known = known.groupBy("k").agg(F.min("y").alias("y"), F.max("y").alias("top")).where("y = top").select("k", "y")
+    filled = docs.where(F.length(named(text)) > 0).select(named(key).alias("k")).distinct()
+    known = staged(known.join(filled, "k"), "labelled").withColumn("h", F.xxhash64("k"))
+    shares = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     total = sum(shares.values())
     prior = shares.get(1, 0) / total if total else 0.5
-    groups: dict[int, list[bytes]] = {}
-    for y in (0, 1):
-        top = rows.where(F.col("y") == y).select("h", window.alias("w")).dropDuplicates(["h"]).orderBy("h")
-        groups[y] = [r["w"].encode() for r in top.limit(sample_rows).collect()]
+    first = [known.where(F.col("y") == y).orderBy("h", "k").limit(sample_rows) for y in (0, 1)]
+    # at most twice sample_rows keys, so they are broadcast
+    chosen = F.broadcast(staged(first[0].unionByName(first[1]), "sample").withColumnsRenamed({"k": "__k", "y": "__y", "h": "__h"}))
+    body = F.col("body")
+    room = F.greatest(F.length(body) - sample_chars, F.lit(0)) + 1
+    window = F.substr(body, (F.pmod("__h", room) + 1).cast("int"), F.lit(sample_chars))
+    texts = docs.select(named(key).alias("__k"), named(text).alias("body")).where(F.length(body) > 0).join(chosen, "__k")
+    texts = texts.groupBy("__k").agg(F.first("__y").alias("y"), F.first("__h").alias("h"), F.min(window).alias("w"))
+    groups: dict[int, list[bytes]] = {0: [], 1: []}
+    for r in sorted(texts.collect(), key=lambda r: (r["h"], r["__k"])):
+        groups[r["y"]].append(r["w"].encode())
     if min(len(groups[0]), len(groups[1])) < 2:
         return CompressionModel(b"", b"", (), prior, piece, level)
     def trained(of: dict[int, list[bytes]], curve: tuple[float, ...] = ()) -> CompressionModel:

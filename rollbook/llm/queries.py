@@ -6,8 +6,19 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rollbook.llm import compression_quality, decontaminate, mixing, simhash, token_blocks
-from rollbook.llm.common import crc_fold
+from rollbook.llm import (
+    backoff_lm,
+    compression_quality,
+    decontaminate,
+    language_bayes,
+    mixing,
+    secret_index,
+    simhash,
+    subspace_join,
+    token_blocks,
+    token_edits,
+)
+from rollbook.llm.common import crc_fold, staged
 from rollbook.sources.readers import read_table
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -25,6 +36,26 @@ def read_benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "benchmark")
 
 
+def op1_subspace_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All embeddings whatever their labels, linked at cosine 0.95."""
+    found = subspace_join.near_duplicates(_table(spark, sf_dir, "embeddings"), cosine=0.95)
+    return found.withColumnRenamed("component", "component_id")
+
+
+#: What op2 redacts: mail addresses, and runs of digits that may be phone, card or network numbers.
+PERSONAL = secret_index.Rule("personal", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+|\+?[0-9][0-9 ().-]{5,}[0-9]", 0, 0)
+
+
+def op2_edit_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document before and after its personal data are redacted, counted by its segment tree."""
+    trees = token_edits.build_trees(read_documents(spark, sf_dir), TOKENIZER, keep=["doc_id", "text"])
+    text = F.coalesce("text", F.lit(""))
+    edits = F.transform(
+        secret_index.spans(text, PERSONAL), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), F.lit("[personal]").alias("text"))
+    )
+    return token_edits.apply_edits(staged(trees, "trees"), TOKENIZER, F.when(text.rlike(PERSONAL.pattern), edits))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprints over three words, linked at three bits or fewer; a null doc_id names no group."""
     found = simhash.near_duplicates(read_documents(spark, sf_dir), shingle=3, radius=3)
@@ -36,6 +67,11 @@ def op4_token_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_blocks.round_trip(read_documents(spark, sf_dir), TOKENIZER, end_id=2)
 
 
+def op5_backoff_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document by the word pair counts of all documents of the other fold."""
+    return backoff_lm.score(read_documents(spark, sf_dir))
+
+
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of each document inside a ten-word window of a benchmark item."""
     found = decontaminate.matches(
@@ -49,10 +85,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
 
 
 def quality_model(spark: SparkSession, sf_dir: str) -> compression_quality.CompressionModel:
-    """Learnt from the labelled documents outside fold 2 of 4; a document with several labels counts for each."""
-    docs, labels = read_documents(spark, sf_dir), _table(spark, sf_dir, "labels")
-    learn = docs.where(crc_fold(F.col("doc_id"), 4) != 2).select("doc_id", "text")
-    return compression_quality.fit(learn.join(labels.select("doc_id", F.col("quality").alias("label")), "doc_id"))
+    """Learnt from the labelled documents outside fold 2 of 4."""
+    learn = read_documents(spark, sf_dir).where(crc_fold(F.col("doc_id"), 4) != 2)
+    labels = _table(spark, sf_dir, "labels").where(crc_fold(F.col("doc_id"), 4) != 2)
+    return compression_quality.fit(learn, labels, label="quality")
 
 
 def op7_compression_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -70,11 +106,33 @@ def op8_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "source", "size", "source_size", "target", "taken")
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Learnt from the documents outside fold 0 of 5; a null doc_id is in no fold and teaches nothing."""
+    docs = read_documents(spark, sf_dir)
+    fold = crc_fold(F.col("doc_id"), 5)
+    model = language_bayes.fit(docs.where(fold != 0))
+    found = language_bayes.predict(docs, model, keep=["doc_id"])
+    return found.select("doc_id", F.coalesce(fold == 0, F.lit(False)).alias("held_out"), "lang_pred", "score")
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base kinds and what the scan adds, over whole texts."""
+    found = secret_index.scan(read_documents(spark, sf_dir))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans"
+    )
+
+
 QUERIES = {
+    "op1_subspace_near_dedup": op1_subspace_near_dedup,
+    "op2_edit_token_counts": op2_edit_token_counts,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op4_token_blocks": op4_token_blocks,
+    "op5_backoff_scores": op5_backoff_scores,
     "op6_benchmark_decontamination": op6_benchmark_decontamination,
     "op7_compression_quality": op7_compression_quality,
     "op8_source_mixing": op8_source_mixing,
+    "op9_language_id": op9_language_id,
+    "op10_secret_scan": op10_secret_scan,
 }
 SQL: dict[str, str] = {}

@@ -137,11 +137,9 @@ class WordEncoder:
     string of an added token goes to the library as a whole.
     """
 
-    #: neighbouring, leading or trailing white space, or other white space than space and line feed
-    _ODD = re.compile(r"\s\s|\A\s|\s\Z|[^\S \n]|\x00")
     _CUT = re.compile(r"(?<=\S)(?= \S)")
 
-    def __init__(self, path: str, room: int = 400_000):
+    def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -149,28 +147,57 @@ class WordEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.room = room
+        self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
     def _pieces(self, text: str) -> list[str]:
         if any(token in text for token in self.added):
             return [text]
-        if self._ODD.search(text):
+        if " ".join(text.split()) != text.replace("\n", " ") or "\x00" in text:
             return self._CUT.split(text)
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if text else []
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers."""
+    def _learn(self, new: list[str]) -> None:
+        """Pieces without inner white space go to the library many at once, a line each; the others one by one."""
+        lines = [p for p in new if p.split() == [p.removeprefix(" ")]] if len(self.line) == 1 else []
+        groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
+        texts = ["\n".join(g) for g in groups]
+        for at in range(0, len(groups), 8):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + 8], add_special_tokens=False)
+            for group, encoding in zip(groups[at : at + 8], found, strict=True):
+                ids = np.array(encoding.ids, "<u4")
+                cuts = np.flatnonzero(ids == self.line[0])
+                if len(cuts) == len(group) - 1:
+                    body = ids.tobytes()
+                    starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(body)]
+                    self.known.update(zip(group, map(body.__getitem__, map(slice, starts, ends)), strict=True))
+        rest = [p for p in new if p not in self.known]
+        for at in range(0, len(rest), 4096):
+            part = rest[at : at + 4096]
+            for piece, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
+                self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
+
+    def _known(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text, all of them learnt."""
         split = [self._pieces(t) for t in texts]
-        new = list(set().union(*split) - self.known.keys()) if split else []
+        new = list(set().union(*split).difference(self.known))
         if len(self.known) + len(new) > self.room:
             self.known = {}
             new = list(set().union(*split))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(found.ids, "<u4").tobytes()
+        self._learn(new)
+        return split
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers."""
+        split = self._known(texts)
         ids = self.known.__getitem__
         return [b"".join(map(ids, pieces)) for pieces in split]
 
+    def count(self, texts: list[str]) -> list[int]:
+        """The number of ids of each text."""
+        split = self._known(texts)
+        ids = self.known.__getitem__
+        return [sum(map(len, map(ids, pieces))) // 4 for pieces in split]
+
 
 MANIFEST = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("file", T.StringType()),

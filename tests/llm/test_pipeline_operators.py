@@ -176,9 +176,9 @@ def test_matches_empty_tables(spark):
 def test_quality_on_held_out_rows(spark):
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet").select("doc_id", F.col("quality").alias("label"))
-    both = docs.join(labels, "doc_id").withColumn("held", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
-    model = compression_quality.fit(both.where("NOT held"))
-    got = compression_quality.score(both.where("held"), model, keep=["label"]).toPandas()
+    held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2
+    model = compression_quality.fit(docs.where(~held), labels.where(~held))
+    got = compression_quality.score(docs.where(held).join(labels, "doc_id"), model, keep=["label"]).toPandas()
     good, bad = got.score[got.label == 1].to_numpy(), got.score[got.label == 0].to_numpy()
     assert (good[:, None] > bad[None, :]).mean() > 0.97
     assert (good >= 0.7).mean() > 0.98 and (bad >= 0.7).mean() < 0.2
@@ -187,9 +187,10 @@ def test_quality_on_held_out_rows(spark):
 
 def test_quality_on_awkward_tables(spark):
     docs = messy.documents(spark)
-    none = compression_quality.fit(docs.withColumn("label", F.lit(None).cast("int")))
+    labels = docs.select("doc_id", F.lit("x").alias("text"), (F.col("doc_id") % 2).alias("label"))
+    none = compression_quality.fit(docs, labels.withColumn("label", F.lit(None).cast("int")))
     assert {r["score"] for r in compression_quality.score(docs, none, keep=["doc_id"]).collect()} == {0.5}
-    few = compression_quality.fit(docs.withColumn("label", F.col("doc_id") % 2))
+    few = compression_quality.fit(docs, labels)
     scored = compression_quality.score(docs, few, keep=["doc_id", "text"])
     assert scored.count() == docs.count() and scored.columns == ["doc_id", "text", "score"]
     by_text = {}
