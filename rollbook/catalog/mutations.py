@@ -12,7 +12,7 @@ from rollbook.schema import KEYS
 from rollbook.sources.readers import clean_entries
 
 _CELL = ["student_id", "date", "subject"]
-_OUT = [*_CELL, "status", "notes", "is_deleted", "deleted_at", "updated_at"]
+_OUT = ["id", *_CELL, "status", "notes", "is_deleted", "deleted_at", "updated_at"]
 _TEXT = "strftime({0}, '%Y-%m-%d %H:%M:%S') AS {1}"
 
 
@@ -26,9 +26,9 @@ _LAST = """(SELECT * FROM (SELECT seq, student_id, date, nullif(subject, '') AS
 
 
 def _set_sql(notes: str) -> str:
-    return f"""SELECT c.student_id, c.date, c.subject, c.status, {notes} AS notes, FALSE AS is_deleted, CAST(NULL AS VARCHAR) AS deleted_at, {_ts('c.changed_at', 'updated_at')}
+    return f"""SELECT coalesce(a.id, (SELECT max(id) FROM attendance) + c.seq) AS id, c.student_id, c.date, c.subject, c.status, {notes} AS notes, FALSE AS is_deleted, CAST(NULL AS VARCHAR) AS deleted_at, {_ts('c.changed_at', 'updated_at')}
 FROM {_LAST} c LEFT JOIN attendance a ON a.student_id = c.student_id AND a.date = c.date AND a.subject IS NOT DISTINCT FROM c.subject
-UNION ALL SELECT a.student_id, a.date, a.subject, a.status, a.notes, a.is_deleted, {_ts('a.deleted_at', 'deleted_at')}, {_ts('a.updated_at', 'updated_at')} FROM attendance a
+UNION ALL SELECT a.id, a.student_id, a.date, a.subject, a.status, a.notes, a.is_deleted, {_ts('a.deleted_at', 'deleted_at')}, {_ts('a.updated_at', 'updated_at')} FROM attendance a
 WHERE NOT EXISTS (SELECT 1 FROM change_log c WHERE c.student_id = a.student_id AND c.date = a.date AND nullif(c.subject, '') IS NOT DISTINCT FROM a.subject)"""
 
 
@@ -53,7 +53,7 @@ def _(t):
     return state.groupBy(F.col("subject").isNull().alias("no_subject")).agg(F.count(F.lit(1)).alias("n_rows"))
 
 
-_STEP = """(SELECT p.person_id AS owner, c.date, nullif(c.subject, '') AS subject, count(*) AS n, max(c.changed_at) AS last_at, arg_max(c.student_id, (c.changed_at, c.seq)) AS home
+_STEP = """(SELECT p.person_id AS owner, c.date, nullif(c.subject, '') AS subject, count(*) AS n, max(c.changed_at) AS last_at, arg_max(c.student_id, (c.changed_at, c.seq)) AS home, arg_max(c.seq, (c.changed_at, c.seq)) AS last_seq
  FROM change_log c JOIN o_person p ON p.id = c.student_id GROUP BY 1, 2, 3)"""
 _CURRENT = """(SELECT * FROM (SELECT p.person_id AS owner, a.*, row_number() OVER (PARTITION BY p.person_id, a.date, a.subject ORDER BY a.student_id DESC, a.id DESC) AS rn
  FROM attendance a JOIN o_person p ON p.id = a.student_id WHERE NOT a.is_deleted) x WHERE rn = 1)"""
@@ -63,9 +63,9 @@ _TOGGLED = f"""(SELECT s.*, k.id AS cur_id, k.notes AS cur_notes, coalesce(list_
 
 @query(
     "m_toggle",
-    f"""SELECT home AS student_id, date, subject, ['noshow', 'present', 'absent', 'ta', 'noshow'][total % 5 + 1] AS status, CASE WHEN n = 1 AND total % 5 = 0 THEN cur_notes END AS notes, total % 5 = 0 AS is_deleted,
+    f"""SELECT coalesce(cur_id, (SELECT max(id) FROM attendance) + last_seq) AS id, home AS student_id, date, subject, ['noshow', 'present', 'absent', 'ta', 'noshow'][total % 5 + 1] AS status, CASE WHEN n = 1 AND total % 5 = 0 THEN cur_notes END AS notes, total % 5 = 0 AS is_deleted,
  CASE WHEN total % 5 = 0 THEN strftime(last_at, '%Y-%m-%d %H:%M:%S') END AS deleted_at, {_ts('last_at', 'updated_at')} FROM {_TOGGLED} g
-UNION ALL SELECT a.student_id, a.date, a.subject, a.status, a.notes, a.is_deleted OR coalesce(g.total > 4, FALSE), {_ts('CASE WHEN NOT a.is_deleted AND g.total > 4 THEN g.last_at ELSE a.deleted_at END', 'deleted_at')}, {_ts('a.updated_at', 'updated_at')}
+UNION ALL SELECT a.id, a.student_id, a.date, a.subject, a.status, a.notes, a.is_deleted OR coalesce(g.total > 4, FALSE), {_ts('CASE WHEN NOT a.is_deleted AND g.total > 4 THEN g.last_at ELSE a.deleted_at END', 'deleted_at')}, {_ts('a.updated_at', 'updated_at')}
 FROM attendance a JOIN o_person p ON p.id = a.student_id LEFT JOIN {_TOGGLED} g ON g.owner = p.person_id AND g.date = a.date AND g.subject IS NOT DISTINCT FROM a.subject
 WHERE g.owner IS NULL OR (a.student_id <> g.home AND a.id IS DISTINCT FROM g.cur_id)""",
 )
@@ -154,12 +154,13 @@ def _(t):
 
 @query(
     "m_holiday_set",
-    """SELECT c.date, c.name FROM (SELECT date, arg_max(notes, (changed_at, seq)) AS name FROM change_log GROUP BY date) c
-UNION ALL SELECT h.date, h.name FROM holidays h WHERE h.date NOT IN (SELECT date FROM change_log)""",
+    """SELECT coalesce(h.id, (SELECT max(id) FROM holidays) + c.seq) AS id, c.date, c.name FROM (SELECT date, arg_max(notes, (changed_at, seq)) AS name, arg_max(seq, (changed_at, seq)) AS seq FROM change_log GROUP BY date) c
+LEFT JOIN holidays h ON h.date = c.date
+UNION ALL SELECT h.id, h.date, h.name FROM holidays h WHERE h.date NOT IN (SELECT date FROM change_log)""",
 )
 def _(t):
     asked = t.change_log.select("date", F.col("notes").alias("name"), "changed_at", "seq")
-    return changes.set_holidays(t.holidays, asked).select("date", "name")
+    return changes.set_holidays(t.holidays, asked).select("id", "date", "name")
 
 
 @query(

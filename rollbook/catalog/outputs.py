@@ -56,7 +56,7 @@ def _(t):
 
 def _change_stream(t):
     """The change log as a stream over the event files."""
-    raw = jobs.read_stream(t.spark, t.sf_dir, t.events.schema, glob="events.parquet")
+    raw = jobs.read_stream(t.spark, f"{t.sf_dir}/events.parquet", t.events.schema)
     return _as_changes(raw)
 
 

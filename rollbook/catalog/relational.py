@@ -329,12 +329,12 @@ def _(t):
 
 @query(
     "w_row_index",
-    """SELECT student_id, year, month, present_count, row_number() OVER (PARTITION BY year, month ORDER BY present_count, student_id) AS position
-FROM (SELECT student_id, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, count(*) FILTER (status = 'present') AS present_count FROM attendance_hist WHERE NOT is_deleted GROUP BY 1, 2, 3) x""",
+    """SELECT id, name, subject, teacher_name, total_scheduled, present_count, percentage, row_number() OVER (ORDER BY percentage NULLS FIRST, id, subject NULLS FIRST) AS position FROM o_summary""",
 )
 def _(t):
-    rows = records.student_summary(t.attendance_hist).select("student_id", "year", "month", "present_count")
-    return row_index(rows, ["year", "month"], "present_count", "student_id")
+    rows = records.scheduled_summary(t.marked, t.holidays, YEAR, MONTH)
+    columns = ["id", "name", "subject", "teacher_name", "total_scheduled", "present_count", "percentage", "position"]
+    return records.lowest_first(rows).select(*columns)
 
 
 @query("o_sort", "SELECT student_id, subject, hidden_from_year, hidden_from_month FROM hidden_attendance_rows")
@@ -357,11 +357,11 @@ def _(t):
 
 @query(
     "o_topk_lowest",
-    "SELECT id, subject, percentage FROM o_summary ORDER BY percentage NULLS FIRST, id, subject NULLS FIRST LIMIT 25",
+    "SELECT id, subject, percentage, row_number() OVER (ORDER BY percentage NULLS FIRST, id, subject NULLS FIRST) AS position FROM o_summary",
 )
 def _(t):
     rows = records.scheduled_summary(t.marked, t.holidays, YEAR, MONTH)
-    return records.lowest_first(rows, 25).select("id", "subject", "percentage")
+    return records.lowest_first(rows).select("id", "subject", "percentage", "position")
 
 
 @query(

@@ -25,7 +25,7 @@ SELECT CAST(c_custkey AS INT) AS id,
  CASE WHEN c_custkey % 3 = 0 THEN NULL ELSE DATE '2023-01-01' + CAST(c_custkey % 300 AS INT) END AS first_start_date
 FROM customer""",
     "teachers": """
-SELECT CAST(s_suppkey AS INT) AS id, 'Teacher ' || CAST(s_suppkey % 80 AS VARCHAR(20)) AS name, s_acctbal >= 0 AS is_active FROM supplier""",
+SELECT CAST(s_suppkey AS INT) AS id, 'Teacher ' || CAST(CAST(floor(s_suppkey / 2) AS INT) AS VARCHAR(20)) AS name, s_acctbal >= 0 AS is_active FROM supplier""",
     "time_slots": """
 SELECT DISTINCT CAST(o_orderkey % 12 AS INT) AS id, CAST(540 + 30 * (o_orderkey % 12) AS INT) AS start_min, CAST(570 + 30 * (o_orderkey % 12) AS INT) AS end_min FROM orders""",
     "assignments": """
@@ -50,11 +50,13 @@ SELECT CAST(o_custkey AS INT) AS student_id, CAST(l_shipdate AS DATE) AS date, o
     "holidays": """
 SELECT DISTINCT CAST(year(CAST(ts AS DATE)) * 10000 + month(CAST(ts AS DATE)) * 100 + day(CAST(ts AS DATE)) AS INT) AS id, CAST(ts AS DATE) AS date, 'Holiday ' || CAST(day(CAST(ts AS DATE)) AS VARCHAR(20)) AS name FROM events WHERE day(CAST(ts AS DATE)) % 10 = 5""",
     "student_notes": """
-SELECT CAST(doc_id % 150 AS INT) AS student_id, CAST(2024 AS INT) AS year, CAST(doc_id % 12 + 1 AS INT) AS month, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'Math' END AS subject, min(text) AS notes FROM documents GROUP BY 1, 2, 3, 4""",
+SELECT CAST(doc_id AS INT) AS student_id, CAST(2024 AS INT) AS year, CAST(doc_id % 12 + 1 AS INT) AS month, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'Math' END AS subject, text AS notes FROM documents""",
+    # one subject per part, and a second one for every third
     "student_subject_tuition": """
-SELECT student_id, subject, min(price_per_class) AS price_per_class, min(currency) AS currency FROM (SELECT CAST(p_partkey % 150 AS INT) AS student_id,
+SELECT CAST(p_partkey AS INT) AS student_id,
  CASE p_type WHEN 'MEDIUM' THEN 'Math' WHEN 'LARGE' THEN 'English' WHEN 'SMALL' THEN 'Science' WHEN 'PROMO' THEN 'Korean' WHEN 'ECONOMY' THEN 'Art' ELSE 'Music' END AS subject,
- CAST(p_retailprice AS DECIMAL(10,2)) AS price_per_class, CASE WHEN p_size % 2 = 0 THEN 'PHP' ELSE 'KRW' END AS currency FROM part) t GROUP BY student_id, subject""",
+ CAST(p_retailprice AS DECIMAL(10,2)) AS price_per_class, CASE WHEN p_size % 2 = 0 THEN 'PHP' ELSE 'KRW' END AS currency FROM part
+UNION ALL SELECT CAST(p_partkey AS INT), 'Drama', CAST(floor(p_retailprice / 3) AS DECIMAL(10,2)), CASE WHEN p_size % 3 = 0 THEN 'PHP' ELSE 'KRW' END FROM part WHERE p_partkey % 3 = 0""",
     "subject_tuition_payments": """
 SELECT student_id, subject, CAST(2024 AS INT) AS year, CAST(1 AS INT) AS month, student_id % 3 = 0 AS paid, CASE WHEN student_id % 3 = 0 THEN DATE '2024-01-31' ELSE NULL END AS payment_date, CASE WHEN student_id % 4 = 0 THEN '' ELSE 'by ' || subject END AS notes FROM student_subject_tuition WHERE student_id % 2 = 0 OR student_id % 3 = 0""",
     "teacher_student_commission": """
@@ -85,7 +87,7 @@ SELECT student_id, coalesce(subject, '') AS subject FROM attendance_log""",
     "change_log": """
 SELECT id AS seq, student_id, date + CAST(id % 2 AS INT) AS date, coalesce(subject, '') AS subject, status, 'new ' || CAST(id AS VARCHAR(20)) AS notes, updated_at + INTERVAL 31 DAY AS changed_at FROM attendance_log""",
     "rate_changes": """
-SELECT p_partkey AS seq, CAST(p_partkey % 160 AS INT) AS student_id,
+SELECT p_partkey AS seq, CAST(floor(p_partkey / 2) AS INT) AS student_id,
  CASE p_type WHEN 'MEDIUM' THEN 'Math' WHEN 'LARGE' THEN 'English' ELSE 'Drama' END AS subject,
  CAST(floor(p_retailprice / 2) AS DECIMAL(10,2)) AS price_per_class, CASE p_size % 3 WHEN 0 THEN 'PHP' WHEN 1 THEN 'KRW' ELSE 'USD' END AS currency,
  CAST(DATE '2024-02-01' + CAST(p_size % 20 AS INT) AS TIMESTAMP) AS changed_at FROM part""",

@@ -9,7 +9,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.names import blank_to_null
@@ -103,7 +103,7 @@ def set_records(
     )
     notes = F.col("_stored.notes") if keep_notes else F.col("_row.notes")
     values = {
-        "id": F.coalesce("_stored.id", "_row.seq"),
+        "id": F.coalesce(F.col("_stored.id").cast("long"), _new_id(state, F.col("_row.seq"))),
         "status": F.col("_row.status"),
         "notes": notes,
         "is_deleted": F.coalesce("_row.is_deleted", F.lit(False)),
@@ -113,6 +113,11 @@ def set_records(
     return merged.select(*[F.col(c) if c in CELL else values[c].alias(c) for c in state.columns])
 
 
+def _new_id(state: DataFrame, seq: Column) -> Column:
+    """An id no stored row has: the change number above the highest stored id."""
+    return F.coalesce(state.agg(F.max("id").cast("long")).scalar(), F.lit(0)) + seq.cast("long")
+
+
 def bulk_set_records(state: DataFrame, changes: DataFrame) -> DataFrame:
     return set_records(state, changes, keep_notes=True)
 
@@ -202,7 +207,7 @@ def toggle_records(state: DataFrame, toggles: DataFrame, persons: DataFrame) ->
     kinds = {f.name: f.dataType for f in state.schema.fields}
     untouched = (F.col("_n") == 1) & (at_end == 0)
     moved = {
-        "id": F.coalesce("_cur.id", "_last.seq"),
+        "id": F.coalesce(F.col("_cur.id").cast("long"), _new_id(state, F.col("_last.seq"))),
         "student_id": F.col("_last.student_id"),
         "status": F.get(names, at_end),
         "notes": F.when(untouched, F.col("_cur.notes")),
@@ -211,7 +216,7 @@ def toggle_records(state: DataFrame, toggles: DataFrame, persons: DataFrame) ->
         "updated_at": F.col("_last.changed_at"),
     }
     toggled = steps.select(
-        *[moved[c].cast(kinds[c]).alias(c) if c in moved else F.col(c) for c in state.columns]
+        *[(moved[c] if c == "id" else moved[c].cast(kinds[c])).alias(c) if c in moved else F.col(c) for c in state.columns]
     )
     decided = steps.select(
         *cell, F.col("_cur.id").alias("_cur_id"), F.col("_last.student_id").alias("_home"),
@@ -250,11 +255,11 @@ def set_notes(state: DataFrame, changes: DataFrame) -> DataFrame:
 
 
 def set_holidays(state: DataFrame, changes: DataFrame) -> DataFrame:
-    """Holidays by date; a new one takes the number of its change as id."""
+    """Holidays by date; a new one takes an id above all stored ones."""
     named = changes.withColumn("name", F.coalesce("name", F.lit("")))
     merged = upsert(state.withColumn("_seq", F.lit(None).cast("long")), named.withColumn("_seq", F.col("seq")),
                     KEYS["holidays"], ["name", "_seq"])
-    return merged.withColumn("id", F.coalesce("id", F.col("_seq").cast(state.schema["id"].dataType))).drop("_seq")
+    return merged.withColumn("id", F.coalesce(F.col("id").cast("long"), _new_id(state, F.col("_seq")))).drop("_seq")
 
 
 def delete_holidays(state: DataFrame, ids: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from rollbook.functions.values import STATUS_CODES, percentage
 from rollbook.operators.aggregates import tally
 from rollbook.operators.identity import apply_remap
 from rollbook.operators.joins import null_safe_join
+from rollbook.operators.ranking import row_index
 from rollbook.schema import STATUSES
 from rollbook.sources.calendar import day_set, holiday_set, schedule_set, size_of, without
 from rollbook.sources.readers import date_range, month_slice
@@ -115,9 +116,9 @@ def summary_totals(summary: DataFrame) -> DataFrame:
     )
 
 
-def lowest_first(summary: DataFrame, k: int) -> DataFrame:
-    """The k rows of lowest percentage, rows without one first; a top-k, no full sort."""
-    return summary.orderBy(F.col("percentage").asc_nulls_first(), "id", F.col("subject").asc_nulls_first()).limit(k)
+def lowest_first(summary: DataFrame) -> DataFrame:
+    """Every row with its ``position`` by percentage, rows without one first, then by id and subject."""
+    return row_index(summary, [], "percentage", "id", ties=["subject"])
 
 
 def month_grid(marked: DataFrame, holidays: DataFrame, year: int, month: int) -> DataFrame:

@@ -23,6 +23,14 @@ def read_stream(
     glob: str = "*.parquet",
     files_per_batch: int = 1000,
 ) -> DataFrame:
+    """The files of a table as a stream: ``path`` is its folder or its only file. A path without files is an error,
+    as a stream over it would end without having written anything."""
+    files = spark.read.schema(schema).option("pathGlobFilter", glob).parquet(path).inputFiles()
+    if not files:
+        raise FileNotFoundError(f"no file {glob} in {path}")
+    folder, _, name = path.rstrip("/").rpartition("/")
+    if len(files) == 1 and files[0].endswith(f"/{name}"):  # streams read folders only
+        path, glob = folder, name
     return (
         spark.readStream.schema(schema)
         .option("pathGlobFilter", glob)

@@ -45,7 +45,7 @@ def test_set_updates_revives_and_inserts(spark):
     assert len(got) == 4 == new.count()
     math = got[1, "Math"]
     assert (math["id"], math["status"], math["notes"], math["is_deleted"], math["deleted_at"]) == (1, "noshow", "c11", False, None)
-    assert got[1, "Art"]["notes"] == "n2" and got[2, None]["id"] == 12 and got[1, None]["id"] == 3
+    assert got[1, "Art"]["notes"] == "n2" and got[2, None]["id"] == 15 and got[1, None]["id"] == 3
     assert new.schema.names == state.schema.names
 
 
@@ -218,8 +218,8 @@ def test_notes_holidays_and_hiding(spark):
     free = table(spark, "holidays", [{"id": 1, "date": DAY, "name": "old"}])
     named = spark.createDataFrame([(DAY, "new", 5), (dt.date(2024, 5, 1), None, 6)], "date date, name string, seq long").withColumn("changed_at", F.lit(at(1)))
     after = changes.set_holidays(free, named)
-    assert {(r["id"], r["name"]) for r in after.collect()} == {(1, "new"), (6, "")}
-    assert changes.delete_holidays(after, spark.createDataFrame([(6,)], "id int")).count() == 1
+    assert {(r["id"], r["name"]) for r in after.collect()} == {(1, "new"), (7, "")}
+    assert changes.delete_holidays(after, spark.createDataFrame([(7,)], "id int")).count() == 1
     hidden = table(spark, "hidden_attendance_rows", [{"student_id": 1, "subject": None, "hidden_from_year": 2023, "hidden_from_month": 5}])
     rows = spark.createDataFrame(
         [(1, "", None, None, 1), (2, "Art", 2025, 2, 2)], "student_id int, subject string, hidden_from_year int, hidden_from_month int, seq long"
