@@ -118,17 +118,15 @@ def trigram_query(pattern: str) -> list[list[list[str]]]:
     return needs.clauses
 
 
-def _lower(text: Column) -> Column:
-    return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
-
-
 def postings(docs: DataFrame, grams: Sequence[str], *, key: str, text: str) -> DataFrame:
-    """``gram``, ``doc``: the inverted index of these trigrams over lower-cased texts, a row per distinct pair."""
-    low = docs.select(named(key).alias("doc"), _lower(named(text)).alias("low")).where("low IS NOT NULL")
-    held = F.filter(F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams)), lambda g: g.isNotNull())
-    return low.select("doc", held.alias("grams")).where(F.size("grams") > 0).select(
-        "doc", F.explode("grams").alias("gram")
-    ).distinct()
+    """``gram``, ``doc``: the inverted index of these trigrams over lower-cased texts, a row per distinct pair.
+
+    Lower case of other than ASCII letters may add a posting, never lose one.
+    """
+    # one exploded element each: a plan step, so that a text is lower-cased once and not for every trigram
+    low = docs.select(named(key).alias("doc"), F.explode(F.array(F.lower(named(text)))).alias("low"))
+    held = F.array(*(F.when(F.contains("low", F.lit(g)), F.lit(g)) for g in grams))
+    return low.select("doc", F.explode(held).alias("gram")).where("gram IS NOT NULL").distinct()
 
 
 def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
