@@ -24,23 +24,41 @@ MAGIC, VERSION = b"PFOR", 1
 HEAD = "<4sIIQQ"  # magic, version, ids a block, ids, documents
 
 
+def _lanes(width: int) -> list[tuple[int, int, int, int]]:
+    """Where each of 64 values of this width lies in ``width`` words of 64 bits: value, word, shift, bits in the next."""
+    return [(i, i * width // 64, i * width % 64, max(0, i * width % 64 + width - 64)) for i in range(64)]
+
+
 def _pack(values: np.ndarray, width: int) -> np.ndarray:
-    """Rows of whole numbers below 2**width as rows of bytes, lowest bit first."""
-    if not width:
-        return np.zeros((len(values), 0), np.uint8)
-    octets = values.astype("<u4").view(np.uint8).reshape(*values.shape, 4)
-    bits = np.unpackbits(octets, axis=2, bitorder="little", count=width)
-    return np.packbits(bits.reshape(len(values), -1), axis=1, bitorder="little")
+    """Rows of whole numbers below 2**width as rows of bytes, lowest bit first; 64 values at a time fill whole words."""
+    rows, block = values.shape
+    padded = np.zeros((rows, -(-block // 64) * 64), np.uint64)
+    padded[:, :block] = values
+    columns = np.ascontiguousarray(padded.reshape(-1, 64).T)
+    words = np.zeros((width, columns.shape[1]), np.uint64)
+    for i, word, shift, over in _lanes(width) if width else []:
+        words[word] |= columns[i] << np.uint64(shift)
+        if over:
+            words[word + 1] |= columns[i] >> np.uint64(width - over)
+    packed = np.ascontiguousarray(words.T).astype("<u8").reshape(rows, -1).view(np.uint8)
+    return packed[:, : -(-width * block // 8)]
 
 
 def _unpack(packed: np.ndarray, width: int, block: int) -> np.ndarray:
+    rows = len(packed)
     if not width:
-        return np.zeros((len(packed), block), np.uint32)
-    bits = np.unpackbits(packed, axis=1, bitorder="little", count=width * block).reshape(len(packed), block, width)
-    octets = np.packbits(bits, axis=2, bitorder="little")
-    wide = np.zeros((len(packed), block, 4), np.uint8)
-    wide[:, :, : octets.shape[2]] = octets
-    return wide.view("<u4").reshape(len(packed), block)
+        return np.zeros((rows, block), np.uint32)
+    padded = np.zeros((rows, -(-block // 64) * 8 * width), np.uint8)
+    padded[:, : packed.shape[1]] = packed
+    words = np.ascontiguousarray(padded.view("<u8").reshape(-1, width).T)
+    mask = np.uint64((1 << width) - 1)
+    out = np.empty((64, words.shape[1]), np.uint32)
+    for i, word, shift, over in _lanes(width):
+        value = words[word] >> np.uint64(shift)
+        if over:
+            value |= words[word + 1] << np.uint64(width - over)
+        out[i] = value & mask
+    return np.ascontiguousarray(out.T).reshape(rows, -1)[:, :block]
 
 
 def encode_ids(ids: np.ndarray, lengths: np.ndarray, keys: list[int | None], block: int = 1024, percentile: float = 0.95) -> bytes:
@@ -138,6 +156,8 @@ class WordEncoder:
     """
 
     _CUT = re.compile(r"(?<=\S)(?= \S)")
+    #: marks behind the last letter of a piece; letters and marks are never one token
+    _CLOSE = re.compile(r"(?<=[^\W\d_])[.,;:!?|#$%&*)\"-]+\Z")
 
     def __init__(self, path: str, room: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,16 +169,21 @@ class WordEncoder:
         self.room = room
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
-    def _pieces(self, text: str) -> list[str]:
-        if any(token in text for token in self.added):
-            return [text]
-        if " ".join(text.split()) != text.replace("\n", " ") or "\x00" in text:
-            return self._CUT.split(text)
+    def _plain(self, text: str) -> list[str] | None:
+        """The pieces of a text whose white space is single spaces and line feeds between visible characters."""
+        if " ".join(text.split()) != text.replace("\n", " ") or "\x00" in text or any(t in text for t in self.added):
+            return None
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if text else []
 
-    def _learn(self, new: list[str]) -> None:
-        """Pieces without inner white space go to the library many at once, a line each; the others one by one."""
-        lines = [p for p in new if p.split() == [p.removeprefix(" ")]] if len(self.line) == 1 else []
+    def _learn(self, plain: list[str], odd: list[str]) -> None:
+        """New plain pieces go to the library many at once, a line each, without their closing marks, so that a word
+        is new once; odd ones one by one."""
+        known = self.known
+        closed = {p: cut for p in plain if (cut := self._CLOSE.search(p))}
+        lines = {p for p in plain if p not in closed}
+        for p, cut in closed.items():
+            lines.update((p[: cut.start()], cut[0]))
+        lines = [p for p in lines if p not in known and p != "\n"] if len(self.line) == 1 else []
         groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
         texts = ["\n".join(g) for g in groups]
         for at in range(0, len(groups), 8):
@@ -169,21 +194,31 @@ class WordEncoder:
                 if len(cuts) == len(group) - 1:
                     body = ids.tobytes()
                     starts, ends = [0, *(4 * cuts + 4).tolist()], [*(4 * cuts).tolist(), len(body)]
-                    self.known.update(zip(group, map(body.__getitem__, map(slice, starts, ends)), strict=True))
-        rest = [p for p in new if p not in self.known]
+                    known.update(zip(group, map(body.__getitem__, map(slice, starts, ends)), strict=True))
+        for p, cut in closed.items():
+            if p not in known and p[: cut.start()] in known and cut[0] in known:
+                known[p] = known[p[: cut.start()]] + known[cut[0]]
+        rest = [p for p in (*plain, *odd) if p not in known]
         for at in range(0, len(rest), 4096):
             part = rest[at : at + 4096]
             for piece, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.known[piece] = np.array(encoding.ids, "<u4").tobytes()
+                known[piece] = np.array(encoding.ids, "<u4").tobytes()
 
     def _known(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, all of them learnt."""
-        split = [self._pieces(t) for t in texts]
-        new = list(set().union(*split).difference(self.known))
-        if len(self.known) + len(new) > self.room:
+        split = [self._plain(t) for t in texts]
+        odd = []
+        for i, pieces in enumerate(split):
+            if pieces is None:
+                split[i] = [texts[i]] if any(t in texts[i] for t in self.added) else self._CUT.split(texts[i])
+                odd.append(i)
+        others = set().union(*(split[i] for i in odd))
+        plain = set().union(*split) - others if others else set().union(*split)
+        new, strange = plain.difference(self.known), others.difference(self.known)
+        if len(self.known) + 2 * (len(new) + len(strange)) > self.room:
             self.known = {}
-            new = list(set().union(*split))
-        self._learn(new)
+            new, strange = plain, others
+        self._learn(list(new), list(strange))
         return split
 
     def encode(self, texts: list[str]) -> list[bytes]:

@@ -22,11 +22,12 @@ EDITS = "array<struct<start:int,end:int,text:string>>"
 def segments(text: str, chars: int, most: int | None = None) -> list[str]:
     """The text cut at such places into parts of ``chars`` characters or more, ``most`` parts at most."""
     parts, start = [], 0
-    for found in CUT.finditer(text):
-        at = found.start()
-        if at - start >= chars and (most is None or len(parts) < most - 1):
-            parts.append(text[start:at])
-            start = at
+    while most is None or len(parts) < most - 1:
+        found = CUT.search(text, start + chars)
+        if not found:
+            break
+        parts.append(text[start : found.start()])
+        start = found.start()
     return [*parts, text[start:]]
 
 
