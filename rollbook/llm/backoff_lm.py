@@ -22,9 +22,13 @@ _GRAMS = T.StructType([
     T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("batch", T.LongType()),
     T.StructField("keys", T.BinaryType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType()),
 ])
+# what a bucket gives to the documents of a group: places, sums of logarithms, known words; or their names and sizes
 _SUMS = T.StructType([
-    T.StructField("batch", T.LongType()), T.StructField("doc", T.IntegerType()), T.StructField("total", T.DoubleType()), T.StructField("seen", T.LongType()),
-    T.StructField("key", T.LongType()), T.StructField("words", T.LongType()),
+    T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
+    T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType()),
+])
+_SCORES = T.StructType([
+    T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("total", T.DoubleType()),
 ])
 
 
@@ -47,7 +51,7 @@ def _scatter(key: np.ndarray) -> np.ndarray:
 def _unigrams(rows: DataFrame, bits: int) -> np.ndarray:
     """Counts of each class by fold, with class 0 for the documents that have words; 2 x 2**bits numbers at any scale."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << bits), np.int64)
+        table = np.zeros((2, 1 << bits), np.uint32)  # of one task
         for batch in batches:
             for fold, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
                 classes = word_classes(text, bits)
@@ -70,7 +74,7 @@ def _unigrams(rows: DataFrame, bits: int) -> np.ndarray:
                     if at is not None:
                         yield done(at, total)
                     at, total = (row["fold"], row["chunk"]), 0
-                total = total + np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.int64)
+                total = total + np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.uint32).astype(np.int64)
         if at is not None:
             yield done(at, total)
 
@@ -157,7 +161,7 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
 
 def score(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", fold: Column | None = None, bits: int = 22,
-    alpha: float = 0.4, bucket_chars: int = 100_000_000, group: int = 4096,
+    alpha: float = 0.4, bucket_chars: int = 100_000_000, group: int = 512,
 ) -> DataFrame:
     """One row per document: ``key``, ``n_words``, ``n_seen`` (words that follow the word before them in the other
     fold too), ``log_score`` (sum of natural logarithms) and ``perplexity``.
@@ -183,22 +187,19 @@ def score(
     buckets = max(tasks, int(chars // bucket_chars) + 1)
     unigrams = _unigrams(rows, bits)
     words = unigrams[:, 1:].sum(axis=1)
-    # logarithms of what a class scores as a context and alone, by fold
-    held = spark.sparkContext.broadcast((
-        np.log(np.maximum(unigrams, 1)).astype(np.float32),
-        (np.log(np.maximum(unigrams, 1)) - np.log(np.maximum(words, 1))[:, None] + np.log(alpha)).astype(np.float32),
-    ))
+    # logarithms of each class's count by fold, and what a class scores alone above that
+    logs = np.log(np.maximum(unigrams, 1), dtype=np.float32)
+    held = spark.sparkContext.broadcast((logs, np.log(alpha) - np.log(np.maximum(words, 1))))
+    del unigrams, logs
     grams = _grams(rows, bits, buckets, group).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        context, alone = held.value
+        logs, alone = held.value
         at, parts, known, counts = None, [], None, None
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if row["kind"] == 2:
-                    n = len(row["a"])
-                    names = pa.array(np.frombuffer(row["keys"], "<i8"), mask=np.frombuffer(row["a"], "u1") == 0)
-                    yield _result(row["batch"], np.arange(n), np.zeros(n), np.zeros(n, np.int64), names, np.frombuffer(row["c"], "<i8"))
+                    yield _row(row["batch"], 0, row["bucket"], row["keys"], row["a"], row["c"])
                     continue
                 if row["bucket"] != at:
                     at, parts, known = row["bucket"], [], None
@@ -221,25 +222,43 @@ def score(
                 seen = counts[fold_of, pair]
                 first, second = known[pair] >> bits, known[pair] & ((1 << bits) - 1)
                 with np.errstate(divide="ignore"):
-                    value = np.where(seen > 0, np.log(seen) - context[fold_of, first], alone[fold_of, second])
+                    value = np.where(seen > 0, np.log(seen) - logs[fold_of, first], alone[fold_of] + logs[fold_of, second])
                 n = len(other)
                 total = np.bincount(doc, value * times, n)
                 hits = np.bincount(doc, (seen > 0) * times, n).astype(np.int64)
                 some = np.flatnonzero(np.bincount(doc, minlength=n))
-                yield _result(row["batch"], some, total[some], hits[some])
+                yield _row(row["batch"], 1, row["bucket"], some.astype("<u2").tobytes(), total[some].tobytes(), hits[some].astype("<u4").tobytes())
 
-    sums = grams.mapInArrow(run, _SUMS).groupBy("batch", "doc").agg(
-        F.sum("total").alias("total"), F.sum("seen").alias("seen"), F.max("key").alias("k"), F.max("words").alias("n")
-    )
-    return sums.select(
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, names, known, sizes, total, seen = None, [], [], [], np.zeros(0), np.zeros(0, np.int64)
+
+        def done() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays(
+                [pa.array(names, mask=known == 0), pa.array(sizes), pa.array(seen), pa.array(total)], names=_SCORES.names
+            )
+
+        for batch in batches:
+            for row in batch.to_pylist():
+                if row["kind"] == 0:
+                    if at is not None:
+                        yield done()
+                    at = row["batch"]
+                    names, known, sizes = (np.frombuffer(row[x], t) for x, t in (("a", "<i8"), ("b", "u1"), ("c", "<i8")))
+                    total, seen = np.zeros(len(names)), np.zeros(len(names), np.int64)
+                else:
+                    doc = np.frombuffer(row["a"], "<u2")
+                    total[doc] += np.frombuffer(row["b"])
+                    seen[doc] += np.frombuffer(row["c"], "<u4")
+        if at is not None:
+            yield done()
+
+    sums = grams.mapInArrow(run, _SUMS).repartition(tasks, "batch").sortWithinPartitions("batch", "kind", "bucket")
+    return sums.mapInArrow(add, _SCORES).select(
         F.col("k").alias(key), F.col("n").alias("n_words"), F.col("seen").alias("n_seen"), F.col("total").alias("log_score"),
         F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity"),
     )
 
 
-def _result(batch: int, doc: np.ndarray, total: np.ndarray, seen: np.ndarray, names=None, words=None) -> pa.RecordBatch:
-    none = pa.nulls(len(doc), pa.int64())
-    return pa.RecordBatch.from_arrays([
-        pa.array(np.full(len(doc), batch, np.int64)), pa.array(doc.astype(np.int32)), pa.array(total), pa.array(seen),
-        none if names is None else names, none if words is None else pa.array(words),
-    ], names=_SUMS.names)
+def _row(batch: int, kind: int, bucket: int, a: bytes, b: bytes, c: bytes) -> pa.RecordBatch:
+    values = [pa.array([batch], pa.int64()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c))]
+    return pa.RecordBatch.from_arrays(values, names=_SUMS.names)
