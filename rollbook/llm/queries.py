@@ -14,6 +14,7 @@ from rollbook.llm import (
     mixing,
     secret_index,
     simhash,
+    sql,
     subspace_join,
     token_blocks,
     token_edits,
@@ -80,7 +81,7 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
         F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
-        F.col("longest").alias("longest_match"), F.col("longest_at").alias("longest_match_at"),
+        F.col("longest").alias("longest_match"),
     )
 
 
@@ -135,4 +136,9 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
 }
-SQL: dict[str, str] = {}
+SQL = {
+    "op1_subspace_near_dedup": sql.EMBEDDINGS,
+    "op6_benchmark_decontamination": sql.BENCHMARK,
+    "op8_source_mixing": sql.MIX,
+    "op10_secret_scan": sql.SECRETS,
+}

@@ -159,7 +159,7 @@ class WordEncoder:
     #: marks behind the last letter of a piece; letters and marks are never one token
     _CLOSE = re.compile(r"(?<=[^\W\d_])[.,;:!?|#$%&*)\"-]+\Z")
 
-    def __init__(self, path: str, room: int = 600_000):
+    def __init__(self, path: str, room: int = 1_200_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
