@@ -133,6 +133,8 @@ def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str
     ends = planned.groupBy("source").agg(
         F.max("epochs").alias("__epochs"), F.max(F.when((more >= F.col("size")) & (F.col("size") > 0), F.col("waiting"))).alias("__until")
     ).withColumnRenamed("source", "__of")
+    # as a table its size is known when the join is planned: a few rows are broadcast, many are not
+    ends = staged(ends, "ends")
     rate = options.get("weight")
     rate = rate if rate is not None else letter_share(named(text))
     waiting = sample_key(named(key), named(text), rate, seed)
