@@ -8,6 +8,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -151,8 +152,9 @@ class WordEncoder:
     """The ids of whole texts by the tokenizers library, each distinct word once.
 
     The tokenizer's pattern never joins two sides of a space between two visible characters, so such pieces
-    are encoded alone and remembered; the memory is emptied when it holds ``room`` pieces. A text with the
-    string of an added token goes to the library as a whole.
+    are encoded alone and remembered. When half of ``room`` pieces are known they become the older ones, and those
+    in use come back from there; the older ones before are forgotten. A text with the string of an added token goes
+    to the library as a whole.
     """
 
     _CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -166,6 +168,7 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.room = room
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
 
@@ -184,11 +187,11 @@ class WordEncoder:
         for p, cut in closed.items():
             lines.update((p[: cut.start()], cut[0]))
         lines = [p for p in lines if p not in known and p != "\n"] if len(self.line) == 1 else []
-        groups = [lines[i : i + 512] for i in range(0, len(lines), 512)]
+        groups = [lines[i : i + 64] for i in range(0, len(lines), 64)]
         texts = ["\n".join(g) for g in groups]
-        for at in range(0, len(groups), 8):
-            found = self.tokenizer.encode_batch_fast(texts[at : at + 8], add_special_tokens=False)
-            for group, encoding in zip(groups[at : at + 8], found, strict=True):
+        for at in range(0, len(groups), 64):
+            found = self.tokenizer.encode_batch_fast(texts[at : at + 64], add_special_tokens=False)
+            for group, encoding in zip(groups[at : at + 64], found, strict=True):
                 ids = np.array(encoding.ids, "<u4")
                 cuts = np.flatnonzero(ids == self.line[0])
                 if len(cuts) == len(group) - 1:
@@ -215,10 +218,12 @@ class WordEncoder:
         others = set().union(*(split[i] for i in odd))
         plain = set().union(*split) - others if others else set().union(*split)
         new, strange = plain.difference(self.known), others.difference(self.known)
-        if len(self.known) + 2 * (len(new) + len(strange)) > self.room:
-            self.known = {}
+        if len(self.known) + 2 * (len(new) + len(strange)) > self.room // 2:
+            self.known, self.older = {}, self.known
             new, strange = plain, others
-        self._learn(list(new), list(strange))
+        again = (new | strange) & self.older.keys()
+        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
+        self._learn(list(new - again), list(strange - again))
         return split
 
     def encode(self, texts: list[str]) -> list[bytes]:
@@ -234,6 +239,12 @@ class WordEncoder:
         return [sum(map(len, map(ids, pieces))) // 4 for pieces in split]
 
 
+@lru_cache(maxsize=1)
+def word_encoder(path: str) -> WordEncoder:
+    """The encoder of this Python worker: what one task learnt serves the tasks after it. It changes no ids."""
+    return WordEncoder(path)
+
+
 MANIFEST = T.StructType([
     T.StructField("part", T.IntegerType()), T.StructField("seq", T.IntegerType()), T.StructField("file", T.StringType()),
     T.StructField("n_ids", T.LongType()), T.StructField("n_docs", T.LongType()),
@@ -257,7 +268,7 @@ def write_blocks(
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(tasks, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ending = WordEncoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, ending = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         bodies: list[bytes] = []
