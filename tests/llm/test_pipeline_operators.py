@@ -297,6 +297,9 @@ def test_words_encode_as_whole_texts():
     cases += ["".join(r.choice([" ", "  ", "\n", "\t", "a", "B", "é", "1", ".", "'s", "'", " ", "🙂", "\x1c", "\x85", "​"]) for _ in range(60)) for _ in range(400)]
     for text, body in zip(cases, encoder.encode(cases), strict=True):
         assert np.frombuffer(body, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
+    few = token_blocks.WordEncoder(TOKENIZER, room=60)  # forgets between calls
+    parts = [b for at in range(0, len(cases), 3) for b in few.encode(cases[at : at + 3])]
+    assert parts == encoder.encode(cases) and few.older
 
 
 @pytest.mark.parametrize("source", ["messy", "real"])
