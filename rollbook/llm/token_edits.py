@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.llm.common import Scorer, as_text, named, per_text
-from rollbook.llm.token_blocks import WordEncoder
+from rollbook.llm.token_blocks import word_encoder
 
 #: Before a single space between two visible characters no token of the tokenizer goes on.
 CUT = re.compile(r"(?<=\S)(?= \S)")
@@ -65,7 +65,7 @@ class Counter:
     """Builds trees, and applies edits to them."""
 
     def __init__(self, tokenizer: str, chars: int):
-        self.encoder, self.chars = WordEncoder(tokenizer), chars
+        self.encoder, self.chars = word_encoder(tokenizer), chars
 
     def count(self, parts: list[str]) -> list[int]:
         return self.encoder.count(parts)
