@@ -287,13 +287,15 @@ def _(t):
 
 @query(
     "f_default_num",
-    r"""SELECT event_id, coalesce(TRY_CAST(regexp_extract(substr(props, 7), '^\s*([+-]?[0-9]+)', 1) AS BIGINT), 0) AS parsed, CAST(0 AS DOUBLE) AS unparsed FROM events""",
+    r"""SELECT event_id, coalesce(TRY_CAST(regexp_extract(substr(props, 7), '^\s*([+-]?[0-9]+)', 1) AS BIGINT), 0) AS parsed, CAST(0 AS DOUBLE) AS unparsed,
+coalesce(CAST(CAST(value AS DECIMAL(18, 2)) AS DOUBLE), 0) AS parsed_float FROM events""",
 )
 def _(t):
     return t.events.select(
         "event_id",
         values.int_or_zero(F.expr("substr(props, 7)")).alias("parsed"),
         values.float_or_zero("props").alias("unparsed"),
+        values.float_or_zero(F.concat(F.col("value").cast("decimal(18,2)").cast("string"), F.lit(" a class"))).alias("parsed_float"),
     )
 
 

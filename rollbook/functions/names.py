@@ -14,6 +14,7 @@ def identity_key(notion_page_id="notion_page_id", name="name", korean_name="kore
     return F.coalesce(col(notion_page_id), by_name)
 
 
+# The two bracket patterns and the parts of the identity key define the names.
 def bracket_name(name="name") -> Column:
     """Text inside the first ``[...]``; NULL without one."""
     return F.nullif(F.regexp_extract(col(name), r"\[([^\]]+)\]", 1), F.lit(""))

@@ -27,7 +27,7 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 
 def grid_columns(grid: DataFrame, days: int) -> DataFrame:
-    """Export layout of a month grid: four name columns, then the days."""
+    """Export layout of a month grid: four name columns (their headings are fixed values), then the days."""
     blank = [F.coalesce(c, F.lit("")) for c in ("korean_name", "subject", "teacher_name")]
     return grid.select(
         F.col("name").alias("Student Name"),
