@@ -44,13 +44,15 @@ def _(t):
 
 @query(
     "m_set_distinct_nulls",
-    f"""SELECT subject IS NULL AS no_subject, count(*) AS n_rows FROM (
- SELECT student_id, date, subject FROM attendance WHERE subject IS NOT NULL UNION SELECT student_id, date, subject FROM change_log WHERE subject <> '') k GROUP BY 1
-UNION ALL SELECT TRUE, (SELECT count(*) FROM attendance WHERE subject IS NULL) + (SELECT count(*) FROM change_log WHERE subject = '')""",
+    """SELECT student_id, date, subject, CAST(NULL AS VARCHAR) AS own_status FROM attendance WHERE subject IS NOT NULL
+UNION SELECT student_id, date, subject, NULL FROM change_log WHERE subject <> ''
+UNION ALL SELECT student_id, date, NULL, status FROM attendance WHERE subject IS NULL
+UNION ALL SELECT student_id, date, NULL, status FROM change_log WHERE subject = ''""",
 )
 def _(t):
     state = changes.set_records(t.attendance, t.change_log, null_subject_mode="distinct")
-    return state.groupBy(F.col("subject").isNull().alias("no_subject")).agg(F.count(F.lit(1)).alias("n_rows"))
+    own = F.when(F.col("subject").isNull(), F.col("status")).alias("own_status")
+    return state.select("student_id", "date", "subject", own)
 
 
 _STEP = """(SELECT p.person_id AS owner, c.date, nullif(c.subject, '') AS subject, count(*) AS n, max(c.changed_at) AS last_at, arg_max(c.student_id, (c.changed_at, c.seq)) AS home, arg_max(c.seq, (c.changed_at, c.seq)) AS last_seq
