@@ -15,139 +15,109 @@ from pyspark.sql import types as T
 
 from rollbook.llm.common import as_bytes, named
 
-CHUNK = 1 << 16
-_UNIGRAMS = T.StructType([T.StructField("fold", T.IntegerType()), T.StructField("chunk", T.IntegerType()), T.StructField("counts", T.BinaryType())])
-# kind 0: counts of pairs; 1: occurrences; 2: documents
-_GRAMS = T.StructType([
-    T.StructField("bucket", T.IntegerType()), T.StructField("kind", T.IntegerType()), T.StructField("batch", T.LongType()),
-    T.StructField("keys", T.BinaryType()), T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType()),
-])
-# what a bucket gives to the documents of a group: places, sums of logarithms, known words; or their names and sizes
-_SUMS = T.StructType([
+# kind 0: documents of a group; 1: n-grams of a group in a bucket, with their counts by fold
+_ROWS = T.StructType([
     T.StructField("batch", T.LongType()), T.StructField("kind", T.IntegerType()), T.StructField("bucket", T.IntegerType()),
-    T.StructField("a", T.BinaryType()), T.StructField("b", T.BinaryType()), T.StructField("c", T.BinaryType()),
+    T.StructField("data", T.BinaryType()),
 ])
 _SCORES = T.StructType([
     T.StructField("k", T.LongType()), T.StructField("n", T.LongType()), T.StructField("seen", T.LongType()), T.StructField("total", T.DoubleType()),
 ])
+# what a document begins with, and any word: no word has white space
+_START, _ANY = (xxhash.xxh64_intdigest(x) for x in (b" ", b"  "))
+_ONE, _TWO = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-def word_classes(text: bytes, bits: int) -> np.ndarray:
-    """The class of each word: words are lower-cased (A-Z), split at ASCII white space and hashed to 1 .. 2**bits - 1."""
+def word_hashes(text: bytes, bits: int | None = None) -> np.ndarray:
+    """The hash of each word: words are lower-cased (A-Z) and split at ASCII white space; with ``bits`` 1 .. 2**bits - 1."""
     words = text.lower().split()
-    hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in words), np.uint64, len(words))
-    return (hashes % np.uint64((1 << bits) - 1)).astype(np.int64) + 1
+    hashes = np.fromiter(map(xxhash.xxh64_intdigest, words), np.uint64, len(words))
+    return hashes if bits is None else hashes % np.uint64((1 << bits) - 1) + np.uint64(1)
 
 
-def _pairs(classes: np.ndarray, bits: int) -> np.ndarray:
-    """Keys of each word with the one before it; before the first stands class 0."""
-    return (np.concatenate([[0], classes[:-1]]) << bits) | classes if len(classes) else classes
+def _mixed(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
 
-def _scatter(key: np.ndarray) -> np.ndarray:
-    return ((key.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)).astype(np.int64)
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of numbers of one length, byte by byte: high bytes are mostly alike."""
+    planes = b"".join(np.ascontiguousarray(c, "<u8").view("u1").reshape(-1, 8).T.tobytes() for c in columns)
+    return zstandard.ZstdCompressor(level=1).compress(planes)
 
 
-def _unigrams(rows: DataFrame, bits: int) -> np.ndarray:
-    """Counts of each class by fold, with class 0 for the documents that have words; 2 x 2**bits numbers at any scale."""
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = np.zeros((2, 1 << bits), np.uint32)  # of one task
-        for batch in batches:
-            for fold, text in zip(batch.column(1).to_pylist(), as_bytes(batch.column(2)), strict=True):
-                classes = word_classes(text, bits)
-                if len(classes):
-                    np.add.at(table[fold], classes, 1)
-                    table[fold, 0] += 1
-        pack = zstandard.ZstdCompressor(level=1).compress
-        out = [
-            {"fold": f, "chunk": c, "counts": pack(table[f, c * CHUNK : (c + 1) * CHUNK].tobytes())}
-            for f in (0, 1) for c in range(max(1, (1 << bits) // CHUNK)) if table[f, c * CHUNK : (c + 1) * CHUNK].any()
-        ]
-        yield pa.RecordBatch.from_pylist(out, pa.schema([("fold", pa.int32()), ("chunk", pa.int32()), ("counts", pa.binary())]))
-
-    def add(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # parts of a (fold, chunk) stand together
-        at, total = None, None
-        for part in parts:
-            for row in part.to_pylist():
-                if (row["fold"], row["chunk"]) != at:
-                    if at is not None:
-                        yield done(at, total)
-                    at, total = (row["fold"], row["chunk"]), 0
-                total = total + np.frombuffer(zstandard.ZstdDecompressor().decompress(row["counts"]), np.uint32).astype(np.int64)
-        if at is not None:
-            yield done(at, total)
-
-    def done(at, total) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([at[0]], pa.int32()), pa.array([at[1]], pa.int32()), pa.array([total.tobytes()])], names=_UNIGRAMS.names)
-
-    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    parts = rows.mapInArrow(count, _UNIGRAMS).repartition(tasks, "fold", "chunk").sortWithinPartitions("fold", "chunk")
-    out = np.zeros((2, 1 << bits), np.int64)
-    for r in parts.mapInArrow(add, _UNIGRAMS).collect():
-        out[r["fold"], r["chunk"] * CHUNK : (r["chunk"] + 1) * CHUNK] = np.frombuffer(r["counts"], np.int64)
-    return out
-
-
-def _packed(keys: np.ndarray) -> bytes:
-    """Sorted distinct keys as differences; a difference of 2**32 or more is written whole behind them."""
-    gaps = np.diff(keys, prepend=0)
-    large = gaps >= 0xFFFFFFFF
-    return np.where(large, 0xFFFFFFFF, gaps).astype("<u4").tobytes() + gaps[large].astype("<i8").tobytes()
-
-
-def _unpacked(data: bytes, count: int) -> np.ndarray:
-    gaps = np.frombuffer(data, "<u4", count).astype(np.int64)
-    large = gaps == 0xFFFFFFFF
-    gaps[large] = np.frombuffer(data, "<i8", offset=4 * count)
-    return np.cumsum(gaps)
-
-
-def _grams(rows: DataFrame, bits: int, buckets: int, group: int) -> DataFrame:
-    """Per group of documents and bucket of pairs: the counts of its pairs by fold, and who holds how many of them."""
+def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), "u1").reshape(columns, 8, -1)
+    return [np.ascontiguousarray(p.T).view("<u8").ravel() for p in planes]
+
+
+def _words(texts: list[bytes], bits: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct words of a group behind two names, for what a document begins with and for any word; the
+    places there of the words of all texts; the number of words of each text."""
+    hashes = [word_hashes(t, bits) for t in texts]
+    found, ids = np.unique(np.concatenate(hashes), return_inverse=True)
+    special = np.array([_START, _ANY] if bits is None else [0, 1 << bits], np.uint64)
+    return np.concatenate([special, found]), ids + len(special), np.array([len(h) for h in hashes], np.int64)
+
+
+def _before(ids: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The word before each; 0 before the first of a document."""
+    first = np.roll(ids, 1)
+    first[(np.cumsum(sizes) - sizes)[sizes > 0]] = 0
+    return first
+
+
+def _entries(names: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Sorted keys of a group's words and pairs; the place there of each name, and of the pair at each word."""
+    pair, at = np.unique(first * len(names) + ids, return_inverse=True)
+    a, b = np.divmod(pair, len(names))
+    keys = np.concatenate([_mixed(names + _ONE), _mixed(_mixed(names[a] + _TWO) + names[b])])
+    keys, place = np.unique(keys, return_inverse=True)
+    return keys, place[: len(names)], place[len(names) :][at]
+
+
+def _grams(rows: DataFrame, bits: int | None, buckets: int, group: int) -> DataFrame:
+    """Per group of documents: its documents, and by bucket the counts of its words and pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32
-        schema = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("batch", pa.int64()), *((x, pa.binary()) for x in ("keys", "a", "b", "c"))])
         for whole in batches:
-            for at in range(0, whole.num_rows, group):
-                part = whole.slice(at, group)
+            for start in range(0, whole.num_rows, group):
+                part = whole.slice(start, group)
                 seq += 1
-                # the arrays of a group are cut by bucket; word counts of a document are those of its pairs
-                ids, folds = part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), np.int64)
-                classes = [word_classes(t, bits) for t in as_bytes(part.column(2))]
-                sizes = np.array([len(c) for c in classes], np.int64)
-                # one document may hold a word pair often: its count goes along
-                key = np.concatenate([_pairs(c, bits) for c in classes] or [np.empty(0, np.int64)]).astype(np.int64)
-                doc = np.repeat(np.arange(len(classes)), sizes)
-                bucket = _scatter(key) % buckets
-                order = np.lexsort((doc, key, bucket))
-                key, doc, bucket = key[order], doc[order], bucket[order]
-                new = np.ones(len(key), bool)
-                new[1:] = (np.diff(key) != 0) | (np.diff(doc) != 0)
-                starts = np.flatnonzero(new)
-                times = np.diff(np.append(starts, len(key)))
-                key, doc, bucket = key[starts], doc[starts], bucket[starts]
-                yield pa.RecordBatch.from_pylist([{
-                    "bucket": -1 - int(seq % buckets), "kind": 2, "batch": seq, "keys": np.array([i or 0 for i in ids], "<i8").tobytes(),
-                    "a": np.array([i is not None for i in ids], "u1").tobytes(), "b": folds.astype("u1").tobytes(), "c": sizes.astype("<i8").tobytes(),
-                }], schema)
-                edges = np.searchsorted(bucket, np.arange(buckets + 1))
-                out = []
+                keys_of, folds = part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), np.int64)
+                texts = as_bytes(part.column(2))
+                yield _row(seq, 0, -1 - int(seq % buckets), _documents(keys_of, folds, texts))
+                names, ids, sizes = _words(texts, bits)
+                del texts
+                keys, of_name, of_pair = _entries(names, ids, _before(ids, sizes))
+                of_word, of_fold = of_name[ids], np.repeat(folds, sizes)
+                counts = np.zeros((2, len(keys)), np.int64)
+                for f in (0, 1):
+                    mine = of_fold == f
+                    counts[f] = np.bincount(of_word[mine], minlength=len(keys)) + np.bincount(of_pair[mine], minlength=len(keys))
+                    counts[f, of_name[0]] += np.count_nonzero(sizes[folds == f])
+                    counts[f, of_name[1]] += np.count_nonzero(mine)
+                edges = np.searchsorted((keys >> np.uint64(32)) * np.uint64(buckets) >> np.uint64(32), np.arange(buckets + 1, dtype=np.uint64))
                 for k in np.flatnonzero(np.diff(edges)).tolist():
                     s, e = edges[k], edges[k + 1]
-                    first = np.flatnonzero(np.diff(key[s:e], prepend=-1))
-                    distinct, holders = key[s:e][first], np.diff(np.append(first, e - s))
-                    by_fold = [np.add.reduceat(times[s:e] * (folds[doc[s:e]] == f), first).astype("<u4") for f in (0, 1)]
-                    packed = _packed(distinct)
-                    out.append({"bucket": k, "kind": 0, "batch": seq, "keys": packed, "a": by_fold[0].tobytes(), "b": by_fold[1].tobytes(), "c": b""})
-                    out.append({
-                        "bucket": k, "kind": 1, "batch": seq, "keys": packed, "a": holders.astype("<u4").tobytes(),
-                        "b": doc[s:e].astype("<u2").tobytes(), "c": times[s:e].astype("<u4").tobytes() + folds.astype("u1").tobytes(),
-                    })
-                if out:
-                    yield pa.RecordBatch.from_pylist(out, schema)
+                    yield _row(seq, 1, k, _pack(np.diff(keys[s:e], prepend=np.uint64(0)), *counts[:, s:e]))
+
+    return rows.mapInArrow(run, _ROWS)
 
-    return rows.mapInArrow(run, _GRAMS)
+
+def _documents(keys: list, folds: np.ndarray, texts: list[bytes]) -> bytes:
+    known = np.array([k is not None for k in keys], np.int64)
+    head = _pack(np.array([k or 0 for k in keys], np.int64), known, folds, np.array([len(t) for t in texts], np.int64))
+    # smaller than numbered words with their hashes
+    return len(head).to_bytes(8, "little") + head + zstandard.ZstdCompressor(level=3).compress(b"".join(texts))
+
+
+def _documents_of(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]:
+    end = 8 + int.from_bytes(data[:8], "little")
+    keys, known, folds, lengths = (x.astype(np.int64) for x in _unpack(data[8:end], 4))
+    whole, ends = zstandard.ZstdDecompressor().decompress(data[end:]), np.cumsum(lengths).tolist()
+    return keys, known, folds, [whole[s:e] for s, e in zip([0, *ends], ends, strict=False)]
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -155,12 +125,48 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     counts = np.concatenate([p[1] for p in parts], axis=1)
     order = np.argsort(keys, kind="stable")
     keys, counts = keys[order], counts[:, order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
-    return keys[first], np.add.reduceat(counts, first, axis=1) if len(first) else counts
+    first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+    return keys[first], np.add.reduceat(counts, first, axis=1)
+
+
+def _answers(bucket: int, asked: list[tuple[int, bytes]]) -> Iterator[pa.RecordBatch]:
+    """To each group the counts in the corpus of what it has in a bucket, in the order in which it gave them."""
+    parts, fresh = [], 0
+    for _, data in asked:
+        gaps, *counts = _unpack(data, 3)
+        parts.append((np.cumsum(gaps, dtype=np.uint64), np.stack(counts)))
+        fresh += len(gaps)
+        # what is merged at least doubles, so no key is sorted more than a few times
+        if fresh > max(1 << 20, len(parts[0][0])):
+            parts, fresh = [_merge(parts)], 0
+    keys, counts = _merge(parts)
+    del parts
+    for batch, data in asked:
+        mine = np.searchsorted(keys, np.cumsum(_unpack(data, 3)[0], dtype=np.uint64))
+        yield _row(batch, 1, bucket, _pack(*counts[:, mine]))
+
+
+def _scored(documents: bytes, answers: list[bytes], bits: int | None, alpha: float) -> pa.RecordBatch:
+    keys, known, folds, texts = _documents_of(documents)
+    names, ids, sizes = _words(texts, bits)
+    first = _before(ids, sizes)
+    _, of_name, of_pair = _entries(names, ids, first)
+    given = [_unpack(a, 2) for a in answers]
+    counts = np.stack([np.concatenate([g[f] for g in given]) for f in (0, 1)]).astype(np.float64)
+    doc = np.repeat(np.arange(len(sizes)), sizes)
+    other = 1 - folds[doc]
+    seen = counts[other, of_pair]
+    logs = np.log(np.maximum(counts, 1))
+    alone = np.log(alpha) + logs[other, of_name[ids]] - logs[other, of_name[1]]
+    value = np.where(seen > 0, logs[other, of_pair] - logs[other, of_name[first]], alone)
+    total, hits = (np.bincount(doc, x, len(sizes)) for x in (value, seen > 0))
+    return pa.RecordBatch.from_arrays(
+        [pa.array(keys, mask=known == 0), pa.array(sizes), pa.array(hits.astype(np.int64)), pa.array(total.astype(np.float64))], names=_SCORES.names
+    )
 
 
 def score(
-    docs: DataFrame, *, key: str = "doc_id", text: str = "text", fold: Column | None = None, bits: int = 22,
+    docs: DataFrame, *, key: str = "doc_id", text: str = "text", fold: Column | None = None, bits: int | None = None,
     alpha: float = 0.4, bucket_chars: int = 100_000_000, group: int = 512,
 ) -> DataFrame:
     """One row per document: ``key``, ``n_words``, ``n_seen`` (words that follow the word before them in the other
@@ -169,10 +175,10 @@ def score(
     A word after another scores count(pair) / count(first), or ``alpha`` times count(word) / count(all words) if
     the pair is unknown; an unknown word counts as one. Documents are in two folds, 0 and 1 (``fold``; null and by
     default crc32 of the key modulo 2, 0 for a null key), and each is scored by the counts of all documents of the
-    other fold. Words are known by their hash among 2**bits - 1 classes, so single words are one vector of fixed
-    size, which is broadcast; pairs are not bounded and are counted and joined by hash buckets, the number of
-    which follows the corpus. Null and empty texts have no words, score 0 and a null perplexity. Repeated rows are
-    documents of their own. Other columns are dropped.
+    other fold. Words and pairs are known by 64-bit hashes and neither is bounded: both are counted in hash buckets,
+    the number of which follows the corpus, and the counts go back to the groups of documents that have them. With
+    ``bits`` words are folded into 2**bits - 1 classes first. Null and empty texts have no words, score 0 and a null
+    perplexity. Repeated rows are documents of their own. Other columns are dropped.
     """
     if not 1 <= group <= 1 << 16:
         raise ValueError("a group holds 1 to 65536 documents")
@@ -185,80 +191,44 @@ def score(
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, int(chars // bucket_chars) + 1)
-    unigrams = _unigrams(rows, bits)
-    words = unigrams[:, 1:].sum(axis=1)
-    # logarithms of each class's count by fold, and what a class scores alone above that
-    logs = np.log(np.maximum(unigrams, 1), dtype=np.float32)
-    held = spark.sparkContext.broadcast((logs, np.log(alpha) - np.log(np.maximum(words, 1))))
-    del unigrams, logs
-    grams = _grams(rows, bits, buckets, group).repartition(buckets, "bucket").sortWithinPartitions("bucket", "kind")
+    grams = _grams(rows, bits, buckets, group).repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        logs, alone = held.value
-        at, parts, known, counts = None, [], None, None
+        at, asked = None, []
         for batch in batches:
             for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                if row["kind"] == 2:
-                    yield _row(row["batch"], 0, row["bucket"], row["keys"], row["a"], row["c"])
-                    continue
-                if row["bucket"] != at:
-                    at, parts, known = row["bucket"], [], None
                 if row["kind"] == 0:
-                    mine = _unpacked(row["keys"], len(row["a"]) // 4)
-                    parts.append((mine, np.stack([np.frombuffer(row[x], "<u4").astype(np.int64) for x in "ab"])))
-                    if len(parts) == 64:
-                        parts = [_merge(parts)]
+                    yield _row(row["batch"], 0, row["bucket"], row["data"])
                     continue
-                if known is None:
-                    known, counts = _merge(parts)
-                    parts = []
-                holders = np.frombuffer(row["a"], "<u4").astype(np.int64)
-                mine = np.searchsorted(known, _unpacked(row["keys"], len(holders)))
-                doc = np.frombuffer(row["b"], "<u2").astype(np.int64)
-                times = np.frombuffer(row["c"], "<u4", len(doc)).astype(np.int64)
-                other = 1 - np.frombuffer(row["c"], "u1", offset=4 * len(doc)).astype(np.int64)
-                pair = np.repeat(mine, holders)
-                fold_of = other[doc]
-                seen = counts[fold_of, pair]
-                first, second = known[pair] >> bits, known[pair] & ((1 << bits) - 1)
-                with np.errstate(divide="ignore"):
-                    value = np.where(seen > 0, np.log(seen) - logs[fold_of, first], alone[fold_of] + logs[fold_of, second])
-                n = len(other)
-                total = np.bincount(doc, value * times, n)
-                hits = np.bincount(doc, (seen > 0) * times, n).astype(np.int64)
-                some = np.flatnonzero(np.bincount(doc, minlength=n))
-                yield _row(row["batch"], 1, row["bucket"], some.astype("<u2").tobytes(), total[some].tobytes(), hits[some].astype("<u4").tobytes())
+                if row["bucket"] != at:
+                    if asked:
+                        yield from _answers(at, asked)
+                    at, asked = row["bucket"], []
+                asked.append((row["batch"], row["data"]))
+        if asked:
+            yield from _answers(at, asked)
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, names, known, sizes, total, seen = None, [], [], [], np.zeros(0), np.zeros(0, np.int64)
-
-        def done() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays(
-                [pa.array(names, mask=known == 0), pa.array(sizes), pa.array(seen), pa.array(total)], names=_SCORES.names
-            )
-
+        documents, answers = None, []
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 if row["kind"] == 0:
-                    if at is not None:
-                        yield done()
-                    at = row["batch"]
-                    names, known, sizes = (np.frombuffer(row[x], t) for x, t in (("a", "<i8"), ("b", "u1"), ("c", "<i8")))
-                    total, seen = np.zeros(len(names)), np.zeros(len(names), np.int64)
+                    if documents is not None:
+                        yield _scored(documents, answers, bits, alpha)
+                    documents, answers = row["data"], []
                 else:
-                    doc = np.frombuffer(row["a"], "<u2")
-                    total[doc] += np.frombuffer(row["b"])
-                    seen[doc] += np.frombuffer(row["c"], "<u4")
-        if at is not None:
-            yield done()
+                    answers.append(row["data"])
+        if documents is not None:
+            yield _scored(documents, answers, bits, alpha)
 
-    sums = grams.mapInArrow(run, _SUMS).repartition(tasks, "batch").sortWithinPartitions("batch", "kind", "bucket")
+    sums = grams.mapInArrow(run, _ROWS).repartition(tasks, "batch").sortWithinPartitions("batch", "kind", "bucket")
     return sums.mapInArrow(add, _SCORES).select(
         F.col("k").alias(key), F.col("n").alias("n_words"), F.col("seen").alias("n_seen"), F.col("total").alias("log_score"),
         F.when(F.col("n") > 0, F.exp(-F.col("total") / F.col("n"))).alias("perplexity"),
     )
 
 
-def _row(batch: int, kind: int, bucket: int, a: bytes, b: bytes, c: bytes) -> pa.RecordBatch:
-    values = [pa.array([batch], pa.int64()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), *(pa.array([x], pa.binary()) for x in (a, b, c))]
-    return pa.RecordBatch.from_arrays(values, names=_SUMS.names)
+def _row(batch: int, kind: int, bucket: int, data: bytes) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array([batch], pa.int64()), pa.array([kind], pa.int32()), pa.array([bucket], pa.int32()), pa.array([data], pa.binary())], names=_ROWS.names
+    )

@@ -158,6 +158,33 @@ def test_scores_match_brute_force(spark, source, bits):
     assert all((x["perplexity"] is None) == (x["n_words"] == 0) for x in got)
 
 
+def test_scores_know_every_word(spark):
+    # 200,000 words: in 2**22 - 1 classes thousands of them would share one
+    r = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(200_000)]
+    rows = [(i, " ".join(r.choices(vocabulary, k=500)), i % 2) for i in range(400)]
+    rows += [(400 + i, " ".join(vocabulary[i * 1000 : i * 1000 + 1000]), i // 100) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, f int").repartition(3)
+    one, two = (Counter(), Counter()), (Counter(), Counter())
+    for _, t, f in rows:
+        words = ["", *t.split()]
+        one[f].update(words)
+        two[f].update(zip(words, words[1:], strict=False))
+    want = {}
+    for k, t, f in rows:
+        o, words, total, seen = 1 - f, ["", *t.split()], 0.0, 0
+        size = sum(one[o].values()) - one[o][""]
+        for a, b in zip(words, words[1:], strict=False):
+            n = two[o][a, b]
+            seen += n > 0
+            total += math.log(n / one[o][a]) if n else math.log(0.4 * max(1, one[o][b]) / size)
+        want[k] = (len(words) - 1, seen, total)
+    got = {x["doc_id"]: x for x in backoff_lm.score(docs, fold=F.col("f"), group=64).collect()}
+    assert {k: (x["n_words"], x["n_seen"]) for k, x in got.items()} == {k: w[:2] for k, w in want.items()}
+    for k, w in want.items():
+        assert got[k]["log_score"] == pytest.approx(w[2], rel=1e-9)
+
+
 def test_scores_of_nothing(spark):
     assert backoff_lm.score(messy.empty(spark), bits=16).count() == 0
 
