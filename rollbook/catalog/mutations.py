@@ -255,6 +255,56 @@ def _(t):
     ).drop("changed_at")
 
 
+# what is asked for, and what is stored asked for once more
+_ASKED_RATES = """(SELECT seq, student_id, subject, price_per_class, currency FROM rate_changes
+ UNION ALL SELECT CAST(-student_id AS BIGINT), student_id, subject, price_per_class, currency FROM student_subject_tuition)"""
+
+
+@query(
+    "m_skip_unchanged_rate",
+    f"""SELECT c.seq, c.student_id, c.subject, CAST(c.price_per_class AS DOUBLE) AS price_per_class, c.currency FROM {_ASKED_RATES} c LEFT JOIN student_subject_tuition u ON u.student_id = c.student_id AND u.subject = c.subject
+WHERE u.student_id IS NULL OR u.price_per_class IS DISTINCT FROM c.price_per_class OR u.currency IS DISTINCT FROM c.currency""",
+)
+def _(t):
+    rates, columns = t.student_subject_tuition, ["student_id", "subject", "price_per_class", "currency"]
+    again = rates.select((-F.col("student_id")).cast("long").alias("seq"), *columns)
+    asked = t.rate_changes.select("seq", *columns).unionByName(again)
+    return changes.skip_unchanged(asked, rates, ["student_id", "subject"], ["price_per_class", "currency"])
+
+
+@query(
+    "m_skip_unchanged_commission",
+    """SELECT c.teacher_id, c.student_id, CAST(c.asked AS DOUBLE) AS commission_per_class, c.currency
+FROM (SELECT teacher_id, student_id, commission_per_class + CASE WHEN student_id % 3 = 0 THEN 1 ELSE 0 END AS asked, CASE WHEN student_id % 5 = 0 THEN 'USD' ELSE currency END AS currency FROM teacher_student_commission) c
+JOIN teacher_student_commission u ON u.teacher_id = c.teacher_id AND u.student_id = c.student_id WHERE u.commission_per_class IS DISTINCT FROM c.asked OR u.currency IS DISTINCT FROM c.currency""",
+)
+def _(t):
+    stored = t.teacher_student_commission
+    # another rate for every third student, another currency for every fifth
+    asked = stored.withColumns({
+        "commission_per_class": F.col("commission_per_class") + F.when(F.col("student_id") % 3 == 0, 1).otherwise(0),
+        "currency": F.when(F.col("student_id") % 5 == 0, "USD").otherwise(F.col("currency")),
+    })
+    keys = list(KEYS["teacher_student_commission"])
+    return changes.skip_unchanged(asked, stored, keys, ["commission_per_class", "currency"])
+
+
+_ASKED_NOTES = """(SELECT student_id, CAST(year(date) AS INT) AS year, CAST(month(date) AS INT) AS month, nullif(subject, '') AS subject, notes FROM change_log
+ UNION ALL SELECT student_id, year, month, subject, notes FROM student_notes)"""
+
+
+@query(
+    "m_skip_unchanged_note",
+    f"""SELECT c.student_id, c.year, c.month, c.subject, c.notes FROM {_ASKED_NOTES} c
+LEFT JOIN student_notes n ON n.student_id = c.student_id AND n.year = c.year AND n.month = c.month AND n.subject IS NOT DISTINCT FROM c.subject
+WHERE n.student_id IS NULL OR n.notes IS DISTINCT FROM c.notes""",
+)
+def _(t):
+    columns = ["student_id", "year", "month", "subject", "notes"]
+    asked = _note_changes(t).withColumn("subject", F.expr("nullif(subject, '')")).select(*columns)
+    return changes.skip_unchanged(asked.unionByName(t.student_notes.select(*columns)), t.student_notes, columns[:4], ["notes"])
+
+
 @query(
     "m_affected",
     f"""SELECT n.student_id, n.subject, CASE WHEN u.student_id IS NULL THEN 'inserted' ELSE 'updated' END AS change, n.price_per_class, n.currency FROM ({_RATE_SQL}) n

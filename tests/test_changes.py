@@ -5,6 +5,8 @@ import random
 
 from pyspark.sql import functions as F
 
+from rollbook.catalog import mutations  # noqa: F401  (registers)
+from rollbook.catalog.registry import Tables, run
 from rollbook.operators import changes
 from rollbook.schema import KEYS, SCHEMAS, STATUSES
 from tests.test_reports import table
@@ -207,6 +209,18 @@ def test_rates_subjects_and_unchanged(spark):
     assert [r["student_id"] for r in changes.skip_unchanged(same, rates, keys, ["currency"]).collect()] == [2]
 
 
+def test_a_change_of_price_alone_is_kept(spark):
+    sf = "/root/testdata/sf0.01"
+    stored = Tables(spark, sf).student_subject_tuition
+    keys = ["student_id", "subject"]
+    same_currency = Tables(spark, sf).rate_changes.join(stored.select(*keys, "currency"), [*keys, "currency"], "left_semi").select("seq")
+    kept = {r["seq"] for r in run("m_skip_unchanged_rate", spark, sf).collect()}
+    asked = {r["seq"] for r in same_currency.collect()}
+    assert asked and asked <= kept
+    # what is stored already is dropped
+    assert stored.count() and not any(seq < 0 for seq in kept)
+
+
 def test_notes_holidays_and_hiding(spark):
     notes = table(spark, "student_notes", [{"student_id": 1, "year": 2024, "month": 1, "subject": None, "notes": "old"}])
     asked = spark.createDataFrame(
