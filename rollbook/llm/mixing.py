@@ -34,8 +34,13 @@ def sample_key(key: Column, text: Column, weight: Column, seed: int) -> Column:
 
 
 def bucket_of(waiting: Column, buckets: int) -> Column:
-    """Ranges of the waiting time that hold about as many documents each; they follow its order."""
-    return F.least(F.floor((1 - F.exp(-waiting)) * buckets), F.lit(buckets - 1)).cast("int")
+    """Ranges of the waiting time that follow its order, a quarter of ``buckets`` for each doubling.
+
+    A weight only shifts them: whatever the weights in a source, a range is expected to hold at most
+    4 ln(2) / (e x ``buckets``) of its documents, which is 1.02 / ``buckets``.
+    """
+    held = F.greatest(F.least(waiting, F.lit(2.0**1000)), F.lit(2.0**-1000))
+    return F.floor(F.log2(held) * (buckets / 4)).cast("int")
 
 
 def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float) -> DataFrame:
@@ -78,7 +83,8 @@ def plan(
     of their own. ``source_size`` and the others are zero where a source has no words. Other columns are dropped.
 
     No source is sorted as a whole: documents are summed by source and bucket of the waiting time first, and
-    only the bucket in which a budget ends is sorted, about a ``buckets``-th part of its source.
+    only the bucket in which a budget ends is sorted, about a ``buckets``-th part of its source at most. Rows that
+    repeat a key and a text have one waiting time; there they are one row with their number.
     """
     rate = weight if weight is not None else letter_share(named(text))
     skinny = docs.select(
@@ -111,12 +117,15 @@ def _ends(skinny: DataFrame, weights: Sequence[int], share: float, most: float)
 def _taken(skinny: DataFrame, ends: DataFrame) -> DataFrame:
     joined = skinny.join(ends, skinny["source"].eqNullSafe(ends["of"]))
     upto = Window.partitionBy("source").orderBy("waiting", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    partly = joined.where("bucket = last").withColumn("ahead", F.col("before") + F.coalesce(F.sum("size").over(upto), F.lit(0)))
-    partly = partly.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), F.col("rest") - F.col("ahead"))))
+    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "waiting"]
+    partly = joined.where("bucket = last").groupBy(*columns, "rest", "before").agg(F.count(F.lit(1)).alias("copies"))
+    partly = partly.withColumn("ahead", F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("copies")).over(upto), F.lit(0)))
+    partly = partly.withColumn("nth", F.explode(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1)))
+    left = F.col("rest") - F.col("ahead") - F.col("nth") * F.col("size")
+    partly = partly.withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), left)))
     whole = joined.where("last IS NULL OR bucket <> last").withColumn(
         "part", F.when(F.col("bucket") < F.col("last"), F.col("size")).otherwise(F.lit(0))
     )
-    columns = ["doc_id", "source", "size", "source_size", "target", "epochs", "waiting"]
     both = whole.select(*columns, "part").unionByName(partly.select(*columns, "part"))
     return both.withColumn("taken", (F.col("epochs") * F.col("size") + F.col("part")).cast("long")).drop("part")
 

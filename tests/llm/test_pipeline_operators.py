@@ -266,6 +266,24 @@ def test_mix_returns_whole_documents(spark):
     assert mixing.mix(messy.empty(spark)).count() == 0 and mixing.plan(messy.empty(spark)).count() == 0
 
 
+def test_light_documents_spread_over_the_buckets(spark):
+    n, buckets = 50_000, 1024
+    for weight in (0.05, 1.0, 30.0):
+        waiting = mixing.sample_key(F.col("id"), F.lit("x"), F.lit(weight), 7)
+        sizes = spark.range(n).groupBy(mixing.bucket_of(waiting, buckets)).count()
+        assert sizes.agg(F.max("count")).first()[0] < 3 * n / buckets
+
+
+def test_repeated_rows_are_taken_one_by_one(spark):
+    rows = [(1, "a b c", "s")] * 500 + [(i, "d e", "s") for i in range(2, 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = mixing.plan(docs, weights=(1,), share=0.5, most=1.0).collect()
+    assert sorted((x["doc_id"], x["size"]) for x in got) == sorted((k, len(t.split())) for k, t, _ in rows)
+    assert sum(x["taken"] for x in got) == int(got[0]["target"])
+    # at most one document is taken in part
+    assert sum(0 < x["taken"] < x["size"] for x in got) <= 1
+
+
 # ---- token blocks
 
 @pytest.mark.parametrize("block", [4, 128, 1024])
