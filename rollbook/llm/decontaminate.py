@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -11,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import Scorer, as_bytes, filter_by_text, named, per_text
+from rollbook.llm.common import as_bytes, filter_by_text, named, staged
 
 #: A-Z to lower case, every other ASCII character that is no letter or digit to a space.
 _CLEAN = bytes(
@@ -129,10 +131,14 @@ class ShardMatches:
     items: list[set[str]]
     longest: np.ndarray
     longest_at: np.ndarray
+    hit: list[bytes]  # a bit for each word
 
 
-def match_shard(texts: list[bytes], blocks: list, window: int, details: bool = True) -> ShardMatches:
-    """Search every test suffix of every block in the suffix array of these texts."""
+def match_shard(texts: list[bytes], blocks: list, window: int, details: bool = True, earlier: pa.RecordBatch | None = None) -> ShardMatches:
+    """Search every test suffix of every block in the suffix array of these texts.
+
+    ``earlier`` holds what blocks searched before have found: hit, items, longest, longest_at.
+    """
     split = [words_of(t) for t in texts]
     n_words = np.array([len(w) for w in split], np.int64)
     begins = np.cumsum(n_words + 1) - (n_words + 1)  # a stop follows each document
@@ -140,6 +146,12 @@ def match_shard(texts: list[bytes], blocks: list, window: int, details: bool = T
     hit = np.zeros(size, bool)
     items: list[set[str]] = [set() for _ in texts]
     longest, longest_at = np.zeros(len(texts), np.int64), np.full(len(texts), -1, np.int64)
+    if earlier is not None:
+        found, names, n, at = (c.to_pylist() for c in earlier.columns)
+        for bits, words, begin in zip(found, n_words.tolist(), begins.tolist(), strict=True):
+            hit[begin : begin + words] = np.unpackbits(np.frombuffer(bits, "u1"), count=words)
+        items = [set(x) for x in names]
+        longest, longest_at = np.array(n, np.int64), np.array(at, np.int64)
     for block in blocks:
         tests = TestSuffixes(*block.value) if isinstance(block, Broadcast) else block
         ids = np.zeros(size, np.int64)
@@ -166,7 +178,8 @@ def match_shard(texts: list[bytes], blocks: list, window: int, details: bool = T
             if details:
                 _longest(place, query, length, doc, begins, item, offset, by_window, lows, longest, longest_at)
     n_hit = np.add.reduceat(hit.astype(np.int64), begins) if len(texts) else n_words
-    return ShardMatches(n_words, n_hit, items, longest, longest_at)
+    bits = [np.packbits(hit[a : a + n]).tobytes() for a, n in zip(begins.tolist(), n_words.tolist(), strict=True)]
+    return ShardMatches(n_words, n_hit, items, longest, longest_at, bits)
 
 
 def _longest(place, query, length, doc, begins, item, offset, by_window, lows, longest, longest_at) -> None:
@@ -186,53 +199,69 @@ def _longest(place, query, length, doc, begins, item, offset, by_window, lows, l
             longest[d], longest_at[d] = n, p - begins[d]
 
 
-def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_chars: int) -> list[Broadcast]:
-    """The test suffixes, broadcast in blocks of about ``block_chars`` characters whatever their number."""
+def _blocks(benchmark: DataFrame, item: str, text: str, window: int, block_chars: int) -> Iterator[tuple[Broadcast, bool]]:
+    """The test suffixes in blocks of about ``block_chars`` characters, and whether the block is the last.
+
+    One block is held at a time: what searches a block must have been written before the next is asked for.
+    """
     rows = benchmark.select(F.coalesce(named(item).cast("string"), F.lit("null")).alias("item"), named(text).alias("text"))
     rows = rows.where("text IS NOT NULL")
     total = rows.agg(F.sum(F.length("text"))).first()[0] or 0
     count = total // block_chars + 1
-    made = []
     for k in range(count):
         part = rows.where(F.pmod(F.xxhash64("item", "text"), F.lit(count)) == k).collect()
         tests = TestSuffixes.build([(r["item"], r["text"].encode()) for r in part], window)
-        made.append(benchmark.sparkSession.sparkContext.broadcast((tests.vocabulary, tests.items, tests.suffixes, tests.bits)))
-    return made
+        block = benchmark.sparkSession.sparkContext.broadcast((tests.vocabulary, tests.items, tests.suffixes, tests.bits))
+        del part, tests
+        yield block, k == count - 1
+        if k < count - 1:
+            block.destroy()
 
 
 def matches(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", bench_text: str = "text",
     keep: list[str], window: int = 10, block_chars: int = 16_000_000, shard_docs: int = 2000,
 ) -> DataFrame:
-    """``keep`` and what each document shares with the test items, at every size in one scan of the documents.
+    """``keep`` and what each document shares with the test items, in one scan of the documents per block of items.
 
     A window is ``window`` words of an item in a row, or the whole of a shorter one. Added: ``n_words``,
     ``n_hit`` (words inside a window), ``items`` (array of the ids of items with a window here, sorted as
     strings), ``longest`` and ``longest_at`` (words of the longest verbatim match, and its first word; 0 and
     -1 if none). Null texts have no words and match nothing; a null item id is the string ``null``; items of
-    equal id are one. Test items are a stated query set: they go out in blocks of bounded size.
+    equal id are one. Test items go out in blocks of bounded size, one at a time: before the next, the documents are
+    written with what was found so far.
     """
-    blocks = _blocks(benchmark, item, bench_text, window, block_chars)
-
-    def make() -> Scorer:
-        def score(texts: pa.Array) -> list[pa.Array]:
-            parts = [match_shard(as_bytes(texts[i : i + shard_docs]), blocks, window) for i in range(0, len(texts), shard_docs)]
-            return [
-                pa.array(np.concatenate([p.n_words for p in parts] or [np.empty(0, np.int64)])),
-                pa.array(np.concatenate([p.n_hit for p in parts] or [np.empty(0, np.int64)])),
-                pa.array([sorted(x) for p in parts for x in p.items], pa.list_(pa.string())),
-                pa.array(np.concatenate([p.longest for p in parts] or [np.empty(0, np.int64)])),
-                pa.array(np.concatenate([p.longest_at for p in parts] or [np.empty(0, np.int64)])),
-            ]
-
-        return score
-
     long = T.LongType()
     added = [
         T.StructField("n_words", long), T.StructField("n_hit", long), T.StructField("items", T.ArrayType(T.StringType())),
         T.StructField("longest", long), T.StructField("longest_at", long),
     ]
-    return per_text(docs, text, keep, added, make)
+    kept = [f for f in docs.schema.fields if f.name in keep and f.name not in {x.name for x in added}]
+    plain = [T.StructField(f"c{i}", f.dataType, f.nullable) for i, f in enumerate(kept)]
+    state = [T.StructField("text", T.StringType()), T.StructField("hit", T.BinaryType()), *added[2:]]
+    frame = docs.select(*(named(f.name).alias(x.name) for f, x in zip(kept, plain, strict=True)), named(text).cast("string").alias("text"))
+    for block, last in _blocks(benchmark, item, bench_text, window, block_chars):
+        frame = _searched(frame, len(kept), block, window, shard_docs, T.StructType([*plain, *(added if last else state)]), last)
+        if not last:
+            frame = staged(frame, "matches")
+    return frame.toDF(*(f.name for f in [*kept, *added]))
+
+
+def _searched(frame: DataFrame, kept: int, block: Broadcast, window: int, shard_docs: int, schema: T.StructType, last: bool) -> DataFrame:
+    """``frame`` (the columns kept, the text, and from the second block on what was found before) after one more block."""
+    names = frame.columns[kept + 1 :]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, shard_docs):
+                part = batch.slice(i, shard_docs)
+                earlier = pa.RecordBatch.from_arrays(part.columns[kept + 1 :], names=names) if names else None
+                m = match_shard(as_bytes(part.column(kept)), [block], window, earlier=earlier)
+                found = [pa.array([sorted(x) for x in m.items], pa.list_(pa.string())), pa.array(m.longest), pa.array(m.longest_at)]
+                mine = [pa.array(m.n_words), pa.array(m.n_hit)] if last else [part.column(kept), pa.array(m.hit, pa.binary())]
+                yield pa.RecordBatch.from_arrays([*part.columns[:kept], *mine, *found], names=schema.names)
+
+    return frame.mapInArrow(run, schema)
 
 
 def clean(
@@ -240,17 +269,18 @@ def clean(
     window: int = 10, block_chars: int = 16_000_000, shard_docs: int = 2000,
 ) -> DataFrame:
     """``docs`` without the documents that hold a window of a test item; all columns as they are."""
-    blocks = _blocks(benchmark, item, bench_text, window, block_chars)
-
-    def make():
+    def make(block: Broadcast):
         def mask(texts: pa.Array) -> pa.Array:
             hits = [
-                match_shard(as_bytes(texts[i : i + shard_docs]), blocks, window, details=False).n_hit
+                match_shard(as_bytes(texts[i : i + shard_docs]), [block], window, details=False).n_hit
                 for i in range(0, len(texts), shard_docs)
             ]
             return pa.array(np.concatenate(hits or [np.empty(0, np.int64)]) == 0)
 
         return mask
 
-    return filter_by_text(docs, text, make)
-
+    for block, last in _blocks(benchmark, item, bench_text, window, block_chars):
+        docs = filter_by_text(docs, text, partial(make, block))
+        if not last:
+            docs = staged(docs, "clean")
+    return docs

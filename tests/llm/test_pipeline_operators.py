@@ -165,6 +165,25 @@ def test_matches_brute_force(spark, blocks):
     )
 
 
+def test_one_block_of_the_benchmark_is_held_at_a_time(spark, monkeypatch):
+    held, most = [], []
+    context = type(spark.sparkContext)
+    put, drop = context.broadcast, decontaminate.Broadcast.destroy
+
+    def broadcast(self, value):
+        held.append(1)
+        most.append(len(held))
+        return put(self, value)
+
+    monkeypatch.setattr(context, "broadcast", broadcast)
+    monkeypatch.setattr(decontaminate.Broadcast, "destroy", lambda self, *a, **b: (held.pop(), drop(self, *a, **b))[1])
+    bench = spark.createDataFrame([(i, messy.prose(100 + i, 20)) for i in range(4)], "item_id long, text string")
+    for run in (lambda: decontaminate.matches(messy.documents(spark), bench, keep=["doc_id"], block_chars=150), lambda: decontaminate.clean(messy.documents(spark), bench, block_chars=150)):
+        held.clear()
+        most.clear()
+        assert run().count() and len(most) > 2 and max(most) == 1
+
+
 def test_matches_empty_tables(spark):
     none = spark.createDataFrame([], "item_id long, text string")
     assert decontaminate.clean(messy.documents(spark), none).count() == messy.documents(spark).count()
