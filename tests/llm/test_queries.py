@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
+from collections import Counter
 
+import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from rollbook.llm import queries
+from rollbook.llm import compression_quality, decontaminate, mixing, queries, simhash
 from tests.parity import DATA, compare, connect
 
 SF = f"{DATA}/sf0.001"
@@ -47,3 +51,49 @@ def test_pipeline_of_no_documents(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_rows_of_each_pipeline_stage(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+
+    def quality(docs):
+        scored = compression_quality.score(docs, queries.quality_model(spark, SF), keep=["doc_id", "text"]).collect()
+        return Counter((r["doc_id"], r["text"]) for r in scored if r["score"] >= 0.7)
+
+    def near_duplicates(docs):
+        prints = [(r["doc_id"], r["text"], r[2] % 2**64) for r in simhash.fingerprints(docs, keep=["doc_id", "text"], shingle=3).collect()]
+        left, out = sorted(prints), Counter()
+        while left:
+            group, todo = [], [left[0]]
+            left = left[1:]
+            while todo:
+                group.append(todo.pop())
+                near = [x for x in left if (x[2] ^ group[-1][2]).bit_count() <= 3]
+                todo += near
+                left = [x for x in left if x not in near]
+            out[min(group)[:2]] += 1
+        return out
+
+    def decontamination(docs):
+        found = decontaminate.matches(docs, queries.read_benchmark(spark, SF), keep=["doc_id", "text"], window=10).collect()
+        return Counter((r["doc_id"], r["text"]) for r in found if not r["n_hit"])
+
+    def source_mix(docs):
+        texts, out = {r["doc_id"]: r["text"] for r in docs.collect()}, Counter()
+        for r in mixing.plan(docs, weights=(5, 2, 1), share=1.5, most=2.0).collect():
+            more = r["taken"] - r["epochs"] * r["size"]
+            out[r["doc_id"], texts[r["doc_id"]]] += r["epochs"] + int(r["size"] > 0 and 2 * more >= r["size"])
+        return +out
+
+    for (name, stage), plain in zip(corpus_pipeline.STAGES[:-1], (quality, near_duplicates, decontamination, source_mix), strict=True):
+        out = stage(spark, docs, SF)
+        got = Counter((r["doc_id"], r["text"]) for r in out.collect())
+        assert got and got == plain(docs), name
+        docs = spark.createDataFrame(out.collect(), out.schema)
+    whole, want, start = Tokenizer.from_file(queries.TOKENIZER), Counter(), 0
+    for r in sorted(docs.collect(), key=lambda r: r["doc_id"]):
+        ids = [*whole.encode(r["text"] or "", add_special_tokens=False).ids, 2]
+        want[r["doc_id"], start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes())] += 1
+        start += len(ids)
+    got = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert Counter((r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in got) == want
