@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -27,6 +29,22 @@ def staged(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of text that one step of a task holds as Python objects; a longer text is alone in its step.
+SLICE_BYTES = 2_000_000
+
+
+def slices(texts: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of rows that hold about ``limit`` bytes of text each, or one row."""
+    sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64) + 64
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(texts):
+        before = int(ends[at - 1]) if at else 0
+        stop = max(at + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield at, stop
+        at = stop
+
+
 def as_bytes(texts: pa.Array) -> list[bytes]:
     """UTF-8 of each text; null is empty."""
     return [x or b"" for x in texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()]
@@ -42,7 +60,7 @@ def per_text(
 ) -> DataFrame:
     """``keep`` and the ``added`` columns, computed from the text of each row without a shuffle.
 
-    ``make`` runs once in a task. A kept column with the name of an added one is replaced.
+    ``make`` runs once in a task; a step of it gets texts of bounded size. A kept column with the name of an added one is replaced.
     """
     new = {f.name for f in added}
     kept = [f for f in df.schema.fields if f.name in keep and f.name not in new]
@@ -53,8 +71,10 @@ def per_text(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         score = make()
         for batch in batches:
-            columns = score(batch.column(batch.num_columns - 1))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=plain.names)
+            for at, stop in slices(batch.column(batch.num_columns - 1)):
+                part = batch.slice(at, stop - at)
+                columns = score(part.column(part.num_columns - 1))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=plain.names)
 
     return source.mapInArrow(run, plain).toDF(*(f.name for f in fields))
 
@@ -71,7 +91,9 @@ def filter_by_text(df: DataFrame, text: str, make: Callable[[], Callable[[pa.Arr
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         mask = make()
         for batch in batches:
-            yield batch.filter(mask(batch.column(at)))
+            for first, stop in slices(batch.column(at)):
+                part = batch.slice(first, stop - first)
+                yield part.filter(mask(part.column(at)))
 
     plain = _numbered(df.schema.fields)
     return df.toDF(*plain.names).mapInArrow(run, plain).toDF(*df.columns)
