@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from rollbook.llm import (
@@ -13,6 +13,7 @@ from rollbook.llm import (
     language_bayes,
     mixing,
     periodic_runs,
+    phrase_index,
     secret_index,
     simhash,
     sql,
@@ -154,6 +155,14 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 2000 best phrases of each language, of 2 to 5 words that occur 100 times and more."""
+    found = phrase_index.collocations(read_documents(spark, sf_dir), depth=5, least=100)
+    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
+    found = found.withColumn("rank", F.row_number().over(order)).where("rank <= 2000")
+    return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
+
+
 QUERIES = {
     "op1_subspace_near_dedup": op1_subspace_near_dedup,
     "op2_edit_token_counts": op2_edit_token_counts,
@@ -166,10 +175,12 @@ QUERIES = {
     "op9_language_id": op9_language_id,
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
+    "op12_phrase_collocations": op12_phrase_collocations,
 }
 SQL = {
     "op1_subspace_near_dedup": sql.EMBEDDINGS,
     "op6_benchmark_decontamination": sql.BENCHMARK,
     "op8_source_mixing": sql.MIX,
     "op10_secret_scan": sql.SECRETS,
+    "op12_phrase_collocations": sql.PHRASES,
 }

@@ -62,3 +62,27 @@ WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 f AS (SELECT doc_id, {', '.join(f"{_spans(r, n)} AS s_{r.kind}" for n, r in enumerate((*BASE_RULES, *MORE_RULES)))} FROM d)
 SELECT doc_id, {', '.join(f"CAST(len(s_{r.kind}) AS BIGINT) AS n_{r.kind}" for r in BASE_RULES)},
  sha256({_joined(_KINDS[: len(BASE_RULES)])}) AS base_sha256, {_joined(_KINDS)} AS spans FROM f"""
+
+PHRASES = r"""
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+    translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents WHERE text IS NOT NULL),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS words FROM d),
+starts AS (SELECT lang, words, unnest(range(1, len(words) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(words[i:i + k - 1], ' ') AS phrase
+  FROM starts, (SELECT unnest(range(1, 6)) AS k) WHERE i + k - 1 <= len(words)),
+f AS (SELECT lang, k, phrase, count(*) AS f FROM g GROUP BY ALL HAVING count(*) >= 100),
+n AS (SELECT lang, sum(len(words))::HUGEINT AS n FROM w GROUP BY lang),
+inner_of AS (SELECT DISTINCT lang, phrase, f FROM (
+  SELECT lang, f, unnest([array_to_string(split(phrase, ' ')[1:k - 1], ' '), array_to_string(split(phrase, ' ')[2:k], ' ')]) AS phrase
+  FROM f WHERE k > 2)),
+c AS (SELECT f.* FROM f ANTI JOIN inner_of USING (lang, phrase, f) WHERE k > 1),
+cut AS (SELECT c.lang, c.phrase, c.f AS a, j, l.f AS l, r.f AS r, n.n, (1000::HUGEINT * c.f * n.n) // (l.f::HUGEINT * r.f) AS score
+  FROM c JOIN (SELECT unnest(range(1, 5)) AS j) ON j < c.k JOIN n USING (lang)
+  JOIN f AS l ON l.lang = c.lang AND l.phrase = array_to_string(split(c.phrase, ' ')[1:j], ' ')
+  JOIN f AS r ON r.lang = c.lang AND r.phrase = array_to_string(split(c.phrase, ' ')[j + 1:c.k], ' ')),
+best AS (SELECT * FROM cut QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n::BIGINT AS n, score::BIGINT AS score
+FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM best) WHERE rank <= 2000
+"""
