@@ -18,6 +18,7 @@ from rollbook.llm import (
     simhash,
     sql,
     subspace_join,
+    suffix_dedup,
     token_blocks,
     token_edits,
 )
@@ -163,6 +164,15 @@ def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
 
 
+def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text without its strings of 50 bytes that a document of a smaller doc_id holds."""
+    found = suffix_dedup.remove_repeats(read_documents(spark, sf_dir), keep=["doc_id"], length=50)
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+        F.size("removed").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
 QUERIES = {
     "op1_subspace_near_dedup": op1_subspace_near_dedup,
     "op2_edit_token_counts": op2_edit_token_counts,
@@ -176,6 +186,7 @@ QUERIES = {
     "op10_secret_scan": op10_secret_scan,
     "op11_periodic_runs": op11_periodic_runs,
     "op12_phrase_collocations": op12_phrase_collocations,
+    "op13_suffix_dedup": op13_suffix_dedup,
 }
 SQL = {
     "op1_subspace_near_dedup": sql.EMBEDDINGS,
