@@ -30,18 +30,23 @@ def tokens(text: bytes) -> list[bytes]:
     return [*text.translate(_CLEAN).replace(_STOP, b" . ").split(), _STOP]
 
 
-def _names(ids: np.ndarray, depth: int) -> np.ndarray:
-    """A whole number for each place, in the order of the ``depth`` words and more that begin there."""
-    names, step = ids.astype(np.int64), 1
-    while step < depth:
-        names = np.unique(names << 32 | np.roll(names, -step), return_inverse=True)[1].reshape(-1).astype(np.int64)
-        step *= 2
-    return names
+def _keys(ids: np.ndarray, depth: int) -> np.ndarray:
+    """A whole number for each place, in the order of the ``depth`` words and perhaps more that begin there."""
+    bits = max(1, int(ids.max()).bit_length())
+    span = max(1, min(depth, 63 // bits))
+    key = ids.astype(np.int64)
+    for j in range(1, span):
+        key = key << bits | np.roll(ids, -j)
+    while span < depth:
+        names = np.unique(key, return_inverse=True)[1].reshape(-1).astype(np.int64)
+        key = names << 32 | np.roll(names, -span)
+        span *= 2
+    return key
 
 
 def _transform(ids: np.ndarray, depth: int) -> np.ndarray:
     """The Burrows-Wheeler transform: the word before each suffix, suffixes sorted by their first ``depth`` words."""
-    return ids[np.argsort(_names(ids, depth), kind="stable") - 1].astype("<u4")
+    return ids[np.argsort(_keys(ids, depth)) - 1].astype("<u4")
 
 
 @dataclass
@@ -150,13 +155,29 @@ def _opened(batch: pa.RecordBatch, row: int) -> tuple[int, str, list[bytes], Phr
     return shard, lang, zstandard.decompress(words).split(b"\n"), PhraseIndex(before, after)
 
 
-def _hashes(lang: str, words: list[bytes], pairs: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the group and both words."""
+def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     seed = xxhash.xxh64_intdigest(lang.encode()) & 0xFFFFFFFF
-    each = np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
-    h = each[pairs[:, 0]] * np.uint64(0x9E3779B97F4A7C15) + each[pairs[:, 1]]
-    h ^= h >> np.uint64(32)
-    return (h * np.uint64(0xD6E8FEB86659FD93)).view(np.int64)
+    return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
+
+
+def _hashes(each: np.ndarray, grams: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of the group and all words of each gram."""
+    h = np.zeros(len(grams), np.uint64)
+    for j in range(grams.shape[1]):
+        h = (h + each[grams[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+    return h.view(np.int64)
+
+
+def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Which values are in the sorted ``known``."""
+    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+
+
+def _listed(batch: pa.RecordBatch, column: int, row: int) -> np.ndarray:
+    """The hashes of a list column, sorted; none for null."""
+    found = batch.column(column)[row].values
+    return np.sort(found.to_numpy(zero_copy_only=False)) if found is not None else np.zeros(0, np.int64)
 
 
 def word_counts(index: DataFrame) -> DataFrame:
@@ -173,31 +194,60 @@ def word_counts(index: DataFrame) -> DataFrame:
     return index.mapInArrow(run, schema).groupBy("lang", "phrase").agg(F.sum("f").alias("f"))
 
 
-def frequent_pairs(index: DataFrame, least: int) -> DataFrame:
-    """``shard``, ``pairs``: hashes of the word pairs of a shard that occur ``least`` times in all shards together.
+def _frequent(rows: DataFrame, least: int, out: str) -> DataFrame:
+    """``shard`` and ``out``: hashes of the grams of a shard that occur ``least`` times in all shards together.
 
-    A pair is a row per shard that holds it. Two pairs of one hash count as one, so none that is frequent is missing.
+    A gram is a row per shard that holds it. Two grams of one hash count as one, so none that is frequent is missing.
     """
-    schema = T.StructType([T.StructField("pair", T.LongType()), T.StructField("shard", T.LongType()), T.StructField("f", T.LongType())])
+    counted = rows.withColumn("total", F.sum("f").over(Window.partitionBy("gram")))
+    return counted.where(F.col("total") >= least).groupBy("shard").agg(F.collect_set("gram").alias(out))
+
+
+_GRAMS = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "shard", "f")])
+
+
+def _gram_rows(shard: int, hashes: np.ndarray, phrases: Phrases) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), shard)), pa.array(phrases.count)], names=_GRAMS.names)
+
+
+def frequent_pairs(index: DataFrame, least: int) -> DataFrame:
+    """``shard``, ``pairs``: hashes of its word pairs that are frequent in all shards together."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                shard, lang, words, held = _opened(batch, row)
+                found = held.longer(held.single())
+                yield _gram_rows(shard, _hashes(_word_hashes(lang, words), found.words), found)
+
+    return _frequent(index.mapInArrow(run, _GRAMS), least, "pairs")
+
+
+def _pairs_of(held: PhraseIndex, each: np.ndarray, pairs: np.ndarray) -> Phrases:
+    found = held.longer(held.single())
+    return found[_among(pairs, _hashes(each, found.words))]
+
+
+def frequent_triples(index: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
+    """``shard``, ``triples``: the same of three words, of which both pairs are frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard, lang, words, held = _opened(batch, row)
-                pairs = held.longer(held.single())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(_hashes(lang, words, pairs.words)), pa.array(np.full(len(pairs.low), shard)), pa.array(pairs.count)], names=schema.names
-                )
+                each, frequent = _word_hashes(lang, words), _listed(batch, len(_INDEX), row)
+                found = held.longer(_pairs_of(held, each, frequent))
+                found = found[_among(frequent, _hashes(each, found.words[:, :2]))]
+                yield _gram_rows(shard, _hashes(each, found.words), found)
 
-    counted = index.mapInArrow(run, schema).withColumn("total", F.sum("f").over(Window.partitionBy("pair")))
-    return counted.where(F.col("total") >= least).groupBy("shard").agg(F.collect_set("pair").alias("pairs"))
+    return _frequent(index.join(pairs, "shard").select(*_INDEX.names, "pairs").mapInArrow(run, _GRAMS), least, "triples")
 
 
-def phrase_counts(index: DataFrame, pairs: DataFrame, depth: int, least: int) -> DataFrame:
+def phrase_counts(index: DataFrame, depth: int, least: int) -> DataFrame:
     """``lang``, ``phrase``, ``size``, ``f`` and ``absorbed`` of all phrases of 2 to ``depth`` words that occur ``least`` times.
 
-    Every pair of a frequent phrase is frequent, so intervals are extended by frequent pairs only. ``absorbed``: in every
-    shard the same word is in front of, or behind, all occurrences, so a phrase of one word more is as frequent.
+    Every part of a frequent phrase is frequent, so intervals are extended by frequent pairs and triples only. ``absorbed``:
+    in every shard the same word is in front of, or behind, all occurrences, so a phrase of one word more is as frequent.
     """
     strings = [T.StructField(n, T.StringType()) for n in ("lang", "phrase", "front", "behind")]
     schema = T.StructType([*strings, T.StructField("size", T.IntegerType()), T.StructField("f", T.LongType())])
@@ -206,12 +256,8 @@ def phrase_counts(index: DataFrame, pairs: DataFrame, depth: int, least: int) ->
         for batch in batches:
             for row in range(batch.num_rows):
                 _, lang, words, held = _opened(batch, row)
-                frequent = np.sort(batch.column(len(_INDEX))[row].values.to_numpy(zero_copy_only=False))
-                phrases = held.longer(held.single())
-                hashes = _hashes(lang, words, phrases.words)
-                at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
-                phrases = phrases[frequent[at] == hashes]
-                allowed = np.sort(phrases.words[:, 0] << 32 | phrases.words[:, 1])
+                each, triples = _word_hashes(lang, words), _listed(batch, len(_INDEX) + 1, row)
+                phrases = _pairs_of(held, each, _listed(batch, len(_INDEX), row))
                 for size in range(2, depth + 1):
                     if not len(phrases.low):
                         break
@@ -224,14 +270,17 @@ def phrase_counts(index: DataFrame, pairs: DataFrame, depth: int, least: int) ->
                     )
                     if size < depth:
                         phrases = held.longer(phrases)
-                        key = phrases.words[:, 0] << 32 | phrases.words[:, 1]
-                        phrases = phrases[allowed[np.minimum(np.searchsorted(allowed, key), len(allowed) - 1)] == key]
+                        phrases = phrases[_among(triples, _hashes(each, phrases.words[:, :3]))]
+
+    # one plan: the index is dealt by shard once and both steps read it
+    pairs = frequent_pairs(index, least)
+    triples = frequent_triples(index, pairs, least)
+    listed = index.join(pairs, "shard").join(triples, "shard", "left").select(*_INDEX.names, "pairs", "triples")
 
     def same(name: str):
         return (F.count(name) == F.count("*")) & F.min(name).eqNullSafe(F.max(name))
 
-    found = index.join(pairs, "shard").select(*_INDEX.names, "pairs").mapInArrow(run, schema)
-    summed = found.groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"), (same("front") | same("behind")).alias("absorbed"))
+    summed = listed.mapInArrow(run, schema).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"), (same("front") | same("behind")).alias("absorbed"))
     return summed.where(F.col("f") >= least)
 
 
@@ -249,7 +298,7 @@ def collocations(
     """
     index = build_index(docs, text=text, group=group, depth=depth, shard_words=shard_words)
     words = word_counts(index)
-    phrases = staged(phrase_counts(index, frequent_pairs(index, least), depth, least), "collocations")
+    phrases = staged(phrase_counts(index, depth, least), "collocations")
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     counts = phrases.select("lang", "phrase", "f").unionByName(words.where(F.col("f") >= least))
     parts = F.split("phrase", " ")
