@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import as_bytes, named, slices, staged
+from rollbook.llm.common import as_bytes, named, release, slices, staged
 
 #: A-Z to lower case, tab to space, what ends a piece to a full stop.
 _CLEAN = bytes(
@@ -272,8 +272,9 @@ def phrase_counts(index: DataFrame, depth: int, least: int) -> DataFrame:
                         phrases = held.longer(phrases)
                         phrases = phrases[_among(triples, _hashes(each, phrases.words[:, :3]))]
 
+    pairs = staged(frequent_pairs(index, least), "pairs")
+    release(index.sparkSession)
     # one plan: the index is dealt by shard once and both steps read it
-    pairs = frequent_pairs(index, least)
     triples = frequent_triples(index, pairs, least)
     listed = index.join(pairs, "shard").join(triples, "shard", "left").select(*_INDEX.names, "pairs", "triples")
 
