@@ -8,13 +8,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from rollbook.llm.common import Scorer, as_text, named, per_text
 
-LETTER = re.compile(r"[^\W\d_]")
+#: A letter by its Unicode category, in Python and in Spark's expressions; digits in circles or above the line are none.
+LETTERS = r"\p{L}"
+LETTER = regex.compile(LETTERS)
 _MIX = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D], np.uint32)  # odd multipliers, one a place
 
 
@@ -91,7 +94,7 @@ def fit(
     The model is a matrix of 2**bits features by languages; more than ``max_languages`` are an error, so it has
     a bound (0.25 MB a language at 16 bits) and may be collected and sent to all tasks. No rows: no languages.
     """
-    rows = docs.where(named(lang).isNotNull() & named(text).rlike(r"\p{L}")).select(
+    rows = docs.where(named(lang).isNotNull() & named(text).rlike(LETTERS)).select(
         named(lang).alias("lang"), named(text).alias("text")
     )
     summed = _count(rows, bits, orders).toArrow()

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 from re import _parser
 
@@ -144,29 +144,52 @@ def candidates(index: DataFrame, rules: Sequence[Rule]) -> DataFrame:
     return met.where("met = clauses").groupBy("doc").agg(F.collect_set("kind").alias("kinds"))
 
 
-def spans(text: Column, rule: Rule) -> Column:
+_SPANS = "array<struct<start:int,kind:string,end:int>>"
+
+
+def _let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def spans(text: Column, rule: Rule, step: int = 512) -> Column:
     """Array of (start, kind, end) of the rule's matches, by code points, end exclusive.
 
-    The pieces between matches and the matches alternate, so running sums of their lengths are the places.
+    The pieces between matches and the matches alternate, so running sums of their lengths are the places. They are summed
+    in stretches of ``step`` matches, then over the stretches: adding to an array copies it, so one sum over n matches
+    would take n * n steps.
     """
     hits = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(0))
     groups = F.regexp_extract_all(text, F.lit(rule.pattern), F.lit(rule.group)) if rule.group else hits
-    gaps = F.split(text, rule.pattern, -1)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,kind:string,end:int>>").alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + F.length(x["gap"])
-        end = begin + F.length(x["hit"])
+    parts = F.arrays_zip(hits.alias("hit"), groups.alias("group"), F.split(text, rule.pattern, -1).alias("gap"))
+    sizes = F.transform(parts, lambda x: F.struct(
+        F.length(x["gap"]).alias("gap"), F.length(x["hit"]).alias("hit"), (F.length(x["group"]) >= rule.least).alias("good")
+    ))
+    none = F.array().cast(_SPANS)
+    start = F.struct(F.lit(0).alias("at"), none.alias("out"))
+
+    def add(state: Column, x: Column) -> Column:
+        begin = state["at"] + x["gap"]
+        end = begin + F.coalesce(x["hit"], F.lit(0))  # the last piece has no match behind it
         span = F.struct(begin.alias("start"), F.lit(rule.kind).alias("kind"), end.alias("end"))
-        more = F.when(F.length(x["group"]) >= rule.least, F.array(span)).otherwise(F.array().cast("array<struct<start:int,kind:string,end:int>>"))
-        return F.struct(end.alias("at"), F.concat(state["out"], more).alias("out"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.when(x["good"], F.array(span)).otherwise(none)).alias("out"))
+
+    def stretches(sizes: Column) -> Column:
+        firsts = F.sequence(F.lit(0), F.greatest(F.size(sizes) - 1, F.lit(0)), F.lit(step))
+        return F.transform(firsts, lambda at: F.aggregate(F.slice(sizes, at + 1, F.lit(step)), start, add))
+
+    def placed(parts: Column) -> Column:
+        before = F.aggregate(parts, F.array(F.lit(0)), lambda sums, p: F.concat(sums, F.array(F.element_at(sums, -1) + p["at"])))
+        both = F.arrays_zip(parts.alias("part"), before.alias("before"))
+        return F.flatten(F.transform(F.filter(both, lambda b: b["part"].isNotNull()), lambda b: F.transform(b["part"]["out"], lambda s: F.struct(
+            (s["start"] + b["before"]).alias("start"), s["kind"].alias("kind"), (s["end"] + b["before"]).alias("end")
+        ))))
 
-    pieces = F.transform(hits, lambda hit, i: F.struct(hit.alias("hit"), F.get(gaps, i).alias("gap"), F.get(groups, i).alias("group")))
-    return F.aggregate(pieces, start, step, lambda state: state["out"])
+    return _let(_let(sizes, stretches), placed)
 
 
 def _found(text: Column, rule: Rule, maybe: Column) -> Column:
-    none = F.array().cast("array<struct<start:int,kind:string,end:int>>")
+    none = F.array().cast(_SPANS)
     return F.when(maybe & text.rlike(rule.pattern), spans(text, rule)).otherwise(none)
 
 
