@@ -75,15 +75,22 @@ def _dictionary(texts: list[bytes], size: int, piece: int) -> bytes:
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
-    """Offset and slopes by Newton steps, with a slight pull to zero."""
+    """Offset and slopes by Newton steps that lower the loss, with a slight pull to zero."""
     mean, scale = x.mean(axis=0), x.std(axis=0) + 1e-9
     design = np.column_stack([np.ones(len(x)), (x - mean) / scale])
     w = np.zeros(design.shape[1])
-    for _ in range(50):
+
+    def loss(w: np.ndarray) -> float:
+        z = design @ w
+        return float((np.logaddexp(0, z) - y * z).sum() + 0.05 * w @ w)
+
+    for _ in range(100):
         p = 1 / (1 + np.exp(-np.clip(design @ w, -30, 30)))
         slope = design.T @ (y - p) - 0.1 * w
         bend = (design * (p * (1 - p))[:, None]).T @ design + 0.1 * np.eye(len(w))
-        step = np.linalg.solve(bend, slope)
+        step, now = np.linalg.solve(bend, slope), loss(w)
+        while loss(w + step) > now and np.abs(step).max() > 1e-9:  # a full step may overshoot
+            step /= 2
         w += step
         if np.abs(step).max() < 1e-9:
             break
@@ -93,10 +100,10 @@ def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
 
 def fit(
     docs: DataFrame, labels: DataFrame, *, key: str = "doc_id", text: str = "text", label: str = "label",
-    sample_rows: int = 2000, sample_chars: int = 20_000, dictionary_bytes: int = 65_536, piece: int = 512, level: int = 3,
+    sample_rows: int = 2000, dictionary_bytes: int = 65_536, piece: int = 512, level: int = 3,
 ) -> CompressionModel:
     """Train on a bounded sample of ``docs`` with a row in ``labels``: of each label (0 and 1) the ``sample_rows``
-    keys with the smallest hash, of each text a window of at most ``sample_chars`` characters at a hashed place.
+    keys with the smallest hash, their texts whole. The driver holds these texts while it trains.
 
     The curve is learnt from sizes under dictionaries of the other half of the sample, each half in turn; the
     dictionaries that are kept come from all of it. Null keys and labels, and null or empty texts, teach
@@ -114,10 +121,8 @@ def fit(
     # at most twice sample_rows keys, so they are broadcast
     chosen = F.broadcast(staged(first[0].unionByName(first[1]), "sample").withColumnsRenamed({"k": "__k", "y": "__y", "h": "__h"}))
     body = F.col("body")
-    room = F.greatest(F.length(body) - sample_chars, F.lit(0)) + 1
-    window = F.substr(body, (F.pmod("__h", room) + 1).cast("int"), F.lit(sample_chars))
     texts = docs.select(named(key).alias("__k"), named(text).alias("body")).where(F.length(body) > 0).join(chosen, "__k")
-    texts = texts.groupBy("__k").agg(F.first("__y").alias("y"), F.first("__h").alias("h"), F.min(window).alias("w"))
+    texts = texts.groupBy("__k").agg(F.first("__y").alias("y"), F.first("__h").alias("h"), F.min("body").alias("w"))
     groups: dict[int, list[bytes]] = {0: [], 1: []}
     for r in sorted(texts.collect(), key=lambda r: (r["h"], r["__k"])):
         groups[r["y"]].append(r["w"].encode())
