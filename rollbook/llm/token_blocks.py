@@ -14,11 +14,11 @@ import numpy as np
 import pyarrow as pa
 from pyarrow import fs as pafs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import as_text, named
+from rollbook.llm.common import as_text, named, slices
 from rollbook.session import run_dir
 
 MAGIC, VERSION = b"PFOR", 1
@@ -152,16 +152,16 @@ class WordEncoder:
     """The ids of whole texts by the tokenizers library, each distinct word once.
 
     The tokenizer's pattern never joins two sides of a space between two visible characters, so such pieces
-    are encoded alone and remembered. When half of ``room`` pieces are known they become the older ones, and those
-    in use come back from there; the older ones before are forgotten. A text with the string of an added token goes
-    to the library as a whole.
+    are encoded alone and remembered, in about ``room`` bytes: when half of them are full the pieces become the older
+    ones, and those in use come back from there; the older ones before are forgotten. A text with the string of an added
+    token goes to the library as a whole.
     """
 
     _CUT = re.compile(r"(?<=\S)(?= \S)")
     #: marks behind the last letter of a piece; letters and marks are never one token
     _CLOSE = re.compile(r"(?<=[^\W\d_])[.,;:!?|#$%&*)\"-]+\Z")
 
-    def __init__(self, path: str, room: int = 1_200_000):
+    def __init__(self, path: str, room: int = 100_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -169,11 +169,23 @@ class WordEncoder:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
-        self.room = room
+        self.room, self.held = room, 0
         self.line = self.tokenizer.encode("\n", add_special_tokens=False).ids
+        self.cuts = self._cuts_hold()
+
+    def _cuts_hold(self) -> bool:
+        """Whether this tokenizer gives pieces the ids they have inside a text; if not, texts stay whole."""
+        for text in ("the cat sat.", "a 1 b2 ,c", "x\ny z", "(in) 3.5 \"q\" it's", "été 東京 🙂 ok", "New York\nNew York of the"):
+            pieces = text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00")
+            found = [i for p in pieces for i in self.tokenizer.encode(p, add_special_tokens=False).ids]
+            if found != self.tokenizer.encode(text, add_special_tokens=False).ids:
+                return False
+        return True
 
     def _plain(self, text: str) -> list[str] | None:
         """The pieces of a text whose white space is single spaces and line feeds between visible characters."""
+        if not self.cuts:
+            return None
         if " ".join(text.split()) != text.replace("\n", " ") or "\x00" in text or any(t in text for t in self.added):
             return None
         return text.replace(" ", "\x00 ").replace("\n", "\x00\n\x00").split("\x00") if text else []
@@ -206,36 +218,42 @@ class WordEncoder:
             part = rest[at : at + 4096]
             for piece, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[piece] = np.array(encoding.ids, "<u4").tobytes()
+        # objects, and their places in the table, besides the characters and ids
+        self.held += sum(300 + 5 * len(p) for p in plain) + sum(300 + 9 * len(p) for p in odd)
 
-    def _known(self, texts: list[str]) -> list[list[str]]:
-        """The pieces of each text, all of them learnt."""
+    def _known(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
+        """The pieces of each text, and the ids of all of them."""
         split = [self._plain(t) for t in texts]
         odd = []
         for i, pieces in enumerate(split):
             if pieces is None:
-                split[i] = [texts[i]] if any(t in texts[i] for t in self.added) else self._CUT.split(texts[i])
+                whole = not self.cuts or any(t in texts[i] for t in self.added)
+                split[i] = [texts[i]] if whole else self._CUT.split(texts[i])
                 odd.append(i)
         others = set().union(*(split[i] for i in odd))
-        plain = set().union(*split) - others if others else set().union(*split)
-        new, strange = plain.difference(self.known), others.difference(self.known)
-        if len(self.known) + 2 * (len(new) + len(strange)) > self.room // 2:
-            self.known, self.older = {}, self.known
-            new, strange = plain, others
-        again = (new | strange) & self.older.keys()
-        self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-        self._learn(list(new - again), list(strange - again))
-        return split
+        every = list(set().union(*split))
+        if self.held > self.room // 2:
+            self.known, self.older, self.held = {}, self.known, 0
+        # one look into the large table for each distinct piece; the pieces one by one meet a small one
+        ids = dict(zip(every, map(self.known.get, every), strict=True))
+        new = [p for p, found in ids.items() if found is None]
+        again = {p: self.older[p] for p in new if p in self.older} if self.older else {}
+        self.known.update(again)
+        self.held += sum(300 + 5 * len(p) for p in again)
+        self._learn([p for p in new if p not in again and p not in others], [p for p in new if p not in again and p in others])
+        ids.update(zip(new, map(self.known.__getitem__, new), strict=True))
+        return split, ids
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split = self._known(texts)
-        ids = self.known.__getitem__
+        split, known = self._known(texts)
+        ids = known.__getitem__
         return [b"".join(map(ids, pieces)) for pieces in split]
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        split = self._known(texts)
-        ids = self.known.__getitem__
+        split, known = self._known(texts)
+        ids = known.__getitem__
         return [sum(map(len, map(ids, pieces))) // 4 for pieces in split]
 
 
@@ -254,7 +272,7 @@ READ = [T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongTy
 
 def write_blocks(
     docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2,
-    block: int = 1024, percentile: float = 0.95, file_ids: int = 4_000_000, group: int = 128,
+    block: int = 1024, percentile: float = 0.95, file_ids: int = 4_000_000, step_bytes: int = 1_500_000,
 ) -> DataFrame:
     """Write the ids of every document, each with ``end_id`` behind, in ascending key order (nulls first; equal keys
     by the hash of their text) to block files of about ``file_ids`` ids below ``path``; give back the manifest.
@@ -263,6 +281,7 @@ def write_blocks(
     manifest, a table that Spark commits, names the files that count; what a lost attempt leaves is not in it.
     """
     session = docs.sparkSession
+    path = reachable(session, path)
     tasks = int(session.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(named(key).cast("long").alias("k"), F.coalesce(named(text), F.lit("")).alias("t"))
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(tasks, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
@@ -291,8 +310,8 @@ def write_blocks(
         held = 0
         for batch in batches:
             names, texts = batch.column(0).to_pylist(), batch.column(1)
-            for at in range(0, len(names), group):
-                for k, body in zip(names[at : at + group], encoder.encode(as_text(texts[at : at + group])), strict=True):
+            for at, stop in slices(texts, step_bytes):
+                for k, body in zip(names[at:stop], encoder.encode(as_text(texts[at:stop])), strict=True):
                     keys.append(k)
                     bodies.append(body + ending)
                     held += len(bodies[-1]) // 4
@@ -308,7 +327,22 @@ def write_blocks(
 
 
 def _filesystem(name: str) -> tuple[pafs.FileSystem, str]:
-    return pafs.FileSystem.from_uri(name)
+    return pafs.FileSystem.from_uri(name.replace("s3a://", "s3://", 1) if name.startswith("s3a://") else name)
+
+
+def reachable(session: SparkSession, path: str) -> str:
+    """``path`` with the scheme that Spark gives it, so that executors and driver mean one place. Block files are written
+    and read by the tasks themselves: a scheme that they cannot open is refused here."""
+    target = session.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    scheme = target.toUri().getScheme()
+    if scheme is None:
+        target = target.getFileSystem(session.sparkContext._jsc.hadoopConfiguration()).makeQualified(target)
+    full = re.sub(r"^file:/+", "file:///", target.toString())
+    try:
+        _filesystem(full)
+    except (pa.ArrowInvalid, NotImplementedError, OSError) as why:
+        raise ValueError(f"block files cannot be written to {full}: {why}") from why
+    return full
 
 
 def _put(name: str, data: bytes) -> None:
