@@ -66,12 +66,13 @@ class PhraseIndex:
     """A bidirectional FM-index: the transforms of a sequence of word ids and of its reverse. Id 0 ends a piece."""
 
     def __init__(self, before: np.ndarray, after: np.ndarray):
-        self.before, self.after = before.astype(np.int64), after.astype(np.int64)
-        self.counts = np.bincount(self.before)
-        order = np.argsort(self.before, kind="stable")
-        self.step = np.empty(len(order), np.int64)  # from a suffix to the one that begins a word earlier
-        self.step[order] = np.arange(len(order))
-        self.turns = [np.cumsum(np.append(0, x[1:] != x[:-1])) for x in (self.before, self.after)]
+        self.counts = np.bincount(before)
+        self.sides = []
+        for words in (before.astype(np.int64), after.astype(np.int64)):
+            order = np.argsort(words, kind="stable")
+            step = np.empty(len(order), np.int64)  # from a suffix to the one that begins a word earlier
+            step[order] = np.arange(len(order))
+            self.sides.append((words, step))
 
     @classmethod
     def transforms(cls, ids: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
@@ -82,29 +83,25 @@ class PhraseIndex:
         low = np.cumsum(self.counts) - self.counts
         return Phrases(np.arange(1, len(low))[:, None], low[1:], low[1:], self.counts[1:])
 
-    def longer(self, phrases: Phrases) -> Phrases:
-        """Every phrase of one word more, by that word put in front. The interval of the reversed words is the part of
-        the old one that goes on with that word: smaller words come before."""
-        parent = np.repeat(np.arange(len(phrases.low)), phrases.count)
+    def longer(self, phrases: Phrases, behind: bool = False) -> Phrases:
+        """Every phrase of one word more, by that word put in front or behind, and how often it occurs. The interval of the
+        other index is the part of the old one that goes on with that word: smaller words come before."""
+        words, step = self.sides[behind]
+        low, other = (phrases.back, phrases.low) if behind else (phrases.low, phrases.back)
+        parent = np.repeat(np.arange(len(low)), phrases.count)
         begin = np.cumsum(phrases.count) - phrases.count
-        place = phrases.low[parent] + np.arange(len(parent)) - begin[parent]
-        key = parent << 32 | self.before[place]
+        place = low[parent] + np.arange(len(parent)) - begin[parent]
+        key = parent << 32 | words[place]
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(key)))
         of, word = key[first] >> 32, key[first] & 0xFFFFFFFF
-        found = Phrases(
-            np.column_stack([word, phrases.words[of]]), self.step[place[order[first]]], phrases.back[of] + first - begin[of], count
-        )
+        mine, its = step[place[order[first]]], other[of] + first - begin[of]
+        columns = [phrases.words[of], word] if behind else [word, phrases.words[of]]
+        found = Phrases(np.column_stack(columns), *((its, mine) if behind else (mine, its)), count)
         return found[word > 0]
 
-    def sole(self, phrases: Phrases, behind: bool) -> np.ndarray:
-        """The word in front of (or behind) all occurrences of each phrase, 0 if it isn't the same or a piece ends."""
-        low = phrases.back if behind else phrases.low
-        turns, words = self.turns[behind], self.after if behind else self.before
-        return np.where(turns[low] == turns[low + phrases.count - 1], words[low], 0)
-
 
 _INDEX = T.StructType([
     T.StructField("shard", T.LongType()), T.StructField("lang", T.StringType()), T.StructField("words", T.BinaryType()),
@@ -160,24 +157,29 @@ def _word_hashes(lang: str, words: list[bytes]) -> np.ndarray:
     return np.array([xxhash.xxh64_intdigest(w, seed) for w in words], np.uint64)
 
 
-def _hashes(each: np.ndarray, grams: np.ndarray) -> np.ndarray:
+def _hashes(each: np.ndarray, grams: np.ndarray, odd: int = 0x9E3779B97F4A7C15) -> np.ndarray:
     """A 64-bit hash of the group and all words of each gram."""
     h = np.zeros(len(grams), np.uint64)
     for j in range(grams.shape[1]):
-        h = (h + each[grams[:, j]]) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h + each[grams[:, j]]) * np.uint64(odd)
         h ^= h >> np.uint64(32)
     return h.view(np.int64)
 
 
-def _among(known: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Which values are in the sorted ``known``."""
-    return known[np.minimum(np.searchsorted(known, values), len(known) - 1)] == values if len(known) else np.zeros(len(values), bool)
+def _place(known: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each value would stand in the sorted ``known``, and whether it does."""
+    at = np.minimum(np.searchsorted(known, values), max(0, len(known) - 1))
+    return at, known[at] == values if len(known) else np.zeros(len(values), bool)
 
 
-def _listed(batch: pa.RecordBatch, column: int, row: int) -> np.ndarray:
-    """The hashes of a list column, sorted; none for null."""
+def _listed(batch: pa.RecordBatch, column: int, row: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes and counts of a list column, by hash; none for null."""
     found = batch.column(column)[row].values
-    return np.sort(found.to_numpy(zero_copy_only=False)) if found is not None else np.zeros(0, np.int64)
+    if found is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    grams, counts = (x.to_numpy(zero_copy_only=False) for x in found.flatten())
+    order = np.argsort(grams)
+    return grams[order], counts[order]
 
 
 def word_counts(index: DataFrame) -> DataFrame:
@@ -195,94 +197,117 @@ def word_counts(index: DataFrame) -> DataFrame:
 
 
 def _frequent(rows: DataFrame, least: int, out: str) -> DataFrame:
-    """``shard`` and ``out``: hashes of the grams of a shard that occur ``least`` times in all shards together.
+    """``shard`` and ``out``: the grams of a shard that occur ``least`` times in all shards together, as hashes with counts.
 
-    A gram is a row per shard that holds it. Two grams of one hash count as one, so none that is frequent is missing.
+    A gram is a row per shard that holds it. The count is that of all shards in the first of them, 0 in the others. Grams
+    of one hash, told apart by a second one, count together here, so none that is frequent is missing; their count is -1,
+    and they are counted by their words.
     """
-    counted = rows.withColumn("total", F.sum("f").over(Window.partitionBy("gram")))
-    return counted.where(F.col("total") >= least).groupBy("shard").agg(F.collect_set("gram").alias(out))
+    every = Window.partitionBy("gram")
+    second = F.shiftrightunsigned("f", 32)
+    counted = rows.select(
+        "shard", "gram", F.sum(F.col("f").bitwiseAND(0xFFFFFFFF)).over(every).alias("total"),
+        (F.min(second).over(every) == F.max(second).over(every)).alias("alone"), F.min("shard").over(every).alias("first"),
+    ).where(F.col("total") >= least)
+    count = F.when(~F.col("alone"), -1).when(F.col("shard") == F.col("first"), F.col("total")).otherwise(0)
+    return counted.groupBy("shard").agg(F.collect_list(F.struct("gram", count.cast("long").alias("count"))).alias(out))
 
 
+#: ``f`` holds the count in its lower half, a second hash in its upper one.
 _GRAMS = T.StructType([T.StructField(n, T.LongType()) for n in ("gram", "shard", "f")])
 
 
-def _gram_rows(shard: int, hashes: np.ndarray, phrases: Phrases) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(np.full(len(hashes), shard)), pa.array(phrases.count)], names=_GRAMS.names)
+def _gram_rows(shard: int, each: np.ndarray, found: Phrases) -> pa.RecordBatch:
+    second = _hashes(each, found.words, 0xD6E8FEB86659FD93).view(np.uint64) >> np.uint64(32)
+    f = (second << np.uint64(32) | found.count.astype(np.uint64)).view(np.int64)
+    return pa.RecordBatch.from_arrays(
+        [pa.array(_hashes(each, found.words)), pa.array(np.full(len(f), shard)), pa.array(f)], names=_GRAMS.names
+    )
 
 
 def frequent_pairs(index: DataFrame, least: int) -> DataFrame:
-    """``shard``, ``pairs``: hashes of its word pairs that are frequent in all shards together."""
+    """``shard``, ``pairs``: its word pairs that are frequent in all shards together."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard, lang, words, held = _opened(batch, row)
-                found = held.longer(held.single())
-                yield _gram_rows(shard, _hashes(_word_hashes(lang, words), found.words), found)
+                yield _gram_rows(shard, _word_hashes(lang, words), held.longer(held.single()))
 
     return _frequent(index.mapInArrow(run, _GRAMS), least, "pairs")
 
 
 def _pairs_of(held: PhraseIndex, each: np.ndarray, pairs: np.ndarray) -> Phrases:
     found = held.longer(held.single())
-    return found[_among(pairs, _hashes(each, found.words))]
+    return found[_place(pairs, _hashes(each, found.words))[1]]
+
+
+def _triples_of(held: PhraseIndex, each: np.ndarray, frequent: np.ndarray, pairs: Phrases) -> Phrases:
+    """Three words of which both pairs are frequent."""
+    found = held.longer(pairs)
+    return found[_place(frequent, _hashes(each, found.words[:, :2]))[1]]
 
 
 def frequent_triples(index: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
-    """``shard``, ``triples``: the same of three words, of which both pairs are frequent."""
+    """``shard``, ``triples``: the same of three words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 shard, lang, words, held = _opened(batch, row)
-                each, frequent = _word_hashes(lang, words), _listed(batch, len(_INDEX), row)
-                found = held.longer(_pairs_of(held, each, frequent))
-                found = found[_among(frequent, _hashes(each, found.words[:, :2]))]
-                yield _gram_rows(shard, _hashes(each, found.words), found)
+                each, frequent = _word_hashes(lang, words), _listed(batch, len(_INDEX), row)[0]
+                yield _gram_rows(shard, each, _triples_of(held, each, frequent, _pairs_of(held, each, frequent)))
 
     return _frequent(index.join(pairs, "shard").select(*_INDEX.names, "pairs").mapInArrow(run, _GRAMS), least, "triples")
 
 
+_COUNTS = T.StructType([
+    T.StructField("lang", T.StringType()), T.StructField("phrase", T.StringType()), T.StructField("size", T.IntegerType()),
+    T.StructField("f", T.LongType()),
+])
+
+
 def phrase_counts(index: DataFrame, depth: int, least: int) -> DataFrame:
-    """``lang``, ``phrase``, ``size``, ``f`` and ``absorbed`` of all phrases of 2 to ``depth`` words that occur ``least`` times.
+    """``lang``, ``phrase``, ``size`` and ``f`` of all phrases of 2 to ``depth`` words that occur ``least`` times.
 
-    Every part of a frequent phrase is frequent, so intervals are extended by frequent pairs and triples only. ``absorbed``:
-    in every shard the same word is in front of, or behind, all occurrences, so a phrase of one word more is as frequent.
+    Every part of a frequent phrase is frequent, so intervals are extended, behind and in front in turn, by frequent
+    triples only. Pairs and triples are counted already: one shard writes them out; longer ones are summed over the shards.
     """
-    strings = [T.StructField(n, T.StringType()) for n in ("lang", "phrase", "front", "behind")]
-    schema = T.StructType([*strings, T.StructField("size", T.IntegerType()), T.StructField("f", T.LongType())])
+    pairs = staged(frequent_pairs(index, least), "pairs")
+    release(index.sparkSession)
+    triples = staged(frequent_triples(index, pairs, least), "triples")
+    release(index.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 _, lang, words, held = _opened(batch, row)
-                each, triples = _word_hashes(lang, words), _listed(batch, len(_INDEX) + 1, row)
-                phrases = _pairs_of(held, each, _listed(batch, len(_INDEX), row))
+                each = _word_hashes(lang, words)
+                known = {2 + i: _listed(batch, len(_INDEX) + i, row) for i in range(2)}
+                phrases = _pairs_of(held, each, known[2][0])
                 for size in range(2, depth + 1):
                     if not len(phrases.low):
                         break
-                    text = [b" ".join(map(words.__getitem__, w)) for w in phrases.words.tolist()]
-                    around = [held.sole(phrases, behind) if size < depth else np.zeros(len(text), np.int64) for behind in (False, True)]
-                    sole = [pa.array([words[i] if i else None for i in x.tolist()], pa.binary()).cast(pa.string()) for x in around]
+                    if size == 3:
+                        phrases = _triples_of(held, each, known[2][0], phrases)
+                    elif size > 3:
+                        behind = size % 2 == 0
+                        phrases = held.longer(phrases, behind)
+                        triple = phrases.words[:, -3:] if behind else phrases.words[:, :3]
+                        phrases = phrases[_place(known[3][0], _hashes(each, triple))[1]]
+                    out, f = phrases, phrases.count
+                    if size in known:
+                        at, inside = _place(known[size][0], _hashes(each, phrases.words))
+                        phrases, count = phrases[inside], known[size][1][at[inside]]
+                        out, f = phrases[count != 0], np.where(count > 0, count, phrases.count)[count != 0]
+                    text = pa.array([b" ".join(map(words.__getitem__, w)) for w in out.words.tolist()], pa.binary()).cast(pa.string())
                     yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(text), pa.string()), pa.array(text, pa.binary()).cast(pa.string()), *sole,
-                         pa.array(np.full(len(text), size, np.int32)), pa.array(phrases.count)], names=schema.names,
+                        [pa.array([lang] * len(text), pa.string()), text, pa.array(np.full(len(text), size, np.int32)), pa.array(f, pa.int64())],
+                        names=_COUNTS.names,
                     )
-                    if size < depth:
-                        phrases = held.longer(phrases)
-                        phrases = phrases[_among(triples, _hashes(each, phrases.words[:, :3]))]
 
-    pairs = staged(frequent_pairs(index, least), "pairs")
-    release(index.sparkSession)
-    # one plan: the index is dealt by shard once and both steps read it
-    triples = frequent_triples(index, pairs, least)
     listed = index.join(pairs, "shard").join(triples, "shard", "left").select(*_INDEX.names, "pairs", "triples")
-
-    def same(name: str):
-        return (F.count(name) == F.count("*")) & F.min(name).eqNullSafe(F.max(name))
-
-    summed = listed.mapInArrow(run, schema).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f"), (same("front") | same("behind")).alias("absorbed"))
-    return summed.where(F.col("f") >= least)
+    return listed.mapInArrow(run, _COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def collocations(
@@ -300,10 +325,14 @@ def collocations(
     index = build_index(docs, text=text, group=group, depth=depth, shard_words=shard_words)
     words = word_counts(index)
     phrases = staged(phrase_counts(index, depth, least), "collocations")
+    release(docs.sparkSession)
     total = words.groupBy("lang").agg(F.sum("f").alias("n"))
     counts = phrases.select("lang", "phrase", "f").unionByName(words.where(F.col("f") >= least))
     parts = F.split("phrase", " ")
-    cuts = phrases.where("NOT absorbed").select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
+    # the longer phrases that extend one in front or behind, as often as it occurs
+    inner = [F.array_join(F.slice(parts, first, F.col("size") - 1), " ") for first in (1, 2)]
+    longer = phrases.where("size > 2").select("lang", "f", F.explode(F.array(*inner)).alias("phrase")).distinct()
+    cuts = phrases.join(longer, ["lang", "phrase", "f"], "left_anti").select("*", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))
     cuts = cuts.withColumn("head", F.array_join(F.slice(parts, F.lit(1), F.col("k")), " "))
     cuts = cuts.withColumn("rest", F.array_join(F.slice(parts, F.col("k") + 1, F.col("size")), " "))
     for part, count in (("head", "l"), ("rest", "r")):
