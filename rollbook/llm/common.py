@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -33,7 +34,9 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 def release(spark: SparkSession) -> None:
     """Let Spark remove the shuffle files of finished jobs, which it does once the driver has collected its garbage."""
     gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    for _ in range(3):  # what the first collection finds is let go of by the next
+        spark.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 #: Bytes of text that one step of a task holds as Python objects; a longer text is alone in its step.
