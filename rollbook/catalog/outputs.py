@@ -10,7 +10,7 @@ from rollbook.catalog.reports import _GRID_SQL
 from rollbook.plans.records import month_grid
 from rollbook.session import run_dir
 from rollbook.sinks import writers
-from rollbook.streaming import jobs
+from rollbook.streaming import jobs, undo
 
 
 
@@ -115,6 +115,25 @@ def _(t):
 
 @query(
     "st_undo_window",
+    """SELECT id, student_id, date, subject, event, strftime(deleted_at, '%Y-%m-%d %H:%M:%S') AS deleted_at, strftime(happened_at, '%Y-%m-%d %H:%M:%S') AS happened_at FROM (
+ SELECT id, student_id, date, subject, deleted_at, unnest(['undoable', CASE WHEN written <= ends THEN 'undone' ELSE 'expired' END]) AS event,
+  unnest([deleted_at, CASE WHEN written <= ends THEN written ELSE ends END]) AS happened_at FROM (
+  SELECT id, student_id, date, subject, updated_at AS deleted_at, updated_at + INTERVAL 720 MINUTE AS ends, written FROM (
+   SELECT *, coalesce(lag(is_delete) OVER k, FALSE) AS gone, min(CASE WHEN NOT is_delete THEN updated_at END) OVER (PARTITION BY student_id, date, subject ORDER BY updated_at, id ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING) AS written
+   FROM attendance_log WINDOW k AS (PARTITION BY student_id, date, subject ORDER BY updated_at, id)) w WHERE is_delete AND NOT gone) d) e
+WHERE happened_at <= (SELECT max(updated_at) - INTERVAL 1 HOUR FROM attendance_log)""",
+)
+def _(t):
+    base = run_dir(t.spark, "undo")
+    events = undo.undo_events(
+        _event_time(_change_stream(t)), keys=["student_id", "date", "subject"], event_time="event_time", minutes=720
+    )
+    undo.append_events(events, f"{base}/out", f"{base}/progress")
+    return t.spark.read.parquet(f"{base}/out").select("id", "student_id", "date", "subject", "event", "deleted_at", "happened_at")
+
+
+@query(
+    "st_undo_recent",
     "SELECT id, student_id, date, subject, status FROM attendance WHERE is_deleted AND updated_at >= (SELECT max(updated_at) FROM attendance_log) - INTERVAL 720 MINUTE",
 )
 def _(t):

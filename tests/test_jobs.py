@@ -2,13 +2,16 @@
 
 import datetime as dt
 import re
+import subprocess
+import sys
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
 
 from rollbook.catalog import views
 from rollbook.catalog.outputs import _as_changes
-from rollbook.catalog.registry import QUERIES, Tables
+from rollbook.catalog.registry import QUERIES, SQL, Tables
 from rollbook.operators.compaction import latest_per_key
 from rollbook.plans import records
 from rollbook.session import run_dir, shared_dir
@@ -57,7 +60,7 @@ def test_streams_read_a_table_as_a_file_or_a_folder(spark, t):
     single, folder = f"{run_dir(spark, 'file')}/events.parquet", f"{run_dir(spark, 'folder')}/events.parquet"
     t.events.repartition(3).write.parquet(folder)
     assert len(spark.read.parquet(folder).inputFiles()) == 3
-    for name in ("st_apply_changes", "st_dedup", "st_daily_status", "st_undo_window"):
+    for name in ("st_apply_changes", "st_dedup", "st_daily_status", "st_undo_window", "st_undo_recent"):
         other = Tables(spark, folder.rpartition("/")[0])
         assert rows_of(QUERIES[name](other)) == rows_of(QUERIES[name](t)) != [], name
     for path in (single, run_dir(spark, "none")):
@@ -227,6 +230,14 @@ def test_plans(spark, name):
 
 
 def test_statements_name_only_known_tables():
-    for name, sql in entry.oracle_sql().items():
+    for name, sql in SQL.items():
         assert "{" not in sql.replace("{0}", "") or "{:" in sql, name
     assert set(views.BASE).isdisjoint(views.TABLES)
+
+
+@pytest.mark.parametrize("missing", ["public_tokenizers", "xxhash", "zstandard", "corpus_pipeline", "rollbook.llm"])
+def test_entry_without_what_training_data_needs(missing):
+    """Whatever the optional operators miss, the other queries are there."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    ran = subprocess.run([sys.executable, "-c", code], cwd=Path(__file__).parents[1], capture_output=True, text=True, check=True)
+    assert ran.stdout.split() == [str(len(QUERIES)), str(len(SQL))]
