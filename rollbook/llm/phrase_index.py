@@ -275,8 +275,7 @@ def phrase_counts(index: DataFrame, depth: int, least: int) -> DataFrame:
     """
     pairs = staged(frequent_pairs(index, least), "pairs")
     release(index.sparkSession)
-    triples = staged(frequent_triples(index, pairs, least), "triples")
-    release(index.sparkSession)
+    triples = frequent_triples(index, pairs, least)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -306,12 +305,13 @@ def phrase_counts(index: DataFrame, depth: int, least: int) -> DataFrame:
                         names=_COUNTS.names,
                     )
 
+    # one plan with the triples: the index is dealt by shard once
     listed = index.join(pairs, "shard").join(triples, "shard", "left").select(*_INDEX.names, "pairs", "triples")
     return listed.mapInArrow(run, _COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def collocations(
-    docs: DataFrame, *, text: str = "text", group: str = "lang", depth: int = 5, least: int = 100, shard_words: int = 2_000_000
+    docs: DataFrame, *, text: str = "text", group: str = "lang", depth: int = 5, least: int = 100, shard_words: int = 4_000_000
 ) -> DataFrame:
     """``lang``, ``phrase``, ``size``, ``a``, ``l``, ``r``, ``n`` and ``score`` of the phrases of each group, not ranked.
 
