@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from rollbook.catalog.registry import query
 from rollbook.operators import changes
 from rollbook.schema import KEYS
+from rollbook.session import run_dir
+from rollbook.sinks.writers import write_counted
 from rollbook.sources.readers import clean_entries
 
 _CELL = ["student_id", "date", "subject"]
@@ -247,11 +249,11 @@ def _(t):
 @query(
     "m_skip_unchanged",
     """SELECT c.seq, c.student_id, c.subject, CAST(c.price_per_class AS DOUBLE) AS price_per_class, c.currency FROM rate_changes c LEFT JOIN student_subject_tuition u ON u.student_id = c.student_id AND u.subject = c.subject
-WHERE u.student_id IS NULL OR u.currency <> c.currency""",
+WHERE u.student_id IS NULL OR u.price_per_class IS DISTINCT FROM c.price_per_class OR u.currency IS DISTINCT FROM c.currency""",
 )
 def _(t):
     return changes.skip_unchanged(
-        t.rate_changes, t.student_subject_tuition, ["student_id", "subject"], ["currency"]
+        t.rate_changes, t.student_subject_tuition, ["student_id", "subject"], ["price_per_class", "currency"]
     ).drop("changed_at")
 
 
@@ -315,6 +317,31 @@ def _(t):
     return changes.affected(t.student_subject_tuition, _rates_after(t), ["student_id", "subject"])
 
 
+_SET_ON = f"""(SELECT coalesce(a.id, (SELECT max(id) FROM attendance) + c.seq) AS id, CASE WHEN a.id IS NULL THEN 'inserted' ELSE 'updated' END AS change
+ FROM {_LAST} c LEFT JOIN attendance a ON a.student_id = c.student_id AND a.date = c.date AND a.subject IS NOT DISTINCT FROM c.subject)"""
+
+
+@query(
+    "m_affected_counts",
+    f"""SELECT action, change, count(*) AS n_rows, CAST(sum(id) AS BIGINT) AS id_sum, CAST(bit_xor(id) AS BIGINT) AS id_xor FROM (
+ SELECT 'bulk_set' AS action, change, CAST(id AS BIGINT) AS id FROM {_SET_ON} s
+ UNION ALL SELECT 'bulk_delete', 'deleted', CAST(a.id AS BIGINT) FROM attendance a WHERE NOT a.is_deleted AND {_HIT}
+ UNION ALL SELECT 'bulk_undo', 'restored', CAST(a.id AS BIGINT) FROM attendance a WHERE a.is_deleted AND {_HIT}) x GROUP BY action, change""",
+)
+def _(t):
+    after = {
+        "bulk_set": changes.bulk_set_records(t.attendance, t.change_log, mark="change"),
+        "bulk_delete": changes.bulk_delete(t.attendance, t.bulk_entries, _DAY, _at(), mark="change"),
+        "bulk_undo": changes.bulk_undo(t.attendance, t.bulk_entries, _DAY, _at(), mark="change"),
+    }
+    counted = [
+        (action, kind, n["rows"], n["sum"], n["xor"])
+        for action, state in after.items()
+        for kind, n in write_counted(state, run_dir(t.spark, action)).items() if n["rows"]
+    ]
+    return t.spark.createDataFrame(counted, "action string, change string, n_rows long, id_sum long, id_xor long")
+
+
 _HIDE_LAST = """(SELECT * FROM (SELECT student_id, nullif(subject, '') AS subject, id, changed_at, row_number() OVER (PARTITION BY student_id, nullif(subject, '') ORDER BY changed_at DESC, seq DESC) AS rn
  FROM (SELECT seq AS id, * FROM change_log) y) x WHERE rn = 1)"""
 

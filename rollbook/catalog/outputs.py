@@ -4,9 +4,11 @@ from __future__ import annotations
 
 
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rollbook.catalog.registry import MONTH, YEAR, query
-from rollbook.catalog.reports import _GRID_SQL
+from rollbook.catalog.reports import _GRID_SQL, _class_counts
+from rollbook.plans import records
 from rollbook.plans.records import month_grid
 from rollbook.session import run_dir
 from rollbook.sinks import writers
@@ -27,7 +29,7 @@ def _(t):
     return writers.read_csv(t.spark, path, grid.schema)
 
 
-@query("sink_json", "SELECT id, student_id, date, subject, status, notes FROM attendance WHERE NOT is_deleted")
+@query("sink_json_rows", "SELECT id, student_id, date, subject, status, notes FROM attendance WHERE NOT is_deleted")
 def _(t):
     rows = t.attendance.filter("NOT is_deleted").select("id", "student_id", "date", "subject", "status", "notes")
     path = run_dir(t.spark, "json")
@@ -35,6 +37,27 @@ def _(t):
     return t.spark.read.schema(rows.schema).json(path)
 
 
+@query(
+    "sink_json",
+    """SELECT position, kind, teacher_id, teacher_name, n_students, total_classes, student_id, student_name, korean_name, subjects FROM (
+ SELECT *, row_number() OVER (ORDER BY teacher_name, teacher_id NULLS LAST, kind DESC, student_name NULLS FIRST, student_id NULLS FIRST) AS position FROM (
+  SELECT 'teacher' AS kind, teacher_id, teacher_name, count(DISTINCT student_id) AS n_students, CAST(sum(class_count) AS BIGINT) AS total_classes,
+   CAST(NULL AS INT) AS student_id, CAST(NULL AS VARCHAR) AS student_name, CAST(NULL AS VARCHAR) AS korean_name, CAST(NULL AS VARCHAR) AS subjects FROM o_class_counts GROUP BY teacher_id, teacher_name
+  UNION ALL SELECT 'student', teacher_id, teacher_name, NULL, CAST(sum(class_count) AS BIGINT), student_id, student_name, korean_name,
+   string_agg(coalesce(subject, '-') || '=' || class_count, ',' ORDER BY subject NULLS FIRST) FROM o_class_counts GROUP BY teacher_id, teacher_name, student_id, student_name, korean_name) l) p""",
+)
+def _(t):
+    lines, order = records.class_report(_class_counts(t))
+    path = run_dir(t.spark, "report")
+    writers.write_report(lines, order, path)
+    back = writers.read_report(t.spark, path, StructType(lines.schema.fields))
+    each = F.transform("subjects", lambda s: F.concat(F.coalesce(s["subject"], F.lit("-")), F.lit("="), s["class_count"].cast("string")))
+    return back.select(
+        "position", "kind", "teacher_id", "teacher_name", "n_students", "total_classes", "student_id", "student_name",
+        "korean_name", F.array_join(each, ",").alias("subjects"),
+    )
+
+
 @query(
     "sink_upsert",
     """SELECT student_id, date, subject, status, notes FROM (SELECT *, row_number() OVER (PARTITION BY student_id, date, subject ORDER BY changed DESC, id DESC) AS rn FROM (

@@ -10,6 +10,7 @@ from rollbook.functions import dates, predicates, values
 from rollbook.functions.days import mask_text
 from rollbook.operators import aggregates, identity, joins
 from rollbook.operators.compaction import first_per_key, latest_per_key, nulls_last
+from rollbook.operators.ordering import with_position
 from rollbook.operators.ranking import row_index
 from rollbook.operators.slots import merge_slots
 from rollbook.plans import billing, directory, records, schedule
@@ -258,14 +259,16 @@ def _(t):
 
 @query(
     "a_nested_group",
-    """SELECT teacher_name, date, start_time, count(*) AS n_items, string_agg(CAST(student_id AS VARCHAR), ',' ORDER BY student_id, subject) AS ids FROM o_schedule GROUP BY teacher_name, date, start_time""",
+    """SELECT teacher_name, date, start_time, CAST(floor((k - 1) / 5) AS INT) AS chunk, n_items, string_agg(CAST(student_id AS VARCHAR), ',' ORDER BY k) AS ids FROM (
+ SELECT *, row_number() OVER (PARTITION BY teacher_name, date, start_time ORDER BY student_id, subject NULLS FIRST, name NULLS FIRST) AS k,
+  count(*) OVER (PARTITION BY teacher_name, date, start_time) AS n_items FROM o_schedule) s GROUP BY teacher_name, date, start_time, floor((k - 1) / 5), n_items""",
 )
 def _(t):
-    nested = aggregates.nested_groups(
-        _schedule(t), ["teacher_name"], ["date", "start_time"], "students", ["student_id", "subject", "name"]
+    nested = aggregates.chunked_groups(
+        _schedule(t), ["teacher_name", "date", "start_time"], "students", ["student_id", "subject", "name"], length=5
     )
     ids = F.transform("students", lambda s: s["student_id"].cast("string"))
-    return nested.select("teacher_name", "date", "start_time", "n_items", F.array_join(ids, ",").alias("ids"))
+    return nested.select("teacher_name", "date", "start_time", "chunk", "n_items", F.array_join(ids, ",").alias("ids"))
 
 
 def _schedule(t):
@@ -337,12 +340,17 @@ def _(t):
     return records.lowest_first(rows).select(*columns)
 
 
-@query("o_sort", "SELECT student_id, subject, hidden_from_year, hidden_from_month FROM hidden_attendance_rows")
+@query(
+    "o_sort",
+    """SELECT student_id, subject, hidden_from_year, hidden_from_month, row_number() OVER (
+ ORDER BY hidden_from_year DESC NULLS FIRST, hidden_from_month ASC NULLS LAST, hidden_at DESC NULLS FIRST, subject ASC NULLS FIRST, student_id) AS position FROM hidden_attendance_rows""",
+)
 def _(t):
-    return t.hidden_attendance_rows.orderBy(
-        F.col("hidden_from_year").desc_nulls_first(), F.col("hidden_from_month").desc_nulls_first(),
-        F.col("hidden_at").desc_nulls_first(), "student_id",
-    ).select("student_id", "subject", "hidden_from_year", "hidden_from_month")
+    placed = with_position(t.hidden_attendance_rows, [
+        F.col("hidden_from_year").desc_nulls_first(), F.col("hidden_from_month").asc_nulls_last(),
+        F.col("hidden_at").desc_nulls_first(), F.col("subject").asc_nulls_first(), F.col("student_id").asc(),
+    ])
+    return placed.select("student_id", "subject", "hidden_from_year", "hidden_from_month", "position")
 
 
 @query(

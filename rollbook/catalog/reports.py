@@ -68,6 +68,10 @@ UNION ALL SELECT teacher_id, teacher_name, NULL, NULL, NULL, NULL, 1, CAST(sum(c
 UNION ALL SELECT NULL, NULL, NULL, NULL, NULL, NULL, 2, CAST(sum(class_count) AS BIGINT) FROM o_class_counts""",
 )
 def _(t):
+    return _class_counts(t)
+
+
+def _class_counts(t):
     primary = billing.primary_teacher(
         t.students, t.teachers, t.assignments, t.assignment_students, t.assignment_teachers, require_teacher=False
     )

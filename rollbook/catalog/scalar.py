@@ -3,15 +3,21 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from rollbook.catalog.registry import MONTH, YEAR, query
 from rollbook.catalog.views import clock
 from rollbook.functions import dates, days, names, predicates, values
+from rollbook.functions import sql as sql_functions
 from rollbook.operators.identity import with_identity
 from rollbook.operators.joins import keep_known, null_safe_join
-from rollbook.schema import KEYS
+from rollbook.schema import FOREIGN_KEYS, KEYS
+from rollbook.session import run_dir
+from rollbook.sinks import writers
 from rollbook.sources import calendar, contracts, readers
 
 # ---- sources and contracts -------------------------------------------------------------
@@ -57,14 +63,24 @@ def _(t):
     return readers.clean_entries(t.bulk_entries)
 
 
+def _halves(t, checked, reason):
+    """Both halves of a split, each read back from its own files."""
+    path = run_dir(t.spark, "split")
+    writers.write_split(checked.select("id", reason), reason, path)
+    schema = checked.select("id", reason).schema
+    halves = [writers.read_verdict(t.spark, path, StructType(schema.fields), v) for v in ("passed", "quarantined")]
+    return halves[0].unionByName(halves[1]).select("id", "verdict", reason)
+
+
 @query(
     "chk_domain",
-    """SELECT id, array_to_string(list_filter([CASE WHEN status NOT IN ('present', 'absent', 'ta', 'noshow') THEN 'status' END,
+    """SELECT id, CASE WHEN violations = '' THEN 'passed' ELSE 'quarantined' END AS verdict, violations FROM (
+ SELECT id, array_to_string(list_filter([CASE WHEN status NOT IN ('present', 'absent', 'ta', 'noshow') THEN 'status' END,
  CASE WHEN currency NOT IN ('PHP', 'KRW') THEN 'currency' END, CASE WHEN month NOT BETWEEN 1 AND 12 THEN 'month' END], lambda x: x IS NOT NULL), ',') AS violations
-FROM incoming WHERE status NOT IN ('present', 'absent', 'ta', 'noshow') OR currency NOT IN ('PHP', 'KRW') OR month NOT BETWEEN 1 AND 12""",
+ FROM incoming) v""",
 )
 def _(t):
-    return contracts.quarantined(contracts.check_domain(t.incoming), "violations").select("id", "violations")
+    return _halves(t, contracts.check_domain(t.incoming), "violations")
 
 
 @query(
@@ -77,13 +93,12 @@ def _(t):
 
 @query(
     "chk_required",
-    """SELECT id, array_to_string(list_filter([CASE WHEN coalesce(student_id, 0) = 0 THEN 'student_id' END, CASE WHEN date IS NULL THEN 'date' END,
- CASE WHEN coalesce(status, '') = '' THEN 'status' END], lambda x: x IS NOT NULL), ',') AS missing
-FROM incoming WHERE coalesce(student_id, 0) = 0 OR date IS NULL OR coalesce(status, '') = ''""",
+    """SELECT id, CASE WHEN missing = '' THEN 'passed' ELSE 'quarantined' END AS verdict, missing FROM (
+ SELECT id, array_to_string(list_filter([CASE WHEN coalesce(student_id, 0) = 0 THEN 'student_id' END, CASE WHEN date IS NULL THEN 'date' END,
+ CASE WHEN coalesce(status, '') = '' THEN 'status' END], lambda x: x IS NOT NULL), ',') AS missing FROM incoming) v""",
 )
 def _(t):
-    checked = contracts.check_required(t.incoming, ["student_id", "date", "status"])
-    return contracts.quarantined(checked, "missing").select("id", "missing")
+    return _halves(t, contracts.check_required(t.incoming, ["student_id", "date", "status"]), "missing")
 
 
 @query(
@@ -94,28 +109,46 @@ def _(t):
     return contracts.orphans(t.attendance, t.students.filter("is_active"), "student_id").select("id", "student_id")
 
 
+_REFERENCES = [(child, column, parent) for child, found in FOREIGN_KEYS.items() for column, parent in found.items()]
+
+
 @query(
-    "del_cascade",
-    """SELECT 'attendance' AS child, student_id, count(*) AS n_rows FROM attendance WHERE student_id IN (SELECT id FROM students WHERE is_active) GROUP BY student_id
-UNION ALL SELECT 'student_notes', student_id, count(*) FROM student_notes WHERE student_id IN (SELECT id FROM students WHERE is_active) GROUP BY student_id
-UNION ALL SELECT 'student_subject_tuition', student_id, count(*) FROM student_subject_tuition WHERE student_id IN (SELECT id FROM students WHERE is_active) GROUP BY student_id
-UNION ALL SELECT 'teacher_student_commission', student_id, count(*) FROM teacher_student_commission WHERE student_id IN (SELECT id FROM students WHERE is_active) GROUP BY student_id""",
+    "chk_orphans_all",
+    " UNION ALL ".join(
+        f"SELECT '{child}' AS child, '{column}' AS reference, CAST({column} AS BIGINT) AS value, count(*) AS n_rows FROM {child}"
+        f" WHERE {column} IS NOT NULL AND {column} NOT IN (SELECT id FROM {parent} WHERE is_active) GROUP BY {column}"
+        for child, column, parent in _REFERENCES
+    ),
 )
 def _(t):
-    children = ["attendance", "student_notes", "student_subject_tuition", "teacher_student_commission"]
-    left = contracts.cascade_delete(
-        {c: (getattr(t, c), "student_id") for c in children}, t.students.filter("is_active")
+    tables = {child: getattr(t, child) for child in FOREIGN_KEYS}
+    return contracts.orphan_counts(tables | {p: getattr(t, p).filter("is_active") for p in ("students", "teachers")})
+
+
+def _surviving(child: str) -> str:
+    return " AND ".join(
+        f"NOT EXISTS (SELECT 1 FROM {parent} p WHERE NOT p.is_active AND p.id = c.{column})" for column, parent in FOREIGN_KEYS[child].items()
     )
-    counted = [
-        df.groupBy("student_id").agg(F.count(F.lit(1)).alias("n_rows")).select(
-            F.lit(name).alias("child"), "student_id", "n_rows"
-        )
-        for name, df in left.items()
-    ]
-    result = counted[0]
-    for df in counted[1:]:
-        result = result.unionByName(df)
-    return result
+
+
+@query(
+    "del_cascade",
+    " UNION ALL ".join(
+        f"SELECT '{child}' AS child, CAST({'c.student_id' if 'student_id' in found else 'NULL'} AS INT) AS student_id,"
+        f" CAST({'c.teacher_id' if 'teacher_id' in found else 'NULL'} AS INT) AS teacher_id, count(*) AS n_rows"
+        f" FROM {child} c WHERE {_surviving(child)} GROUP BY ALL"
+        for child, found in FOREIGN_KEYS.items()
+    ),
+)
+def _(t):
+    tables = {child: getattr(t, child) for child in FOREIGN_KEYS}
+    left = contracts.cascade(tables, {p: getattr(t, p).filter("NOT is_active") for p in ("students", "teachers")})
+    counted = []
+    for child, found in FOREIGN_KEYS.items():
+        rows = left[child].groupBy(*found).agg(F.count(F.lit(1)).alias("n_rows"))
+        both = [(F.col(c) if c in found else F.lit(None)).cast("int").alias(c) for c in ("student_id", "teacher_id")]
+        counted.append(rows.select(F.lit(child).alias("child"), *both, "n_rows"))
+    return reduce(DataFrame.unionByName, counted)
 
 
 @query(
@@ -129,11 +162,17 @@ def _(t):
 
 @query(
     "evo_columns",
-    "SELECT student_id, subject, CAST(price_per_class AS DOUBLE) AS price_per_class, 'PHP' AS currency FROM student_subject_tuition",
+    """SELECT student_id, subject, CAST(price_per_class AS DOUBLE) AS price_per_class,
+ CASE WHEN student_id % 2 = 0 THEN 'PHP' WHEN student_id % 5 <> 0 THEN currency END AS currency FROM student_subject_tuition""",
 )
 def _(t):
-    old = t.student_subject_tuition.select("student_id", "subject", F.col("price_per_class").alias("amount"))
-    return readers.rename_and_add(old, {"amount": "price_per_class"}, {"currency": "PHP"})
+    # one folder: files from before the columns were renamed and added, and files from after
+    path, rates = run_dir(t.spark, "evolved"), t.student_subject_tuition
+    rates.filter("student_id % 2 = 0").select("student_id", "subject", F.col("price_per_class").alias("amount")).write.parquet(path)
+    newer = rates.filter("student_id % 2 <> 0").withColumn("currency", F.when(F.col("student_id") % 5 != 0, F.col("currency")))
+    newer.write.mode("append").parquet(path)
+    evolved = readers.read_evolved(t.spark, path, {"amount": "price_per_class"}, {"currency": "PHP"})
+    return evolved.select("student_id", "subject", "price_per_class", "currency")
 
 
 @query(
@@ -152,6 +191,21 @@ def _(t):
     return with_identity(t.students)
 
 
+@query("f_identity_key_sql", "SELECT id, identity_key FROM o_identity")
+def _(t):
+    sql_functions.register(t.spark)
+    return t.spark.sql("SELECT id, identity_key(notion_page_id, name, korean_name) AS identity_key FROM {s}", s=t.students)
+
+
+@query(
+    "f_days_parse_sql",
+    """SELECT id, array_to_string([CAST(list_position(['Su','M','T','W','Th','F','Sa'], x) - 1 AS VARCHAR) FOR x IN regexp_extract_all(name, '(Su|Th|Sa|M|T|W|F)')], ',') AS days FROM students""",
+)
+def _(t):
+    sql_functions.register(t.spark)
+    return t.spark.sql("SELECT id, array_join(days_parse(name), ',') AS days FROM {s}", s=t.students)
+
+
 @query("f_bracket_name", r"SELECT id, nullif(regexp_extract(full_name, '\[([^\]]+)\]', 1), '') AS bracket FROM full_names")
 def _(t):
     return t.full_names.select("id", names.bracket_name("full_name").alias("bracket"))

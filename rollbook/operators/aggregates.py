@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.functions.common import col
+from rollbook.operators.joins import null_safe_join
+from rollbook.operators.ordering import with_position
 from rollbook.schema import STATUSES
 
 
@@ -73,3 +75,22 @@ def nested_groups(
     """
     items = F.sort_array(F.collect_list(F.struct(*fields)))
     return rows.groupBy(*keys, *bucket).agg(F.count(F.lit(1)).alias("n_items"), items.alias(name))
+
+
+def chunked_groups(
+    rows: DataFrame, keys: Sequence[str], name: str, fields: Sequence[str], length: int = 1000
+) -> DataFrame:
+    """Rows nested under a key as arrays of at most ``length``: per key and ``chunk`` (from 0) the array, sorted by its
+    fields, with ``n_items`` of the whole key.
+
+    Places come from one sort of all rows by many tasks, so a key with any number of rows is cut without being gathered.
+    """
+    order = [F.col(c).asc_nulls_first() for c in (*keys, *fields)]
+    placed = with_position(rows.select(*keys, *fields), order)
+    sizes = placed.groupBy(*keys).agg(F.min("position").alias("_first"), F.count(F.lit(1)).alias("n_items"))
+    cut = null_safe_join(placed, sizes, keys, "inner")
+    cut = cut.withColumn("chunk", F.floor((F.col("position") - F.col("_first")) / length).cast("int"))
+    items = F.array_sort(F.collect_list(F.struct("position", *fields)))
+    nested = cut.groupBy(*keys, "chunk", "n_items").agg(items.alias("_items"))
+    bare = F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+    return nested.select(*keys, "chunk", "n_items", bare.alias(name))

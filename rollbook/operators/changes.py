@@ -66,6 +66,7 @@ def set_records(
     changes: DataFrame,
     keep_notes: bool = False,
     null_subject_mode: str = "one",
+    mark: str | None = None,
 ) -> DataFrame:
     """Set presence: insert, update or revive; the latest of state and changes wins.
 
@@ -110,7 +111,9 @@ def set_records(
         "deleted_at": F.col("_row.deleted_at"),
         "updated_at": F.col("_row.at"),
     }
-    return merged.select(*[F.col(c) if c in CELL else values[c].alias(c) for c in state.columns])
+    written = F.when(F.col("_row.seq").isNotNull(), F.when(F.col("_stored").isNull(), "inserted").otherwise("updated"))
+    marks = [] if mark is None else [written.alias(mark)]
+    return merged.select(*[F.col(c) if c in CELL else values[c].alias(c) for c in state.columns], *marks)
 
 
 def _new_id(state: DataFrame, seq: Column) -> Column:
@@ -118,8 +121,9 @@ def _new_id(state: DataFrame, seq: Column) -> Column:
     return F.coalesce(state.agg(F.max("id").cast("long")).scalar(), F.lit(0)) + seq.cast("long")
 
 
-def bulk_set_records(state: DataFrame, changes: DataFrame) -> DataFrame:
-    return set_records(state, changes, keep_notes=True)
+def bulk_set_records(state: DataFrame, changes: DataFrame, mark: str | None = None) -> DataFrame:
+    """``mark`` names a column that tells rows ``inserted`` or ``updated`` from those that stay (null)."""
+    return set_records(state, changes, keep_notes=True, mark=mark)
 
 
 def _with_owner(rows: DataFrame, persons: DataFrame | None) -> DataFrame:
@@ -132,7 +136,7 @@ def _with_owner(rows: DataFrame, persons: DataFrame | None) -> DataFrame:
 
 
 def _flag_deleted(
-    state: DataFrame, changes: DataFrame, persons: DataFrame | None, delete: bool
+    state: DataFrame, changes: DataFrame, persons: DataFrame | None, delete: bool, mark: str | None = None
 ) -> DataFrame:
     asked = (
         _with_owner(changes.withColumn("subject", blank_to_null("subject")), persons)
@@ -149,30 +153,35 @@ def _flag_deleted(
             F.col("deleted_at")
         ),
     }
-    return marked.select(*[values[c].alias(c) if c in values else F.col(c) for c in state.columns])
+    marks = [] if mark is None else [F.when(F.col("_hit"), F.lit("deleted" if delete else "restored")).alias(mark)]
+    return marked.select(*[values[c].alias(c) if c in values else F.col(c) for c in state.columns], *marks)
 
 
-def soft_delete(state: DataFrame, changes: DataFrame, persons: DataFrame | None = None) -> DataFrame:
+def soft_delete(
+    state: DataFrame, changes: DataFrame, persons: DataFrame | None = None, mark: str | None = None
+) -> DataFrame:
     """Mark live records deleted; with ``persons`` under every id of the person."""
-    return _flag_deleted(state, changes, persons, delete=True)
+    return _flag_deleted(state, changes, persons, True, mark)
 
 
-def undo_delete(state: DataFrame, changes: DataFrame, persons: DataFrame | None = None) -> DataFrame:
+def undo_delete(
+    state: DataFrame, changes: DataFrame, persons: DataFrame | None = None, mark: str | None = None
+) -> DataFrame:
     """Restore deleted records; with ``persons`` under every id of the person."""
-    return _flag_deleted(state, changes, persons, delete=False)
+    return _flag_deleted(state, changes, persons, False, mark)
 
 
 def _entries_on(entries: DataFrame, date: dt.date, at) -> DataFrame:
     return entries.select("student_id", "subject", F.lit(date).alias("date"), at.alias("changed_at"))
 
 
-def bulk_delete(state: DataFrame, entries: DataFrame, date: dt.date, at) -> DataFrame:
+def bulk_delete(state: DataFrame, entries: DataFrame, date: dt.date, at, mark: str | None = None) -> DataFrame:
     """Delete the entries of one date, under exactly the ids given."""
-    return soft_delete(state, _entries_on(entries, date, at))
+    return soft_delete(state, _entries_on(entries, date, at), mark=mark)
 
 
-def bulk_undo(state: DataFrame, entries: DataFrame, date: dt.date, at) -> DataFrame:
-    return undo_delete(state, _entries_on(entries, date, at))
+def bulk_undo(state: DataFrame, entries: DataFrame, date: dt.date, at, mark: str | None = None) -> DataFrame:
+    return undo_delete(state, _entries_on(entries, date, at), mark=mark)
 
 
 def toggle_records(state: DataFrame, toggles: DataFrame, persons: DataFrame) -> DataFrame:

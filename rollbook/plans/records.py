@@ -256,3 +256,26 @@ def month_notes(notes: DataFrame, remap: DataFrame, year: int, month: int) -> Da
     """Notes of a month under canonical ids."""
     rows = notes.filter((F.col("year") == year) & (F.col("month") == month))
     return apply_remap(rows.select("student_id", "notes", "subject"), remap)
+
+
+def class_report(counts: DataFrame) -> tuple[DataFrame, list]:
+    """The lines of the nested report of class counts, and their order: per teacher one line with totals, then one line
+    per student with the classes of each subject.
+
+    A line holds one student's subjects, never a teacher's students, so a teacher of any size is many short lines.
+    """
+    rows = counts.filter("level = 0")
+    who = ["teacher_id", "teacher_name"]
+    student = ["student_id", "student_name", "korean_name"]
+    subjects = F.array_sort(F.collect_list(F.struct("subject", "class_count"))).alias("subjects")
+    total = F.sum("class_count").cast("long").alias("total_classes")
+    students = rows.groupBy(*who, *student).agg(subjects, total).withColumn("kind", F.lit("student"))
+    teachers = students.groupBy(*who).agg(
+        F.count_distinct("student_id").alias("n_students"), F.sum("total_classes").alias("total_classes")
+    ).withColumn("kind", F.lit("teacher"))
+    lines = teachers.unionByName(students, allowMissingColumns=True)
+    order = [
+        F.col("teacher_name").asc_nulls_first(), F.col("teacher_id").asc_nulls_last(), F.col("kind").desc(),
+        F.col("student_name").asc_nulls_first(), F.col("student_id").asc_nulls_first(),
+    ]
+    return lines, order

@@ -85,3 +85,16 @@ DEFAULTS: dict[str, object] = {
     "paid": False,
     "is_deleted": False,
 }
+
+# Which columns point at which parent; deleting the parent deletes the row.
+FOREIGN_KEYS: dict[str, dict[str, str]] = {
+    "attendance": {"student_id": "students"},
+    "student_notes": {"student_id": "students"},
+    "student_subject_tuition": {"student_id": "students"},
+    "subject_tuition_payments": {"student_id": "students"},
+    "hidden_attendance_rows": {"student_id": "students"},
+    "teacher_commission": {"teacher_id": "teachers"},
+    "teacher_payments": {"teacher_id": "teachers"},
+    "teacher_student_commission": {"teacher_id": "teachers", "student_id": "students"},
+    "teacher_student_payments": {"teacher_id": "teachers", "student_id": "students"},
+}

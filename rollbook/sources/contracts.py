@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from graphlib import TopologicalSorter
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rollbook.operators.joins import keep_known
-from rollbook.schema import CURRENCIES, STATUSES
+from rollbook.schema import CURRENCIES, FOREIGN_KEYS, STATUSES
 
 
 def domain_rules() -> dict[str, Column]:
@@ -69,3 +71,44 @@ def orphans(children: DataFrame, parents: DataFrame, child_key: str, parent_key:
 def cascade_delete(children: dict[str, tuple[DataFrame, str]], parents: DataFrame) -> dict[str, DataFrame]:
     """Per child table the rows whose parent survives."""
     return {name: keep_known(df, parents, key, "id") for name, (df, key) in children.items()}
+
+
+def cascade(
+    tables: Mapping[str, DataFrame], deleted: Mapping[str, DataFrame], graph: Mapping[str, Mapping[str, str]] = FOREIGN_KEYS
+) -> dict[str, DataFrame]:
+    """The rows of every table that survive the deletes of ``deleted`` (rows of some of the tables, by ``id``).
+
+    The graph is walked parents first. A row goes if any of its parents goes, and then takes the rows that point at it
+    along. A reference that is null or points at nothing keeps its row. Each table is read once: its parents' deleted ids
+    are taken out one after the other.
+    """
+    left, gone = {}, dict(deleted)
+    for name in TopologicalSorter({child: set(parents.values()) for child, parents in graph.items()}).static_order():
+        if name not in tables:
+            continue
+        rows, whole = tables[name], tables[name]
+        if name in deleted:
+            rows = rows.join(deleted[name].select(F.col("id").alias("_gone")), F.col("id") == F.col("_gone"), "left_anti")
+        pointing = {column: parent for column, parent in graph.get(name, {}).items() if parent in gone}
+        for column, parent in pointing.items():
+            ids = gone[parent].select(F.col("id").alias("_gone"))
+            rows = rows.join(ids, F.col(column) == F.col("_gone"), "left_anti")
+        left[name] = rows
+        if pointing and name in {p for parents in graph.values() for p in parents.values()}:
+            gone[name] = whole.join(rows.select(F.col("id").alias("_kept")), F.col("id") == F.col("_kept"), "left_anti")
+    return left
+
+
+def orphan_counts(tables: Mapping[str, DataFrame], graph: Mapping[str, Mapping[str, str]] = FOREIGN_KEYS) -> DataFrame:
+    """Per reference and value that finds no parent the number of rows: ``child``, ``reference``, ``value``, ``n_rows``.
+
+    Rows are counted per value before parents are looked up.
+    """
+    found = []
+    for child, references in graph.items():
+        for column, parent in references.items():
+            if child in tables and parent in tables:
+                counted = tables[child].groupBy(F.col(column).cast("long").alias("value")).agg(F.count(F.lit(1)).alias("n_rows"))
+                lost = orphans(counted, tables[parent], "value")
+                found.append(lost.select(F.lit(child).alias("child"), F.lit(column).alias("reference"), "value", "n_rows"))
+    return reduce(DataFrame.unionByName, found)

@@ -71,6 +71,27 @@ def rename_and_add(df: DataFrame, renames: dict[str, str], added: dict[str, obje
     return df
 
 
+def read_evolved(spark: SparkSession, path: str, renames: dict[str, str], added: dict[str, object]) -> DataFrame:
+    """A folder of files of both ages in the new layout: per row a renamed column is taken from where it stands, and an
+    added one gets its default in rows of the old layout only. A row is old if it holds a value under an old name."""
+    rows = spark.read.option("mergeSchema", "true").parquet(path)
+    old = F.lit(False)
+    for before, after in renames.items():
+        if before in rows.columns:
+            now = F.col(after).isNotNull() if after in rows.columns else F.lit(False)
+            old = old | (F.col(before).isNotNull() & ~now)
+    rows = rows.withColumn("_old", old)
+    for before, after in renames.items():
+        if before in rows.columns:
+            kind = rows.schema[after].dataType if after in rows.columns else rows.schema[before].dataType
+            both = [F.col(c).cast(kind) for c in (after, before) if c in rows.columns]
+            rows = rows.withColumn(after, F.coalesce(*both)).drop(before)
+    for name, default in added.items():
+        held = F.col(name) if name in rows.columns else F.lit(None)
+        rows = rows.withColumn(name, F.when(F.col("_old"), F.coalesce(held, F.lit(default))).otherwise(held))
+    return rows.drop("_old")
+
+
 def backfill_hidden(hidden: DataFrame) -> DataFrame:
     """Rows without a start year take year and month from the time they were hidden."""
     missing = F.col("hidden_from_year").isNull()
