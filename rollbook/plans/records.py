@@ -15,7 +15,7 @@ from rollbook.functions.values import STATUS_CODES, percentage
 from rollbook.operators.aggregates import tally
 from rollbook.operators.identity import apply_remap
 from rollbook.operators.joins import null_safe_join
-from rollbook.operators.ranking import row_index
+from rollbook.operators.ordering import with_position
 from rollbook.schema import STATUSES
 from rollbook.sources.calendar import day_set, holiday_set, schedule_set, size_of, without
 from rollbook.sources.readers import date_range, month_slice
@@ -118,7 +118,8 @@ def summary_totals(summary: DataFrame) -> DataFrame:
 
 def lowest_first(summary: DataFrame) -> DataFrame:
     """Every row with its ``position`` by percentage, rows without one first, then by id and subject."""
-    return row_index(summary, [], "percentage", "id", ties=["subject"])
+    order = [F.col("percentage").asc_nulls_first(), F.col("id").asc(), F.col("subject").asc_nulls_first()]
+    return with_position(summary, order)
 
 
 def month_grid(marked: DataFrame, holidays: DataFrame, year: int, month: int) -> DataFrame:
