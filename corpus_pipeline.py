@@ -47,7 +47,13 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table: one row per document of the mix, as the token files hold it."""
+    """All stages over the whole documents table: one row per document of the mix, as the token files hold it.
+
+    Null and empty texts get the share of good labels as their score and, where they stay, are one group of near duplicates
+    without words. Rows of one key and text are one after the second stage; the mix may then take a document twice. A null
+    key comes first in the files. Other columns, whatever their names, go through all stages but the last, which returns
+    counts. An empty table gives no rows.
+    """
     docs = read_documents(spark, sf_dir)
     for name, stage in STAGES:
         path = run_dir(spark, f"stage-{name}")

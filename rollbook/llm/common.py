@@ -24,6 +24,17 @@ def named(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, each with as many underscores in front as it takes to be no column of the frame."""
+    held, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in held:
+            name = f"_{name}"
+        held.add(name.lower())
+        out.append(name)
+    return out
+
+
 def staged(df: DataFrame, label: str) -> DataFrame:
     """The frame as a table in the shared folder: lineage ends there, so a lost executor costs no earlier stage."""
     path = run_dir(df.sparkSession, label)

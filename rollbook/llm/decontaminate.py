@@ -228,7 +228,8 @@ def matches(
     ``n_hit`` (words inside a window), ``items`` (array of the ids of items with a window here, sorted as
     strings), ``longest`` and ``longest_at`` (words of the longest verbatim match, and its first word; 0 and
     -1 if none). Null texts have no words and match nothing; a null item id is the string ``null``; items of
-    equal id are one. Test items go out in blocks of bounded size, one at a time: before the next, the documents are
+    equal id are one. Without test items nothing matches; an empty table gives an empty one; repeated rows get equal
+    results; kept columns named like new ones are replaced. Test items go out in blocks of bounded size, one at a time: before the next, the documents are
     written with what was found so far.
     """
     long = T.LongType()
@@ -268,7 +269,9 @@ def clean(
     docs: DataFrame, benchmark: DataFrame, *, text: str = "text", item: str = "item_id", bench_text: str = "text",
     window: int = 10, block_chars: int = 16_000_000, shard_docs: int = 2000,
 ) -> DataFrame:
-    """``docs`` without the documents that hold a window of a test item; all columns as they are."""
+    """``docs`` without the documents that hold a window of a test item; all columns as they are, whatever their names.
+
+    Null and empty texts stay, and so does everything if there are no test items; an empty table gives an empty one."""
     def make(block: Broadcast):
         def mask(texts: pa.Array) -> pa.Array:
             hits = [

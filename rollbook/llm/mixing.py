@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from rollbook.llm.common import named, staged
+from rollbook.llm.common import named, staged, unused
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -84,7 +84,7 @@ def plan(
 
     No source is sorted as a whole: documents are summed by source and bucket of the waiting time first, and
     only the bucket in which a budget ends is sorted, about a ``buckets``-th part of its source at most. Rows that
-    repeat a key and a text have one waiting time; there they are one row with their number.
+    repeat a key and a text have one waiting time; there they are one row with their number. An empty table gives none.
     """
     rate = weight if weight is not None else letter_share(named(text))
     skinny = docs.select(
@@ -132,22 +132,24 @@ def _taken(skinny: DataFrame, ends: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", seed: int = 7, **options) -> DataFrame:
     """``docs`` as the mix takes them, whole: each document as often as its epochs say, and once more where half or
-    more of it is taken in the rest. All columns are returned as they are.
+    more of it is taken in the rest. All columns are returned as they are, whatever their names. Null and empty texts have
+    no words and come with the whole epochs alone; repeated rows are documents of their own; an empty table gives an empty one.
 
     Texts are not shuffled: what they meet is a row per source, with the waiting time at which the budget ends.
     """
     planned = staged(plan(docs, key=key, text=text, source=source, seed=seed, **options), "plan")
     more = (F.col("taken") - F.col("epochs") * F.col("size")) * 2
     # documents up to this waiting time are in; nothing is, if none is
+    of, epochs, until, copy = unused(docs, "__of", "__epochs", "__until", "__copy")
     ends = planned.groupBy("source").agg(
-        F.max("epochs").alias("__epochs"), F.max(F.when((more >= F.col("size")) & (F.col("size") > 0), F.col("waiting"))).alias("__until")
-    ).withColumnRenamed("source", "__of")
+        F.max("epochs").alias(epochs), F.max(F.when((more >= F.col("size")) & (F.col("size") > 0), F.col("waiting"))).alias(until)
+    ).withColumnRenamed("source", of)
     # as a table its size is known when the join is planned: a few rows are broadcast, many are not
     ends = staged(ends, "ends")
     rate = options.get("weight")
     rate = rate if rate is not None else letter_share(named(text))
     waiting = sample_key(named(key), named(text), rate, seed)
-    joined = docs.join(ends, named(source).eqNullSafe(F.col("__of")))
-    once = F.when(waiting <= F.col("__until"), 1).otherwise(0)
-    copies = F.explode(F.array_repeat(F.lit(1), (F.col("__epochs") + once).cast("int")))
-    return joined.withColumn("__copy", copies).select(*(named(c) for c in docs.columns))
+    joined = docs.join(ends, named(source).eqNullSafe(F.col(of)))
+    once = F.when(waiting <= F.col(until), 1).otherwise(0)
+    copies = F.explode(F.array_repeat(F.lit(1), (F.col(epochs) + once).cast("int")))
+    return joined.withColumn(copy, copies).select(*(named(c) for c in docs.columns))

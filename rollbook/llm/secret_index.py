@@ -209,7 +209,8 @@ def scan(
 
     Rules with mandatory trigrams are verified only on the documents that the index gives for them; the others
     read every text. Candidates belong to keys: all rows of a repeated key, null included, are verified. A null
-    text is empty. Spans of different kinds may overlap, and all stay. Other columns are dropped.
+    text is empty. Spans of different kinds may overlap, and all stay. Texts may be of any length, with any number of
+    matches. Other columns are dropped; an empty table gives an empty one.
     """
     rules = [*base, *more]
     queries = {r.kind: trigram_query(r.pattern) for r in rules}

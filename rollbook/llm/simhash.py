@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import Scorer, as_bytes, named, per_text, staged
+from rollbook.llm.common import Scorer, as_bytes, named, per_text, staged, unused
 from rollbook.llm.components import components
 
 FP = "fp"
@@ -223,7 +223,8 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingl
     """``docs`` with one row of each group of near duplicates: the one with the smallest key, nulls last.
 
     A row is known by its key and the hash of its text; of rows equal in both one stays. All columns are
-    returned as they are. Texts meet the kept keys in one join; fingerprints and links hold no text.
+    returned as they are, whatever their names. Texts meet the kept keys in one join; fingerprints and links hold no
+    text. Null and empty texts share fingerprint zero and so are one group; an empty table gives an empty one.
     """
     body = F.coalesce(named(text), F.lit(""))
     skinny = docs.select(named(key).alias("k"), F.xxhash64(body).alias("h"), body.alias("t"))
@@ -235,9 +236,9 @@ def keep_one(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingl
     times = rows.groupBy("k", "h").agg(F.count("*").alias("times"))
     same = F.col("k").eqNullSafe(F.col("k2")) & (F.col("h") == F.col("h2"))
     chosen = chosen.distinct().join(times.withColumnsRenamed({"k": "k2", "h": "h2"}), same)
-    chosen = chosen.select(F.col("k").alias("__k"), F.col("h").alias("__h"), F.col("times").alias("__times"))
-    chosen = staged(chosen, "kept")
-    match = named(key).eqNullSafe(F.col("__k")) & (F.xxhash64(body) == F.col("__h"))
-    once = docs.join(chosen.where("__times = 1"), match, "left_semi")
-    several = docs.join(chosen.where("__times > 1"), match).dropDuplicates(["__k", "__h"])
+    k, h, n = unused(docs, "__k", "__h", "__times")
+    chosen = staged(chosen.select(F.col("k").alias(k), F.col("h").alias(h), F.col("times").alias(n)), "kept")
+    match = named(key).eqNullSafe(F.col(k)) & (F.xxhash64(body) == F.col(h))
+    once = docs.join(chosen.where(F.col(n) == 1), match, "left_semi")
+    several = docs.join(chosen.where(F.col(n) > 1), match).dropDuplicates([k, h])
     return once.unionByName(several.select(*(named(c) for c in docs.columns)))

@@ -231,7 +231,8 @@ def near_duplicates(
     never all pairs. The grid takes as many axes of a block as keep its cells below ``cell_rows`` rows.
 
     Vectors that are null, empty, zero or hold null or non-finite components link with nothing. Rows with a null
-    key count as links of others but name no component. Nodes are known by the 64-bit hash of their vector.
+    key count as links of others but name no component. Nodes are known by the 64-bit hash of their vector. Other
+    columns are dropped; an empty table gives an empty one.
     """
     values = named(vector)
     finite = ~F.exists(values, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))

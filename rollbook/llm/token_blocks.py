@@ -277,7 +277,8 @@ def write_blocks(
     """Write the ids of every document, each with ``end_id`` behind, in ascending key order (nulls first; equal keys
     by the hash of their text) to block files of about ``file_ids`` ids below ``path``; give back the manifest.
 
-    A null text is empty. Documents are dealt by ranges of the key, so a task holds one file's ids at a time. The
+    A null text is empty; repeated rows are documents of their own; an empty table writes no block file; other columns are
+    not read. A text of any length goes into one file, which is then larger. Documents are dealt by ranges of the key, so a task holds one file's ids at a time. The
     manifest, a table that Spark commits, names the files that count; what a lost attempt leaves is not in it.
     """
     session = docs.sparkSession
@@ -361,7 +362,8 @@ def _get(name: str) -> bytes:
 def read_blocks(manifest: DataFrame, *, key: str = "doc_id") -> DataFrame:
     """``key``, ``start`` (ids of all documents before), ``n_tokens`` and ``ids_crc32`` of every document, from the files.
 
-    Starts are summed in two steps, over the parts and over the files of a part; no ids take part in that.
+    Starts are summed in two steps, over the parts and over the files of a part; no ids take part in that. A manifest
+    without files gives no rows.
     """
     session = manifest.sparkSession
     parts = manifest.groupBy("part").agg(F.sum("n_ids").alias("n"))

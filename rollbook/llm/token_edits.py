@@ -125,7 +125,8 @@ _TREE = [
 
 def build_trees(docs: DataFrame, tokenizer: str, *, text: str = "text", keep: list[str], chars: int = 256) -> DataFrame:
     """``keep`` and the segment tree of each whole text: ``n_tokens``, ``lengths`` and ``counts`` of its segments of
-    about ``chars`` characters, ``sums`` of the tree above them. A null text is empty: one segment, no token."""
+    about ``chars`` characters, ``sums`` of the tree above them. A null text is empty: one segment, no token. A text of any length is one
+    tree; repeated rows get equal ones; an empty table gives an empty one."""
     def make() -> Scorer:
         counter = Counter(tokenizer, chars)
 
@@ -147,7 +148,8 @@ def apply_edits(trees: DataFrame, tokenizer: str, edits: Column, *, key: str = "
 
     ``edits`` is an array of (start, end, text) on code points of the old text, end exclusive; null is none. They
     are taken by start; one that leaves the text or begins inside an earlier one has no effect, a null text inserts
-    nothing. Old texts are read only around edits. Each row stands alone: nothing is shuffled.
+    nothing. Old texts are read only around edits. Each row stands alone: nothing is shuffled. An empty table gives an
+    empty one; a key named like one of the counts is an error.
     """
     long = T.LongType()
     rows = trees.select(
@@ -155,6 +157,8 @@ def apply_edits(trees: DataFrame, tokenizer: str, edits: Column, *, key: str = "
         F.coalesce(edits, F.array().cast(EDITS)).alias("edits"),
     )
     names = ["n_tokens", "n_edits", "n_tokens_after", "n_chars_after", "chars_encoded", "sums_updated"]
+    if key in names:
+        raise ValueError(f"the key is named like a count: {key}")
     schema = T.StructType([T.StructField("k", trees.schema[key].dataType), *(T.StructField(n, long) for n in names)])
 
     def run(batches):

@@ -16,7 +16,7 @@ def texts() -> list[str | None]:
     base = prose(1, 300)
     out: list[str | None] = [None, "", "   \n\t ", "one", "Two words", base, base, base.upper(), base.replace(base.split()[5], "zz", 1)]
     out += [prose(100 + i, 20 + 13 * i) for i in range(12)]
-    out += [prose(7, 20_000), "a  b\n\n c \n d e  ", "x<|endoftext|>y end", " wide 　 space\x00nul", "été " * 50, "🙂 emoji 🙂🙂 ok"]
+    out += [prose(7, 20_000), "a  b\n\n c \n d e  ", "x<|endoftext|>y end", " wide 　 space\x00nul", "été " * 50, "🙂 emoji 🙂🙂 ok", "²½ ① Ⅷ"]
     return out
 
 
@@ -29,10 +29,11 @@ def documents(spark, rows=None):
         rows += [rows[5], rows[5], (None, texts()[5], None, "s1"), (None, None, "en", None), (None, prose(9, 30), "de", "s0"), (4, None, None, None)]
     schema = (
         "doc_id long, text string, lang string, source string, n_chars long, fp long, k string, h string, t string, "
-        "body string, score string, size string, `a.b` string, words string, times int, root int, shard int, items string"
+        "body string, score string, size string, `a.b` string, words string, times int, root int, shard int, items string, "
+        "__k string, __h string, __times int, __of string, __epochs int, __until double, __copy int"
     )
     return spark.createDataFrame(
-        [(*r, len(r[1] or ""), 1, "k", "h", None, "b", "s", "z", "d", "w", 3, 2, 1, "i") for r in rows], schema
+        [(*r, len(r[1] or ""), 1, "k", "h", None, "b", "s", "z", "d", "w", 3, 2, 1, "i", "kk", "hh", 9, "o", 8, 0.5, 7) for r in rows], schema
     ).repartition(3)
 
 

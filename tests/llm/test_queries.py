@@ -15,6 +15,7 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from rollbook.llm import compression_quality, decontaminate, language_bayes, mixing, queries, secret_index, simhash, token_blocks
+from tests.llm import messy
 from tests.parity import DATA, compare, connect
 
 SF = f"{DATA}/sf0.001"
@@ -201,3 +202,19 @@ def test_a_tokenizer_that_joins_words_gets_whole_texts(tmp_path):
     assert not encoder.cuts
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == [joined.encode(t).ids for t in texts]
     assert token_blocks.WordEncoder(queries.TOKENIZER).cuts
+
+
+def test_pipeline_of_messy_documents(spark, tmp_path):
+    docs = messy.documents(spark).where("doc_id IS NULL OR doc_id < 200")
+    folder = f"file://{tmp_path}"
+    docs.write.parquet(f"{folder}/documents.parquet")
+    docs.where("doc_id IS NOT NULL").selectExpr("doc_id", "CAST(doc_id % 4 > 0 AS INT) AS quality", "0 AS toxic").distinct().write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([("i1", messy.prose(105, 30)), (None, None)], "item_id string, text string").write.parquet(f"{folder}/benchmark.parquet")
+    rows = queries.read_documents(spark, folder)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, rows, folder)
+        assert out.columns == docs.columns and out.count() <= 2 * rows.count(), name
+    kept = corpus_pipeline.STAGES[1][1](spark, rows, folder).collect()
+    assert len({(r["doc_id"], r["text"]) for r in kept}) == len(kept) and "__copy" in out.columns
+    assert corpus_pipeline.STAGES[-1][1](spark, rows, folder).count() == rows.count()
+    assert corpus_pipeline.run(spark, folder).columns == ["doc_id", "start", "n_tokens", "ids_crc32"]
