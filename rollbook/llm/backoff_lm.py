@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from rollbook.llm.common import as_bytes, named
+from rollbook.llm.common import as_bytes, named, slices
 
 # kind 0: documents of a group; 1: n-grams of a group in a bucket, with their counts by fold
 _ROWS = T.StructType([
@@ -77,13 +77,14 @@ def _entries(names: np.ndarray, ids: np.ndarray, first: np.ndarray) -> tuple[np.
     return keys, place[: len(names)], place[len(names) :][at]
 
 
-def _grams(rows: DataFrame, bits: int | None, buckets: int, group: int) -> DataFrame:
+def _grams(rows: DataFrame, bits: int | None, buckets: int, group: int, group_bytes: int) -> DataFrame:
     """Per group of documents: its documents, and by bucket the counts of its words and pairs."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seq = TaskContext.get().partitionId() << 32
         for whole in batches:
-            for start in range(0, whole.num_rows, group):
-                part = whole.slice(start, group)
+            texts_of = whole.column(2)
+            for start, stop in ((a, min(a + group, stop)) for first, stop in slices(texts_of, group_bytes) for a in range(first, stop, group)):
+                part = whole.slice(start, stop - start)
                 seq += 1
                 keys_of, folds = part.column(0).to_pylist(), np.array(part.column(1).to_pylist(), np.int64)
                 texts = as_bytes(part.column(2))
@@ -168,6 +169,7 @@ def _scored(documents: bytes, answers: list[bytes], bits: int | None, alpha: flo
 def score(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", fold: Column | None = None, bits: int | None = None,
     alpha: float = 0.4, bucket_chars: int = 100_000_000, group: int = 512,
+    group_bytes: int = 8_000_000,
 ) -> DataFrame:
     """One row per document: ``key``, ``n_words``, ``n_seen`` (words that follow the word before them in the other
     fold too), ``log_score`` (sum of natural logarithms) and ``perplexity``.
@@ -178,7 +180,8 @@ def score(
     other fold. Words and pairs are known by 64-bit hashes and neither is bounded: both are counted in hash buckets,
     the number of which follows the corpus, and the counts go back to the groups of documents that have them. With
     ``bits`` words are folded into 2**bits - 1 classes first. Null and empty texts have no words, score 0 and a null
-    perplexity. Repeated rows are documents of their own. Other columns are dropped.
+    perplexity. Repeated rows are documents of their own. Other columns are dropped; an empty table gives an empty one.
+    A group is up to ``group`` documents of about ``group_bytes`` bytes, or one longer text.
     """
     if not 1 <= group <= 1 << 16:
         raise ValueError("a group holds 1 to 65536 documents")
@@ -191,7 +194,7 @@ def score(
     chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
     buckets = max(tasks, int(chars // bucket_chars) + 1)
-    grams = _grams(rows, bits, buckets, group).repartition(buckets, "bucket").sortWithinPartitions("bucket")
+    grams = _grams(rows, bits, buckets, group, group_bytes).repartition(buckets, "bucket").sortWithinPartitions("bucket")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, asked = None, []

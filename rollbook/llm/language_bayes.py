@@ -87,7 +87,7 @@ def _count(labelled: DataFrame, bits: int, orders: tuple[int, ...]) -> DataFrame
 
 def fit(
     docs: DataFrame, *, text: str = "text", lang: str = "lang", bits: int = 16, orders: tuple[int, ...] = (1, 2, 3),
-    alpha: float = 0.5, max_languages: int = 1000,
+    alpha: float = 0.5, max_languages: int = 200,
 ) -> LanguageModel:
     """Learn from every row with a text that has a letter and a language that isn't null.
 

@@ -73,7 +73,7 @@ def targets(sizes: DataFrame, weights: Sequence[int], share: float, most: float)
 
 def plan(
     docs: DataFrame, *, key: str = "doc_id", text: str = "text", source: str = "source", weight: Column | None = None,
-    weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, buckets: int = 1024, seed: int = 7,
+    weights: Sequence[int] = (5, 2, 1), share: float = 1.5, most: float = 2.0, buckets: int | None = None, seed: int = 7,
 ) -> DataFrame:
     """One row per document: ``doc_id``, ``source``, ``size``, ``source_size``, ``target``, ``epochs``, ``taken``.
 
@@ -83,9 +83,12 @@ def plan(
     of their own. ``source_size`` and the others are zero where a source has no words. Other columns are dropped.
 
     No source is sorted as a whole: documents are summed by source and bucket of the waiting time first, and
-    only the bucket in which a budget ends is sorted, about a ``buckets``-th part of its source at most. Rows that
+    only the bucket in which a budget ends is sorted, about a ``buckets``-th part of its source at most: by default 1024,
+    or as many as leave it about 50,000 documents. Rows that
     repeat a key and a text have one waiting time; there they are one row with their number. An empty table gives none.
     """
+    if buckets is None:
+        buckets = max(1024, docs.count() // 50_000)
     rate = weight if weight is not None else letter_share(named(text))
     skinny = docs.select(
         named(key).alias("doc_id"), named(source).alias("source"), size_of(named(text)).alias("size"),
