@@ -159,6 +159,7 @@ class WordEncoder:
 
     _CUT = re.compile(r"(?<=\S)(?= \S)")
     #: marks behind the last letter of a piece; letters and marks are never one token
+    _MARKS = frozenset(".,;:!?|#$%&*)\"-")
     _CLOSE = re.compile(r"(?<=[^\W\d_])[.,;:!?|#$%&*)\"-]+\Z")
 
     def __init__(self, path: str, room: int = 100_000_000):
@@ -194,7 +195,7 @@ class WordEncoder:
         """New plain pieces go to the library many at once, a line each, without their closing marks, so that a word
         is new once; odd ones one by one."""
         known = self.known
-        closed = {p: cut for p in plain if (cut := self._CLOSE.search(p))}
+        closed = {p: cut for p in plain if p[-1:] in self._MARKS and (cut := self._CLOSE.search(p))}
         lines = {p for p in plain if p not in closed}
         for p, cut in closed.items():
             lines.update((p[: cut.start()], cut[0]))
@@ -219,7 +220,7 @@ class WordEncoder:
             for piece, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[piece] = np.array(encoding.ids, "<u4").tobytes()
         # objects, and their places in the table, besides the characters and ids
-        self.held += sum(300 + 5 * len(p) for p in plain) + sum(300 + 9 * len(p) for p in odd)
+        self.held += 300 * (len(plain) + len(odd)) + 5 * sum(map(len, plain)) + 9 * sum(map(len, odd))
 
     def _known(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
         """The pieces of each text, and the ids of all of them."""
@@ -237,10 +238,13 @@ class WordEncoder:
         # one look into the large table for each distinct piece; the pieces one by one meet a small one
         ids = dict(zip(every, map(self.known.get, every), strict=True))
         new = [p for p, found in ids.items() if found is None]
-        again = {p: self.older[p] for p in new if p in self.older} if self.older else {}
-        self.known.update(again)
-        self.held += sum(300 + 5 * len(p) for p in again)
-        self._learn([p for p in new if p not in again and p not in others], [p for p in new if p not in again and p in others])
+        if self.older:
+            again = {p: found for p in new if (found := self.older.get(p)) is not None}
+            self.known.update(again)
+            self.held += 300 * len(again) + 5 * sum(map(len, again))
+            ids.update(again)
+            new = [p for p in new if p not in again]
+        self._learn([p for p in new if p not in others] if others else new, [p for p in new if p in others] if others else [])
         ids.update(zip(new, map(self.known.__getitem__, new), strict=True))
         return split, ids
 
