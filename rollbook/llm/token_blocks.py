@@ -62,30 +62,13 @@ def _unpack(packed: np.ndarray, width: int, block: int) -> np.ndarray:
     return np.ascontiguousarray(out.T).reshape(rows, -1)[:, :block]
 
 
-def encode_ids(ids: np.ndarray, lengths: np.ndarray, keys: list[int | None], block: int = 1024, percentile: float = 0.95) -> bytes:
-    """A file: head, document table, block index (start, minimum, width, exceptions of each block), blocks.
-
-    From each block its minimum is subtracted. The differences are packed at the width that the chosen
-    percentile of them fits; for larger ones the low bits are packed, and their places and high bits follow as
-    the block's exception list. The last block is filled with its first id; the head knows the number of ids.
-    """
-    ids = np.asarray(ids, np.uint32)
-    count = -(-len(ids) // block)
-    filled = np.zeros(count * block, np.uint32)
-    filled[: len(ids)] = ids
-    if count:
-        filled[len(ids) :] = ids[(count - 1) * block]
-    rows = filled.reshape(count, block)
-    least = rows.min(axis=1) if count else np.zeros(0, np.uint32)
-    deltas = rows - least[:, None]
-    at = min(block - 1, int(np.ceil(percentile * block)) - 1)
-    edge = np.partition(deltas, at, axis=1)[:, at] if count else least
-    widths = np.ceil(np.log2(edge.astype(np.float64) + 1)).astype(np.uint8)
+def _packed_blocks(deltas: np.ndarray, widths: np.ndarray, exceptions: np.ndarray) -> list[bytes]:
+    """The body of each block; fills in how many exceptions each has."""
     above = np.zeros(deltas.shape, bool)
     narrow = widths < 32
     above[narrow] = (deltas[narrow] >> widths[narrow, None].astype(np.uint32)) > 0
-    exceptions = above.sum(axis=1).astype("<u4")
-    packed: list[bytes] = [b""] * count
+    exceptions[:] = above.sum(axis=1)
+    packed: list[bytes] = [b""] * len(deltas)
     for width in np.unique(widths).tolist():
         which = np.flatnonzero(widths == width)
         low = deltas[which] if width == 32 else deltas[which] & np.uint32((1 << width) - 1)
@@ -95,6 +78,32 @@ def encode_ids(ids: np.ndarray, lengths: np.ndarray, keys: list[int | None], blo
         places = np.flatnonzero(above[k]).astype("<u4")
         high = (deltas[k][places] >> np.uint32(widths[k])).astype("<u4")
         packed[k] += places.tobytes() + high.tobytes()
+    return packed
+
+
+def encode_ids(ids: np.ndarray, lengths: np.ndarray, keys: list[int | None], block: int = 1024, percentile: float = 0.95) -> bytes:
+    """A file: head, document table, block index (start, minimum, width, exceptions of each block), blocks.
+
+    From each block its minimum is subtracted. The differences are packed at the width that the chosen
+    percentile of them fits; for larger ones the low bits are packed, and their places and high bits follow as
+    the block's exception list. The last block is filled with its first id; the head knows the number of ids.
+    """
+    ids = np.asarray(ids, np.uint32)
+    count = -(-len(ids) // block)
+    at = min(block - 1, int(np.ceil(percentile * block)) - 1)
+    least, widths, exceptions = np.zeros(count, np.uint32), np.zeros(count, np.uint8), np.zeros(count, "<u4")
+    packed: list[bytes] = []
+    step = max(1, (1 << 19) // block)  # blocks at a time: what packing needs stays small
+    for first in range(0, count, step):
+        part = ids[first * block : (first + step) * block]
+        rows = np.full((-(-len(part) // block), block), part[(len(part) - 1) // block * block], np.uint32)
+        rows.reshape(-1)[: len(part)] = part
+        here = slice(first, first + len(rows))
+        least[here] = rows.min(axis=1)
+        deltas = rows - least[here, None]
+        edge = np.partition(deltas, at, axis=1)[:, at]
+        widths[here] = np.ceil(np.log2(edge.astype(np.float64) + 1)).astype(np.uint8)
+        packed += _packed_blocks(deltas, widths[here], exceptions[here])
     starts = np.zeros(count + 1, "<u8")
     starts[1:] = np.cumsum([len(p) for p in packed])
     known = np.array([k is not None for k in keys], np.uint8)
@@ -162,7 +171,7 @@ class WordEncoder:
     _MARKS = frozenset(".,;:!?|#$%&*)\"-")
     _CLOSE = re.compile(r"(?<=[^\W\d_])[.,;:!?|#$%&*)\"-]+\Z")
 
-    def __init__(self, path: str, room: int = 100_000_000):
+    def __init__(self, path: str, room: int = 220_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
