@@ -37,7 +37,8 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_files(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids in block files in doc_id order, with id 2 behind each document; what the files hold, read back."""
-    return token_blocks.round_trip(docs, TOKENIZER, end_id=2)
+    # a worker of the pipeline holds what other stages left, too
+    return token_blocks.round_trip(docs, TOKENIZER, end_id=2, room=120_000_000)
 
 
 STAGES = [

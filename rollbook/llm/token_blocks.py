@@ -171,7 +171,7 @@ class WordEncoder:
     _MARKS = frozenset(".,;:!?|#$%&*)\"-")
     _CLOSE = re.compile(r"(?<=[^\W\d_])[.,;:!?|#$%&*)\"-]+\Z")
 
-    def __init__(self, path: str, room: int = 220_000_000):
+    def __init__(self, path: str, room: int = 400_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -231,8 +231,8 @@ class WordEncoder:
         # objects, and their places in the table, besides the characters and ids
         self.held += 300 * (len(plain) + len(odd)) + 5 * sum(map(len, plain)) + 9 * sum(map(len, odd))
 
-    def _known(self, texts: list[str]) -> tuple[list[list[str]], dict[str, bytes]]:
-        """The pieces of each text, and the ids of all of them."""
+    def _known(self, texts: list[str]) -> list[list[str]]:
+        """The pieces of each text, all of them learnt."""
         split = [self._plain(t) for t in texts]
         odd = []
         for i, pieces in enumerate(split):
@@ -241,39 +241,35 @@ class WordEncoder:
                 split[i] = [texts[i]] if whole else self._CUT.split(texts[i])
                 odd.append(i)
         others = set().union(*(split[i] for i in odd))
-        every = list(set().union(*split))
+        every = set().union(*split)
         if self.held > self.room // 2:
             self.known, self.older, self.held = {}, self.known, 0
-        # one look into the large table for each distinct piece; the pieces one by one meet a small one
-        ids = dict(zip(every, map(self.known.get, every), strict=True))
-        new = [p for p, found in ids.items() if found is None]
+        new = every.difference(self.known)
         if self.older:
-            again = {p: found for p in new if (found := self.older.get(p)) is not None}
-            self.known.update(again)
+            again = new & self.older.keys()
+            self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
             self.held += 300 * len(again) + 5 * sum(map(len, again))
-            ids.update(again)
-            new = [p for p in new if p not in again]
-        self._learn([p for p in new if p not in others] if others else new, [p for p in new if p in others] if others else [])
-        ids.update(zip(new, map(self.known.__getitem__, new), strict=True))
-        return split, ids
+            new -= again
+        self._learn(list(new - others), list(new & others))
+        return split
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers."""
-        split, known = self._known(texts)
-        ids = known.__getitem__
+        split = self._known(texts)
+        ids = self.known.__getitem__
         return [b"".join(map(ids, pieces)) for pieces in split]
 
     def count(self, texts: list[str]) -> list[int]:
         """The number of ids of each text."""
-        split, known = self._known(texts)
-        ids = known.__getitem__
+        split = self._known(texts)
+        ids = self.known.__getitem__
         return [sum(map(len, map(ids, pieces))) // 4 for pieces in split]
 
 
 @lru_cache(maxsize=1)
-def word_encoder(path: str) -> WordEncoder:
+def word_encoder(path: str, room: int = 400_000_000) -> WordEncoder:
     """The encoder of this Python worker: what one task learnt serves the tasks after it. It changes no ids."""
-    return WordEncoder(path)
+    return WordEncoder(path, room)
 
 
 MANIFEST = T.StructType([
@@ -286,12 +282,14 @@ READ = [T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongTy
 def write_blocks(
     docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2,
     block: int = 1024, percentile: float = 0.95, file_ids: int = 4_000_000, step_bytes: int = 1_500_000,
+    room: int = 400_000_000,
 ) -> DataFrame:
     """Write the ids of every document, each with ``end_id`` behind, in ascending key order (nulls first; equal keys
     by the hash of their text) to block files of about ``file_ids`` ids below ``path``; give back the manifest.
 
     A null text is empty; repeated rows are documents of their own; an empty table writes no block file; other columns are
-    not read. A text of any length goes into one file, which is then larger. Documents are dealt by ranges of the key, so a task holds one file's ids at a time. The
+    not read. A text of any length goes into one file, which is then larger. Documents are dealt by ranges of the key, so
+    a task holds one file's ids at a time; the words learnt take up to about ``room`` bytes of its Python worker. The
     manifest, a table that Spark commits, names the files that count; what a lost attempt leaves is not in it.
     """
     session = docs.sparkSession
@@ -301,7 +299,7 @@ def write_blocks(
     rows = rows.withColumn("h", F.xxhash64("t")).repartitionByRange(tasks, "k", "h").sortWithinPartitions("k", "h").select("k", "t")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, ending = word_encoder(tokenizer), np.array([end_id], "<u4").tobytes()
+        encoder, ending = word_encoder(tokenizer, room), np.array([end_id], "<u4").tobytes()
         part, seq = TaskContext.get().partitionId(), 0
         keys: list[int | None] = []
         bodies: list[bytes] = []
