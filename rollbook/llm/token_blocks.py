@@ -7,7 +7,7 @@ import re
 import struct
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -171,7 +171,7 @@ class WordEncoder:
     _MARKS = frozenset(".,;:!?|#$%&*)\"-")
     _CLOSE = re.compile(r"(?<=[^\W\d_])[.,;:!?|#$%&*)\"-]+\Z")
 
-    def __init__(self, path: str, room: int = 400_000_000):
+    def __init__(self, path: str, room: int = 260_000_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -203,7 +203,7 @@ class WordEncoder:
     def _learn(self, plain: list[str], odd: list[str]) -> None:
         """New plain pieces go to the library many at once, a line each, without their closing marks, so that a word
         is new once; odd ones one by one."""
-        known = self.known
+        known, before = self.known, len(self.known)
         closed = {p: cut for p in plain if p[-1:] in self._MARKS and (cut := self._CLOSE.search(p))}
         lines = {p for p in plain if p not in closed}
         for p, cut in closed.items():
@@ -228,8 +228,11 @@ class WordEncoder:
             part = rest[at : at + 4096]
             for piece, encoding in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
                 known[piece] = np.array(encoding.ids, "<u4").tobytes()
-        # objects, and their places in the table, besides the characters and ids
-        self.held += 300 * (len(plain) + len(odd)) + 5 * sum(map(len, plain)) + 9 * sum(map(len, odd))
+        self._count(before, plain, odd)
+
+    def _count(self, before: int, *pieces: Iterable[str]) -> None:
+        """Bytes of the pieces that came: two objects each and their places in the table, besides characters and ids."""
+        self.held += 220 * (len(self.known) - before) + sum(sum(map(len, p)) for p in pieces)
 
     def _known(self, texts: list[str]) -> list[list[str]]:
         """The pieces of each text, all of them learnt."""
@@ -247,8 +250,9 @@ class WordEncoder:
         new = every.difference(self.known)
         if self.older:
             again = new & self.older.keys()
+            before = len(self.known)
             self.known.update(zip(again, map(self.older.__getitem__, again), strict=True))
-            self.held += 300 * len(again) + 5 * sum(map(len, again))
+            self._count(before, again)
             new -= again
         self._learn(list(new - others), list(new & others))
         return split
@@ -267,7 +271,7 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=1)
-def word_encoder(path: str, room: int = 400_000_000) -> WordEncoder:
+def word_encoder(path: str, room: int = 260_000_000) -> WordEncoder:
     """The encoder of this Python worker: what one task learnt serves the tasks after it. It changes no ids."""
     return WordEncoder(path, room)
 
@@ -282,7 +286,7 @@ READ = [T.StructField("start", T.LongType()), T.StructField("n_tokens", T.LongTy
 def write_blocks(
     docs: DataFrame, path: str, tokenizer: str, *, key: str = "doc_id", text: str = "text", end_id: int = 2,
     block: int = 1024, percentile: float = 0.95, file_ids: int = 4_000_000, step_bytes: int = 1_500_000,
-    room: int = 400_000_000,
+    room: int = 260_000_000,
 ) -> DataFrame:
     """Write the ids of every document, each with ``end_id`` behind, in ascending key order (nulls first; equal keys
     by the hash of their text) to block files of about ``file_ids`` ids below ``path``; give back the manifest.
