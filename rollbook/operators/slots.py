@@ -18,59 +18,63 @@ def merge_slots(
 ) -> DataFrame:
     """Join slots with equal days whose end is the next one's start.
 
-    ``slots`` has the keys, ``days``, ``start_min``, ``end_min`` and ``copies``: how often
-    the slot occurs (once per teacher). In the sorted list copies of one slot stand next to
-    each other and do not touch, so only the first can join what comes before and only the
-    last what comes after; those in between stay alone and are kept as one row with a
-    count. A window group therefore holds at most three rows per distinct slot, whatever
-    the number of copies. ``carry`` names further aggregates to keep.
+    ``slots`` has the keys, ``days``, ``start_min``, ``end_min`` and ``copies``, one row per
+    distinct slot. The result has a row per merged slot. ``carry`` names further aggregates to
+    keep, taken over all slots of equal keys and days.
+    """
+    group = [*keys, "days"]
+    merged, _ = with_merged(slots, keys, legacy_text_order)
+    whole = Window.partitionBy(*group)
+    carried = {name: column.over(whole) for name, column in (carry or {}).items()}
+    merged = merged.withColumns(carried) if carried else merged
+    return merged.select(*group, *carried, F.explode("merged").alias("_slot")).select(
+        *group, "_slot.start_min", "_slot.end_min", "_slot.copies", *carried
+    )
+
+
+def with_merged(
+    slots: DataFrame, keys: Sequence[str], legacy_text_order: bool = False
+) -> tuple[DataFrame, list[str]]:
+    """Adds ``merged``: the merged slots that end with this one, as structs of ``start_min``, ``end_min`` and ``copies``;
+    and the columns that, after keys and days, the rows are sorted by.
+
+    A slot occurs ``copies`` times (once per teacher). In the sorted list copies of one slot
+    stand next to each other and do not touch (unless it has no length: then they are one), so
+    only the first can join what comes before and only the last what comes after; those in
+    between stay alone and are kept as one with a count. So no copy becomes a row, a window
+    group holds one row per distinct slot, and all windows share one sort of them.
 
     With ``legacy_text_order`` slots are sorted by their 12-hour text ("01:00 PM" before
     "09:00 AM").
     """
-    group = [*keys, "days"]
-    carried = [column.alias(name) for name, column in (carry or {}).items()]
-    copies = F.when(F.col("start_min") == F.col("end_min"), F.lit(1)).otherwise(F.col("copies"))
-    one = F.lit(1).cast("long")
+    by_time = ["start_min", "end_min"]
+    if legacy_text_order:
+        slots = slots.withColumns({"_start_text": time12("start_min"), "_end_text": time12("end_min")})
+        by_time = ["_start_text", "_end_text"]
+    start, end = F.col("start_min"), F.col("end_min")
+    copies = F.when(start == end, F.lit(1)).otherwise(F.col("copies")).cast("long")
+    ordered = Window.partitionBy(*keys, "days").orderBy(*by_time)
+    no = F.lit(False)
+    near = slots.withColumns({
+        "_before": F.coalesce(F.lag("end_min").over(ordered) == start, no),
+        "_after": F.coalesce(F.lead("start_min").over(ordered) == end, no),
+    })
+    # where the merged slot begins that the last copy of a slot belongs to
+    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    begins = F.when(~F.col("_before") | (copies > 1), F.struct("start_min"))
+    begun = near.withColumn("_begin", F.last(begins, ignorenulls=True).over(running))
+    begun = begun.withColumn("_begin_before", F.lag("_begin").over(ordered))
 
-    def piece(rank: int, before: bool, after: bool, count=one):
-        return F.struct(
-            F.lit(rank).alias("rank"), F.lit(before).alias("before"),
-            F.lit(after).alias("after"), count.cast("long").alias("copies"),
+    def slot(condition: Column, first, count) -> Column:
+        return F.when(
+            condition, F.struct(first.alias("start_min"), end.alias("end_min"), count.cast("long").alias("copies"))
         )
 
-    pieces = (
-        F.when(copies == 1, F.array(piece(0, True, True)))
-        .when(copies == 2, F.array(piece(0, True, False), piece(2, False, True)))
-        .otherwise(
-            F.array(piece(0, True, False), piece(1, False, False, copies - 2), piece(2, False, True))
-        )
-    )
-    spread = slots.withColumn("_piece", F.explode(pieces))
-    by_time = (
-        [time12("start_min"), time12("end_min")]
-        if legacy_text_order
-        else [F.col("start_min"), F.col("end_min")]
-    )
-    ordered = Window.partitionBy(*group).orderBy(*by_time, F.col("_piece.rank"))
-    touches = (
-        F.col("_piece.before")
-        & F.lag("_piece.after").over(ordered)
-        & (F.lag("end_min").over(ordered) == F.col("start_min"))
-    )
-    islands = spread.withColumn("_seq", F.row_number().over(ordered)).withColumn(
-        "_break", F.when(touches, F.lit(0)).otherwise(F.lit(1))
-    )
-    running = ordered.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    islands = islands.withColumn("_island", F.sum("_break").over(running))
-    first, last = F.struct("_seq", "start_min"), F.struct("_seq", "end_min")
-    return (
-        islands.groupBy(*group, "_island")
-        .agg(
-            F.min(first)["start_min"].alias("start_min"),
-            F.max(last)["end_min"].alias("end_min"),
-            F.max("_piece.copies").alias("copies"),
-            *carried,
-        )
-        .drop("_island")
+    joined = F.when(F.col("_before"), F.col("_begin_before.start_min")).otherwise(start)
+    ending = F.array(
+        slot(copies > 1, joined, F.lit(1)),
+        slot(copies > 2, start, copies - 2),
+        slot(~F.col("_after"), F.col("_begin.start_min"), F.lit(1)),
     )
+    merged = begun.withColumn("merged", F.filter(ending, lambda s: s.isNotNull()))
+    return merged.drop("_before", "_after", "_begin", "_begin_before"), ["days", *by_time]

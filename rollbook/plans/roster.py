@@ -13,7 +13,7 @@ from rollbook.functions.names import blank_to_null, row_key
 from rollbook.functions.predicates import hidden_as_of
 from rollbook.operators.compaction import nulls_last
 from rollbook.operators.joins import null_safe_join
-from rollbook.operators.slots import merge_slots
+from rollbook.operators.slots import with_merged
 
 def schedule_slots(
     students: DataFrame,
@@ -42,12 +42,13 @@ def schedule_slots(
         F.col("student_id").alias("external_id"),
     )
     slots = time_slots.select(F.col("id").alias("time_slot_id"), "start_min", "end_min")
+    # teachers are resolved on their own narrow rows, not once per student
+    taught = assignment_teachers.join(teacher_refs(teachers), "teacher_id", "left").select("assignment_id", "teacher_ref")
     joined = (
         live.join(slots, "time_slot_id")
         .join(assignment_students, "assignment_id")
         .join(people, "student_id")
-        .join(assignment_teachers, "assignment_id", "left")
-        .join(teacher_refs(teachers), "teacher_id", "left")
+        .join(taught, "assignment_id", "left")
     )
     grouped = joined.groupBy("name_id", "subject", "teacher_ref", "start_min", "end_min").agg(
         F.min("student_id").alias("student_id"),
@@ -122,57 +123,67 @@ def _student_subjects(
     """One row per student and subject: first teacher, merged schedules, the student's info.
 
     Tuition subjects and hidden rows travel with the slots as flagged rows of the same
-    keys, which takes the place of a join with each. Slots are counted once per key with a map-side combine. After that a student has a
-    bounded number of rows (subjects x sets of weekdays x slots), so they are brought
-    together once, and merging, nesting and the choice of the student's first row all use
-    that one distribution.
+    keys, which takes the place of a join with each. A student's rows are brought together
+    once and sorted once: counting the copies of a slot, merging, nesting and the choice of
+    the student's first row all go through them in that order. The windows see them after
+    copies are counted, when a student has a bounded number (subjects x sets of weekdays x slots).
     """
     keys = ["student_id", "subject"]
     shown = ["name_id", "external_id", "english_name", "color_keyword"]
     pair = ["student_id", blank_to_null("subject").alias("subject"), F.lit(0).alias("days")]
     yes, no = F.lit(True), F.lit(False)
+    known = F.col("student_id").isNotNull()  # without a student there is no slot, so no row
     taught = slots.select(
         *keys, "days", "start_min", "end_min", "teacher_ref", *shown,
         yes.alias("assigned"), yes.alias("listed"), no.alias("hidden"),
     )
-    priced = tuition.select(*pair, no.alias("assigned"), yes.alias("listed"), no.alias("hidden"))
-    unseen = hidden.select(*pair, no.alias("assigned"), no.alias("listed"), yes.alias("hidden"))
-    first = F.struct(
-        (~F.col("assigned")).alias("o"), *nulls_last("start_min"), *nulls_last("end_min"),
-        *nulls_last("teacher_ref"), *shown,
-    )
+    priced = tuition.filter(known).select(*pair, no.alias("assigned"), yes.alias("listed"), no.alias("hidden"))
+    unseen = hidden.filter(known).select(*pair, no.alias("assigned"), no.alias("listed"), yes.alias("hidden"))
+    teacher = F.struct((~F.col("assigned")).alias("o"), *nulls_last("teacher_ref"), *shown)
     per_slot = (
         taught.unionByName(priced, allowMissingColumns=True)
         .unionByName(unseen, allowMissingColumns=True)
+        .repartition("student_id")
         .groupBy(*keys, "days", "start_min", "end_min")
         .agg(
             F.count(F.lit(1)).alias("copies"),
-            F.min(first).alias("first"),
+            F.min(teacher).alias("teacher"),
             F.max("listed").alias("listed"),
             F.max("hidden").alias("hidden"),
         )
-        .repartition("student_id")
-    )
-    carried = {"first": F.min("first"), "listed": F.max("listed"), "hidden": F.max("hidden")}
-    merged = merge_slots(per_slot, keys, carry=carried, legacy_text_order=legacy_text_order)
-    start, end, text = F.col("start_min"), F.col("end_min"), mask_text("days")
-    timed = start.isNotNull() & end.isNotNull() & (F.col("days") != 0)
-    order = [time12(start), time12(end)] if legacy_text_order else [start, end]
-    entry = F.struct(
-        F.lower(text).alias("o0"), order[0].alias("o1"), order[1].alias("o2"),
-        time_range(time12(start), time12(end)).alias("time"), text.alias("days"), "copies",
     )
-    rows = merged.select(*keys, *carried, F.when(timed, entry).alias("entry"), F.when(timed, F.col("days")).alias("days"))
-    nested = rows.groupBy(*keys).agg(
-        *[c.alias(name) for name, c in carried.items()],
-        F.sort_array(F.collect_list("entry")).alias("entries"),
-        F.coalesce(F.bit_or("days"), F.lit(0)).alias("days_mask"),
+    merged, order = with_merged(per_slot, keys, legacy_text_order)
+    text = mask_text("days")
+    timed = F.filter("merged", lambda s: s["start_min"].isNotNull() & s["end_min"].isNotNull() & (F.col("days") != 0))
+
+    def entry(slot):
+        times = [time12(slot["start_min"]), time12(slot["end_min"])]
+        o1, o2 = times if legacy_text_order else (slot["start_min"], slot["end_min"])
+        return F.struct(
+            F.lower(text).alias("o0"), o1.alias("o1"), o2.alias("o2"),
+            time_range(*times).alias("time"), text.alias("days"), slot["copies"].alias("copies"),
+        )
+
+    rows = merged.withColumn("timed", timed)
+    first = F.struct(
+        F.col("teacher.o").alias("o"), *nulls_last("start_min"), *nulls_last("end_min"),
+        *[F.col("teacher")[c].alias(c) for c in ("_teacher_ref_null", "teacher_ref", *shown)],
     )
+    by_row = Window.partitionBy(*keys)
+    nested = rows.select(
+        *keys,
+        F.row_number().over(by_row.orderBy(*order)).alias("n"),
+        F.min(first).over(by_row).alias("first"),
+        F.max("listed").over(by_row).alias("listed"),
+        F.max("hidden").over(by_row).alias("hidden"),
+        F.collect_list(F.transform("timed", entry)).over(by_row).alias("entries"),
+        F.coalesce(F.bit_or(F.when(F.size("timed") > 0, F.col("days"))).over(by_row), F.lit(0)).alias("days_mask"),
+    ).filter("n = 1")
     by_student = Window.partitionBy("student_id")
     info = F.min(F.struct(F.col("first.o"), *nulls_last("subject"), "first")).over(by_student)
     chosen = nested.withColumn("info", info["first"]).filter(
         ~F.col("info.o") & F.col("listed") & ~F.col("hidden")
-    )
+    ).withColumn("entries", F.sort_array(F.flatten("entries")))
     return chosen.select(
         *keys, F.col("first.teacher_ref").alias("teacher_ref"), *[F.col("info")[c].alias(c) for c in shown],
         F.arrays_zip(*[F.col("entries")[c].alias(c) for c in ("time", "days", "copies")]).alias("schedules"),

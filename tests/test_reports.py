@@ -167,6 +167,23 @@ def test_roster_canonical_option(spark):
     assert [r["id"] for r in build(t, 2024, 1).collect()] == [4]
 
 
+def test_roster_sorts_a_students_rows_once(spark):
+    """Counting copies, merging, nesting and the first row share one sort: each further one holds all rows again."""
+    t = school(spark, [student(1)], [("Monday", "Math", 540, 570, [1], [1])])
+    t["slots"] = t["slots"].localCheckpoint()
+    plan = build(t, 2024, 1)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Sort [student_id") == 1 and "Generate" not in plan
+
+
+def test_merged_slots_without_times(spark):
+    """A missing start is kept by the slot that it begins; missing ends touch nothing; copies between stay alone."""
+    rows = [(1, None, 540, 1), (1, 540, 570, 1), (1, 570, None, 1), (1, None, None, 2), (2, 540, 570, 4), (2, 570, 600, 1), (3, 600, 600, 5)]
+    df = spark.createDataFrame(rows, "g int, start_min int, end_min int, copies long").withColumn("days", F.lit(2))
+    got = sorted(map(repr, ((r["g"], r["start_min"], r["end_min"], r["copies"]) for r in merge_slots(df, ["g"]).collect())))
+    want = [(1, None, None, 1), (1, None, None, 1), (1, None, None, 1), (2, 540, 570, 1), (2, 540, 570, 2), (2, 540, 600, 1), (3, 600, 600, 1)]
+    assert got == sorted(map(repr, want))
+
+
 # ---- identity ------------------------------------------------------------------------------
 
 
