@@ -47,7 +47,8 @@ class UndoWindow(StatefulProcessor):
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
         # all that the watermark has passed: a timer set from here would wait for the next batch
         now = timerValues.getCurrentWatermarkInMs()
-        waiting = [tuple(x) for x in self.waiting.get()] if self.waiting.exists() else []
+        # each call to the state is a round trip, so nothing is asked or cleared twice
+        waiting = [tuple(x) for x in self.waiting.get()]
         due = sorted(x for x in waiting if _timer(x[0]) <= now)
         if due:
             later = [x for x in waiting if _timer(x[0]) > now]
@@ -55,8 +56,7 @@ class UndoWindow(StatefulProcessor):
                 self.waiting.put(later)
             else:
                 self.waiting.clear()
-        held = tuple(self.deleted.get()) if self.deleted.exists() else None
-        before = held
+        held = before = self.deleted.get()
         for micros, number, gone in due:
             if held and held[2] and micros > held[0] + self.window:
                 yield self._event(key, "expired", held, held[0] + self.window)
@@ -72,10 +72,11 @@ class UndoWindow(StatefulProcessor):
         if held and held[2] and _timer(held[0] + self.window) <= now:
             yield self._event(key, "expired", held, held[0] + self.window)
             held = (*held[:2], False)
-        if held is None:
-            self.deleted.clear()
-        elif held != before:
-            self.deleted.update(held)
+        if held != before:
+            if held is None:
+                self.deleted.clear()
+            else:
+                self.deleted.update(held)
 
     def _event(self, key: tuple, event: str, held: tuple, at: int) -> Row:
         return Row(*self.keys, "event", "id", "deleted_at", "happened_at")(*key, event, held[1], held[0], at)

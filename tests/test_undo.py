@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 import random
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -77,3 +78,20 @@ def test_other_streams_keep_their_state_store(spark):
     with pytest.raises(Exception):  # noqa: B017  (not a stream)
         undo.append_events(spark.range(1).withColumn("at", F.current_timestamp()), "x", "y")
     assert spark.conf.get(undo._PROVIDER) == before
+
+
+def test_a_write_to_a_cell_that_is_not_deleted_asks_the_state_once():
+    """Every call to the state is a round trip: one read of each state, one clear of the writes that are judged."""
+    calls = []
+
+    class State:
+        def __init__(self, name, value):
+            self.name, self.value = name, value
+
+        def __getattr__(self, call):
+            return lambda *a: calls.append(f"{self.name}.{call}") or self.value
+
+    window = undo.UndoWindow(["k"], 30)
+    window.waiting, window.deleted = State("waiting", [(1000, 1, False)]), State("deleted", None)
+    assert list(window.handleExpiredTimer((1,), SimpleNamespace(getCurrentWatermarkInMs=lambda: 5), None)) == []
+    assert calls == ["waiting.get", "waiting.clear", "deleted.get"]
