@@ -12,12 +12,15 @@ from pyspark.sql import types as T
 from rollbook.catalog import views
 from rollbook.operators import identity
 from rollbook.operators.compaction import latest_per_key
+from rollbook.operators.spread import spread, tasks_for
 from rollbook.plans import records
 from rollbook.plans.roster import build_roster, schedule_slots
 from rollbook.schema import KEYS
 from rollbook.sources.readers import read_table
 
 YEAR, MONTH = 2024, 1
+#: Derived tables whose statement removes repeated rows: the given table it reads, and a column to deal that by.
+DEALT = {"assignment_teachers": ("lineitem", "l_orderkey")}
 
 
 class Tables:
@@ -43,19 +46,27 @@ class Tables:
             if name in views.BASE:
                 frame = read_table(self.spark, f"{self.sf_dir}/{name}.parquet")
             elif name in views.TABLES:
-                frame = self.sql(views.TABLES[name])
+                frame = self.sql(views.TABLES[name], *DEALT.get(name, ()))
             else:
                 raise AttributeError(name)
             self._frames[name] = frame
         return self._frames[name]
 
-    def sql(self, text: str) -> DataFrame:
-        """Run SQL whose table names are the given or derived tables."""
+    def sql(self, text: str, dealt: str = "", by: str = "") -> DataFrame:
+        """Run SQL whose table names are the given or derived tables, one of them ``dealt`` by a column if it is large."""
         known = [*views.BASE, *views.TABLES]
         used = views._needs(text, dict.fromkeys(known, ""))
         for name in used:
             text = views.re.sub(rf"(?i)\b(FROM|JOIN)\s+{name}\b", rf"\1 {{{name}}}", text)
-        return self.spark.sql(text, **{n: getattr(self, n) for n in used if f"{{{n}}}" in text})
+        frames = {n: getattr(self, n) for n in used if f"{{{n}}}" in text}
+        if dealt:
+            frames[dealt] = spread(frames[dealt], self.tasks, by)
+        return self.spark.sql(text, **frames)
+
+    @cached_property
+    def tasks(self) -> int | None:
+        """Tasks for the steps over all assignments; the rows are counted in the file footers."""
+        return tasks_for(self.spark, self.lineitem.count())
 
     @cached_property
     def remap(self) -> DataFrame:
@@ -69,12 +80,13 @@ class Tables:
     def slots(self) -> DataFrame:
         return schedule_slots(
             self.students, self.teachers, self.time_slots, self.assignments,
-            self.assignment_students, self.assignment_teachers,
+            self.assignment_students, self.assignment_teachers, tasks=self.tasks,
         )
 
     def _roster(self, *month: int) -> DataFrame:
         return build_roster(
-            self.slots, self.students, self.teachers, self.student_subject_tuition, self.hidden_attendance_rows, *month
+            self.slots, self.students, self.teachers, self.student_subject_tuition, self.hidden_attendance_rows, *month,
+            tasks=self.tasks,
         )
 
     @cached_property

@@ -341,7 +341,7 @@ def _(t):
 
 def _tuition(t):
     return billing.tuition(
-        t.roster_all, t.student_subject_tuition, t.subject_tuition_payments, t.attendance, YEAR, MONTH
+        t.roster_all, t.student_subject_tuition, t.subject_tuition_payments, t.attendance, YEAR, MONTH, tasks=t.tasks
     )
 
 

@@ -11,6 +11,7 @@ from rollbook.functions.values import amount
 from rollbook.operators.aggregates import currency_summary
 from rollbook.operators.compaction import nulls_last
 from rollbook.operators.joins import lookup
+from rollbook.operators.spread import spread
 from rollbook.schema import DEFAULT_CURRENCY
 from rollbook.sources.readers import month_slice
 
@@ -114,12 +115,14 @@ def tuition(
     attendance: DataFrame,
     year: int,
     month: int,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Amounts per student and subject: roster subjects and the student's priced subjects.
 
     The present count covers all subjects of a student. A student's priced subjects are
     due once here; a per-row report repeats them on each of the student's roster rows,
-    and ``copies`` is how often, so such totals need no repeated rows.
+    and ``copies`` is how often, so such totals need no repeated rows. ``tasks`` deals the
+    students to that many tasks.
     """
     known = ["name", "korean_name", "english_name"]
     listed = roster.select(
@@ -132,7 +135,7 @@ def tuition(
     # a student has one row per subject on either side, so a window over a student is small
     by_student = Window.partitionBy("student_id")
     first = F.struct(F.coalesce("subject", F.lit("")).alias("o"), "teacher_name", *known)
-    both = listed.unionByName(priced, allowMissingColumns=True).select(
+    both = spread(listed.unionByName(priced, allowMissingColumns=True), tasks, "student_id").select(
         "*",
         F.count("on_roster").over(by_student).alias("n_rows"),
         F.max("is_priced").over(by_student).alias("has_price"),
@@ -157,7 +160,7 @@ def tuition(
     )
     paid = _of_month(payments, year, month).select("student_id", "subject", "paid", "payment_date", "notes")
     joined = subjects.join(present_counts(attendance, year, month), "student_id", "left").join(
-        paid, ["student_id", "subject"], "left"
+        spread(paid, tasks, "student_id", "subject"), ["student_id", "subject"], "left"
     )
     price = F.coalesce("price", _zero())
     count = F.coalesce("class_count", F.lit(0))

@@ -14,6 +14,8 @@ from rollbook.functions.predicates import hidden_as_of
 from rollbook.operators.compaction import nulls_last
 from rollbook.operators.joins import null_safe_join
 from rollbook.operators.slots import with_merged
+from rollbook.operators.spread import spread
+
 
 def schedule_slots(
     students: DataFrame,
@@ -23,13 +25,15 @@ def schedule_slots(
     assignment_students: DataFrame,
     assignment_teachers: DataFrame,
     canonical: DataFrame | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Active assignments per person, subject, teacher and slot with the set of weekdays.
 
     Students of equal name and Korean name count as one (``name_id``, their lowest id), as
     do teachers of equal name (``teacher_ref``); the lowest student id of a row stands for
     it. Names stay out: rows are grouped and sorted on numbers and meet the names last.
-    ``canonical`` (``id``, ``canonical_id``) replaces the student id.
+    ``canonical`` (``id``, ``canonical_id``) replaces the student id. ``tasks`` deals the joins
+    and the grouping to that many tasks, the session's number without it.
     """
     live = assignments.filter("is_active").select(
         F.col("id").alias("assignment_id"), "subject", "time_slot_id",
@@ -43,14 +47,16 @@ def schedule_slots(
     )
     slots = time_slots.select(F.col("id").alias("time_slot_id"), "start_min", "end_min")
     # teachers are resolved on their own narrow rows, not once per student
-    taught = assignment_teachers.join(teacher_refs(teachers), "teacher_id", "left").select("assignment_id", "teacher_ref")
+    refs = spread(teacher_refs(teachers), tasks, "teacher_id")
+    taught = assignment_teachers.join(refs, "teacher_id", "left").select("assignment_id", "teacher_ref")
     joined = (
         live.join(slots, "time_slot_id")
-        .join(assignment_students, "assignment_id")
-        .join(people, "student_id")
-        .join(taught, "assignment_id", "left")
+        .join(spread(assignment_students, tasks, "assignment_id"), "assignment_id")
+        .join(spread(people, tasks, "student_id"), "student_id")
+        .join(spread(taught, tasks, "assignment_id"), "assignment_id", "left")
     )
-    grouped = joined.groupBy("name_id", "subject", "teacher_ref", "start_min", "end_min").agg(
+    keys = ["name_id", "subject", "teacher_ref", "start_min", "end_min"]
+    grouped = spread(joined, tasks, *keys).groupBy(*keys).agg(
         F.min("student_id").alias("student_id"),
         F.max("external_id").alias("external_id"),
         F.max("english_name").alias("english_name"),
@@ -93,19 +99,21 @@ def build_roster(
     year: int | None = None,
     month: int | None = None,
     legacy_text_order: bool = False,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Roster rows from the schedule slots.
 
     Subjects that occur only in the tuition table are added for students who have an
-    assignment; rows hidden as of the month (hidden at any time without one) are left out.
+    assignment; rows hidden as of the month (hidden at any time without one) are left out. ``tasks`` as
+    for ``schedule_slots``.
     """
     unseen = hidden.filter(hidden_as_of(year, month))
     names = students.select(F.col("id").alias("name_id"), "name", "korean_name")
     teacher_names = teachers.select(F.col("id").alias("teacher_ref"), F.col("name").alias("teacher_name"))
     return (
-        _student_subjects(slots, tuition, unseen, legacy_text_order)
-        .join(names, "name_id")
-        .join(teacher_names, "teacher_ref", "left")
+        _student_subjects(slots, tuition, unseen, legacy_text_order, tasks)
+        .join(spread(names, tasks, "name_id"), "name_id")
+        .join(spread(teacher_names, tasks, "teacher_ref"), "teacher_ref", "left")
         .select(
             F.col("student_id").alias("id"), "external_id", "name", "korean_name", "english_name",
             "color_keyword", "teacher_name",
@@ -118,7 +126,7 @@ def build_roster(
 
 
 def _student_subjects(
-    slots: DataFrame, tuition: DataFrame, hidden: DataFrame, legacy_text_order: bool
+    slots: DataFrame, tuition: DataFrame, hidden: DataFrame, legacy_text_order: bool, tasks: int | None
 ) -> DataFrame:
     """One row per student and subject: first teacher, merged schedules, the student's info.
 
@@ -140,11 +148,10 @@ def _student_subjects(
     priced = tuition.filter(known).select(*pair, no.alias("assigned"), yes.alias("listed"), no.alias("hidden"))
     unseen = hidden.filter(known).select(*pair, no.alias("assigned"), no.alias("listed"), yes.alias("hidden"))
     teacher = F.struct((~F.col("assigned")).alias("o"), *nulls_last("teacher_ref"), *shown)
+    together = taught.unionByName(priced, allowMissingColumns=True).unionByName(unseen, allowMissingColumns=True)
+    dealt = spread(together, tasks, "student_id") if tasks else together.repartition("student_id")
     per_slot = (
-        taught.unionByName(priced, allowMissingColumns=True)
-        .unionByName(unseen, allowMissingColumns=True)
-        .repartition("student_id")
-        .groupBy(*keys, "days", "start_min", "end_min")
+        dealt.groupBy(*keys, "days", "start_min", "end_min")
         .agg(
             F.count(F.lit(1)).alias("copies"),
             F.min(teacher).alias("teacher"),

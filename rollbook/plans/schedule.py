@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.dates import time12, weekday_num
 from rollbook.functions.predicates import not_deleted
 from rollbook.operators.aggregates import tally_with_unmarked
+from rollbook.operators.spread import spread
 from rollbook.sources.calendar import weekly_dates
 from rollbook.sources.readers import date_range
 
@@ -25,28 +26,33 @@ def teacher_schedule(
     assignment_teachers: DataFrame,
     attendance: DataFrame,
     teacher: str | None = None,
+    tasks: int | None = None,
 ) -> DataFrame:
     """Students by slot for each date of a range with their status.
 
-    One teacher's name, or every teacher. A subject of NULL never finds a record.
+    One teacher's name, or every teacher. A subject of NULL never finds a record. ``tasks``
+    deals the joins to that many tasks.
     """
     named = teachers if teacher is None else teachers.filter(F.col("name") == teacher)
     live = assignments.filter("is_active").select(
         F.col("id").alias("assignment_id"), weekday_num("date").alias("weekday"), "subject", "time_slot_id"
     )
+    known = named.select(F.col("id").alias("teacher_id"), F.col("name").alias("teacher_name"))
+    people = students.select(F.col("id").alias("student_id"), "name", "korean_name")
     weekly = (
         live.join(
             time_slots.select(F.col("id").alias("time_slot_id"), "start_min", "end_min"), "time_slot_id"
         )
         .join(assignment_teachers, "assignment_id")
-        .join(named.select(F.col("id").alias("teacher_id"), F.col("name").alias("teacher_name")), "teacher_id")
-        .join(assignment_students, "assignment_id")
-        .join(students.select(F.col("id").alias("student_id"), "name", "korean_name"), "student_id")
+        .join(spread(known, tasks, "teacher_id"), "teacher_id")
+        .join(spread(assignment_students, tasks, "assignment_id"), "assignment_id")
+        .join(spread(people, tasks, "student_id"), "student_id")
     )
     marks = date_range(attendance, start, end).filter(not_deleted()).select(
         "student_id", "date", "subject", F.col("status").alias("attendance_status")
     )
-    return weekly_dates(weekly, "weekday", start, end).join(marks, ["student_id", "date", "subject"], "left").select(
+    cell = ["student_id", "date", "subject"]
+    return weekly_dates(weekly, "weekday", start, end).join(spread(marks, tasks, *cell), cell, "left").select(
         "teacher_name", "date", "start_min",
         time12("start_min").alias("start_time"), time12("end_min").alias("end_time"),
         "student_id", "name", "korean_name", "subject", "attendance_status",

@@ -9,10 +9,12 @@ import pytest
 from pyspark.sql import functions as F
 
 from rollbook.functions.dates import time12
+from rollbook.catalog.registry import Tables
 from rollbook.operators import aggregates, identity
 from rollbook.operators.compaction import latest_per_key
 from rollbook.operators.ranking import row_index
 from rollbook.operators.slots import merge_slots
+from rollbook.operators.spread import spread, tasks_for
 from rollbook.plans import billing, records, roster, schedule
 from rollbook.schema import SCHEMAS, STATUSES
 from rollbook.sources.calendar import calendar, weekly_dates
@@ -470,3 +472,40 @@ def test_weekly_dates(spark, start, end):
     )
     got = sorted(map(tuple, weekly_dates(weekdays, "weekday", *span).select("date", "weekday").collect()))
     assert got == sorted(map(tuple, calendar(spark, *span).select("date", "weekday").collect()))
+
+
+def test_large_tables_are_dealt_to_more_tasks(spark):
+    students = [student(i, korean_name="K" if i % 3 else None, english_name=f"E{i}") for i in range(1, 60)]
+    classes = [(day, s, 600 + 30 * (i % 4), 630 + 30 * (i % 4), [1 + i % 59, 1 + i % 7], [1 + i % 3] * (i % 4 > 0))
+               for i, (day, s) in enumerate(itertools.product(("Monday", "Friday"), ("Math", "Art", None, "") * 8))]
+    prices = [{"student_id": i, "subject": s, "price_per_class": Decimal(i), "currency": "KRW"} for i in range(1, 70) for s in ("Math", "Drama")]
+    marks = [{"id": i, "student_id": i % 60, "date": dt.date(2024, 1, 8), "subject": "Math", "status": "present", "is_deleted": False} for i in range(90)]
+    t = school(spark, students, classes, ("T1", "T2", "T1"), marks, prices, [{"student_id": 3, "subject": "Math"}])
+    pays = table(spark, "subject_tuition_payments", [{"student_id": 2, "subject": "Math", "year": 2024, "month": 1, "paid": True}])
+    tables = [t[x] for x in ("students", "teachers", "time_slots", "assignments", "assignment_students", "assignment_teachers")]
+    seen = []
+    for tasks in (None, 37):
+        t["slots"] = roster.schedule_slots(*tables, tasks=tasks)
+        rows = build(t, 2024, 1, tasks=tasks)
+        due = billing.tuition(rows, t["tuition"], pays, t["attendance"], 2024, 1, tasks=tasks)
+        weekly = schedule.teacher_schedule(dt.date(2024, 1, 8), dt.date(2024, 1, 21), *tables, t["attendance"], tasks=tasks)
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in (t["slots"], rows, due, weekly)]
+        assert [", 37), REPARTITION_BY_NUM" in p for p in plans] == [tasks is not None] * 4
+        seen.append([sorted(map(repr, x.collect())) for x in (t["slots"], rows, due, weekly)])
+    assert seen[0] == seen[1] and all(seen[0])
+
+
+def test_tasks_follow_the_rows(spark):
+    few = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert tasks_for(spark, 10 * few, width=10) is None and tasks_for(spark, 10 * few + 1, width=10) == few + 1
+    assert tasks_for(spark, 0) is None and spread(spark.range(3), None, "id").columns == ["id"]
+    assert tasks_for(spark, 216_000_000) == 432
+
+
+def test_repeated_rows_are_removed_where_they_are_dealt(spark, tmp_path):
+    spark.range(300).selectExpr("id % 40 AS l_orderkey", "id % 6 AS l_suppkey").write.parquet(f"{tmp_path}/lineitem.parquet")
+    t = Tables(spark, str(tmp_path))
+    t.__dict__["tasks"] = 21
+    plan = t.assignment_teachers._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and ", 21), REPARTITION_BY_NUM" in plan
+    assert sorted(map(tuple, t.assignment_teachers.collect())) == sorted({(i % 40, i % 6) for i in range(300)})
