@@ -265,7 +265,8 @@ def _(t):
 )
 def _(t):
     nested = aggregates.chunked_groups(
-        _schedule(t), ["teacher_name", "date", "start_time"], "students", ["student_id", "subject", "name"], length=5
+        _schedule(t), ["teacher_name", "date", "start_time"], "students", ["student_id", "subject", "name"], length=5,
+        tasks=t.tasks,
     )
     ids = F.transform("students", lambda s: s["student_id"].cast("string"))
     return nested.select("teacher_name", "date", "start_time", "chunk", "n_items", F.array_join(ids, ",").alias("ids"))
@@ -274,7 +275,7 @@ def _(t):
 def _schedule(t):
     return schedule.teacher_schedule(
         *dates.month_bounds(YEAR, MONTH), t.students, t.teachers, t.time_slots, t.assignments,
-        t.assignment_students, t.assignment_teachers, t.attendance,
+        t.assignment_students, t.assignment_teachers, t.attendance, tasks=t.tasks,
     )
 
 

@@ -11,6 +11,7 @@ from rollbook.functions.common import col
 from rollbook.operators.joins import null_safe_join
 from rollbook.operators.ordering import with_position
 from rollbook.schema import STATUSES
+from rollbook.session import run_dir
 
 
 def tally(statuses: Sequence[str] = STATUSES, status="status") -> list[Column]:
@@ -78,19 +79,48 @@ def nested_groups(
 
 
 def chunked_groups(
-    rows: DataFrame, keys: Sequence[str], name: str, fields: Sequence[str], length: int = 1000
+    rows: DataFrame, keys: Sequence[str], name: str, fields: Sequence[str], length: int = 1000, tasks: int | None = None,
+    hot: int = 10_000,
 ) -> DataFrame:
     """Rows nested under a key as arrays of at most ``length``: per key and ``chunk`` (from 0) the array, sorted by its
     fields, with ``n_items`` of the whole key.
 
-    Places come from one sort of all rows by many tasks, so a key with any number of rows is cut without being gathered.
+    The rows are written once. A key of up to ``hot`` rows is gathered, sorted and cut where its rows meet. The others
+    take their places from one sort of all their rows by many tasks (``tasks``, the session's number without it), so a key
+    with any number of rows is cut without being gathered. A hash stands before the key: numbers are compared in place
+    of texts that begin alike, and keys of one hash are still told apart.
     """
-    order = [F.col(c).asc_nulls_first() for c in (*keys, *fields)]
-    placed = with_position(rows.select(*keys, *fields), order)
-    sizes = placed.groupBy(*keys).agg(F.min("position").alias("_first"), F.count(F.lit(1)).alias("n_items"))
-    cut = null_safe_join(placed, sizes, keys, "inner")
+    grouped = ["_key", *keys]
+    hashed = rows.select(F.xxhash64(*keys).alias("_key"), *keys, *fields)
+    path = run_dir(rows.sparkSession, "groups")
+    hashed.write.parquet(path)
+    held = rows.sparkSession.read.schema(hashed.schema).parquet(path)
+    large = held.groupBy("_key").agg(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > hot).select("_key")
+    if large.isEmpty():
+        return _chunks_of_small(held, grouped, name, fields, length)
+    large = F.broadcast(large)  # a row for every ``hot`` rows at most
+    small = _chunks_of_small(held.join(large, "_key", "left_anti"), grouped, name, fields, length)
+    return small.unionByName(_chunks_of_large(held.join(large, "_key", "left_semi"), grouped, name, fields, length, tasks))
+
+
+def _chunks_of_small(rows: DataFrame, grouped: list[str], name: str, fields: Sequence[str], length: int) -> DataFrame:
+    items = F.sort_array(F.collect_list(F.struct(*fields)))
+    nested = rows.groupBy(*grouped).agg(items.alias("_items")).withColumn("n_items", F.size("_items").cast("long"))
+    last = F.floor((F.col("n_items") - 1) / length).cast("int")
+    cut = nested.withColumn("chunk", F.explode(F.sequence(F.lit(0), last)))
+    part = F.slice("_items", F.col("chunk") * length + 1, F.lit(length))
+    return cut.select(*grouped[1:], "chunk", "n_items", part.alias(name))
+
+
+def _chunks_of_large(
+    rows: DataFrame, grouped: list[str], name: str, fields: Sequence[str], length: int, tasks: int | None
+) -> DataFrame:
+    order = [F.col(c).asc_nulls_first() for c in (*grouped, *fields)]
+    placed = with_position(rows, order, tasks)
+    sizes = placed.groupBy(*grouped).agg(F.min("position").alias("_first"), F.count(F.lit(1)).alias("n_items"))
+    cut = null_safe_join(placed, sizes, grouped, "inner")
     cut = cut.withColumn("chunk", F.floor((F.col("position") - F.col("_first")) / length).cast("int"))
     items = F.array_sort(F.collect_list(F.struct("position", *fields)))
-    nested = cut.groupBy(*keys, "chunk", "n_items").agg(items.alias("_items"))
+    nested = cut.groupBy(*grouped, "chunk", "n_items").agg(items.alias("_items"))
     bare = F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
-    return nested.select(*keys, "chunk", "n_items", bare.alias(name))
+    return nested.select(*grouped[1:], "chunk", "n_items", bare.alias(name))

@@ -125,6 +125,29 @@ def test_chunks_of_a_hot_group(spark):
         assert [tuple(x) for r in chunks for x in r["items"]] == sorted((x[1:] for x in data if x[0] == k), key=lambda x: x[0])
 
 
+@pytest.mark.parametrize("alike", [False, True])
+def test_only_large_groups_are_sorted_as_a_whole(spark, monkeypatch, alike):
+    seen = []
+
+    def spy(rows, order, tasks=None):
+        seen.append((rows.count(), rows.select(order[0]).dtypes[0][1], tasks))
+        return ordering.with_position(rows, order, tasks)
+
+    monkeypatch.setattr(aggregates, "with_position", spy)
+    if alike:  # every key has the same hash
+        monkeypatch.setattr(aggregates.F, "xxhash64", lambda *keys: F.lit(1).cast("long"))
+    data = [(f"Teacher {i % 9}", None if i % 2 else i % 4, None if i % 50 == 3 else i // 3) for i in range(300)] + [("Teacher 0", 0, i) for i in range(90)]
+    rows = spark.createDataFrame(data, "k string, d int, id int").repartition(5)
+    for hot in (1000, 50):
+        got = aggregates.chunked_groups(rows, ["k", "d"], "items", ["id"], length=4, tasks=5, hot=hot).collect()
+        for k, d in {x[:2] for x in data}:
+            chunks = sorted((r for r in got if (r["k"], r["d"]) == (k, d)), key=lambda r: r["chunk"])
+            ids = sorted((x[2] for x in data if x[:2] == (k, d)), key=lambda i: (i is not None, i))
+            assert [r["chunk"] for r in chunks] == list(range(len(chunks))) and {r["n_items"] for r in chunks} == {len(ids)}
+            assert all(len(r["items"]) == 4 for r in chunks[:-1]) and [x["id"] for r in chunks for x in r["items"]] == ids
+    assert seen == [(390 if alike else sum(x[:2] == ("Teacher 0", 0) for x in data), "bigint", 5)]
+
+
 def test_report_lines_stand_in_order(spark):
     rows = spark.createDataFrame([(i % 50, i, [str(i)] * (i % 3)) for i in range(400)], "a int, b int, c array<string>")
     path = run_dir(spark, "lines")
