@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -58,20 +58,23 @@ class Phrases:
     back: np.ndarray
     count: np.ndarray
 
-    def __getitem__(self, which: np.ndarray) -> Phrases:
+    def __getitem__(self, which: np.ndarray | slice) -> Phrases:
         return Phrases(self.words[which], self.low[which], self.back[which], self.count[which])
 
 
+#: Occurrences that are looked at in one step; a phrase of more is alone in its step.
+STEP = 500_000
+
+
 class PhraseIndex:
     """A bidirectional FM-index: the transforms of a sequence of word ids and of its reverse. Id 0 ends a piece."""
 
     def __init__(self, before: np.ndarray, after: np.ndarray):
         self.counts = np.bincount(before)
         self.sides = []
-        for words in (before.astype(np.int64), after.astype(np.int64)):
-            order = np.argsort(words, kind="stable")
-            step = np.empty(len(order), np.int64)  # from a suffix to the one that begins a word earlier
-            step[order] = np.arange(len(order))
+        for words in (before, after):  # four bytes a word
+            step = np.empty(len(words), np.uint32)  # from a suffix to the one that begins a word earlier
+            step[np.argsort(words, kind="stable")] = np.arange(len(words), dtype=np.uint32)
             self.sides.append((words, step))
 
     @classmethod
@@ -83,21 +86,37 @@ class PhraseIndex:
         low = np.cumsum(self.counts) - self.counts
         return Phrases(np.arange(1, len(low))[:, None], low[1:], low[1:], self.counts[1:])
 
-    def longer(self, phrases: Phrases, behind: bool = False) -> Phrases:
-        """Every phrase of one word more, by that word put in front or behind, and how often it occurs. The interval of the
-        other index is the part of the old one that goes on with that word: smaller words come before."""
+    def longer(
+        self, phrases: Phrases, behind: bool = False, keep: Callable[[Phrases], np.ndarray] | None = None, step: int = STEP
+    ) -> Phrases:
+        """Every phrase of one word more, by that word put in front or behind, and how often it occurs; with ``keep`` those
+        that it marks."""
+        found = [x[keep(x)] if keep else x for x in self.steps(phrases, behind, step)]
+        return Phrases(*(np.concatenate([getattr(x, name) for x in found]) for name in ("words", "low", "back", "count")))
+
+    def steps(self, phrases: Phrases, behind: bool = False, step: int = STEP) -> Iterator[Phrases]:
+        """The same in parts, each from about ``step`` occurrences; one part at least."""
+        ends = np.cumsum(phrases.count)
+        at, before = 0, 0
+        while not at or at < len(ends):
+            stop = max(at + 1, int(np.searchsorted(ends, before + step, "right")))
+            yield self._longer(phrases[at:stop], behind)
+            at, before = stop, int(ends[stop - 1]) if stop <= len(ends) else 0
+
+    def _longer(self, phrases: Phrases, behind: bool) -> Phrases:
+        """The interval of the other index is the part of the old one that goes on with that word: smaller words come before."""
         words, step = self.sides[behind]
         low, other = (phrases.back, phrases.low) if behind else (phrases.low, phrases.back)
         parent = np.repeat(np.arange(len(low)), phrases.count)
         begin = np.cumsum(phrases.count) - phrases.count
         place = low[parent] + np.arange(len(parent)) - begin[parent]
-        key = parent << 32 | words[place]
+        key = parent << 32 | words[place].astype(np.int64)
         order = np.argsort(key, kind="stable")
         key = key[order]
         first = np.flatnonzero(np.append(True, key[1:] != key[:-1])) if len(key) else np.zeros(0, np.int64)
         count = np.diff(np.append(first, len(key)))
         of, word = key[first] >> 32, key[first] & 0xFFFFFFFF
-        mine, its = step[place[order[first]]], other[of] + first - begin[of]
+        mine, its = step[place[order[first]]].astype(np.int64), other[of] + first - begin[of]
         columns = [phrases.words[of], word] if behind else [word, phrases.words[of]]
         found = Phrases(np.column_stack(columns), *((its, mine) if behind else (mine, its)), count)
         return found[word > 0]
@@ -136,7 +155,7 @@ def build_index(docs: DataFrame, *, text: str, group: str, depth: int, shard_wor
                 for lang, body in zip(langs[at:stop], as_bytes(batch.column(1)[at:stop]), strict=True):
                     ids = known.setdefault(lang, {_STOP: 0})
                     found = tokens(body)
-                    parts.setdefault(lang, []).append(np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.int64, len(found)))
+                    parts.setdefault(lang, []).append(np.fromiter((ids.setdefault(w, len(ids)) for w in found), np.uint32, len(found)))
                     size[lang] = size.get(lang, 0) + len(found)
                     if size[lang] >= shard_words:
                         yield flush(lang)
@@ -228,37 +247,44 @@ def _gram_rows(shard: int, each: np.ndarray, found: Phrases) -> pa.RecordBatch:
 def frequent_pairs(index: DataFrame, least: int) -> DataFrame:
     """``shard``, ``pairs``: its word pairs that are frequent in all shards together."""
 
+    def grams(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+        shard, lang, words, held = _opened(batch, row)
+        each = _word_hashes(lang, words)
+        for found in held.steps(held.single()):
+            yield _gram_rows(shard, each, found)
+
+    return _frequent(index.mapInArrow(_by_row(grams), _GRAMS), least, "pairs")
+
+
+def _by_row(made: Callable[[pa.RecordBatch, int], Iterator[pa.RecordBatch]]) -> Callable:
+    """``made`` of each row in turn; what it holds of one shard is gone before the next is opened."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
-                shard, lang, words, held = _opened(batch, row)
-                yield _gram_rows(shard, _word_hashes(lang, words), held.longer(held.single()))
+                yield from made(batch, row)
 
-    return _frequent(index.mapInArrow(run, _GRAMS), least, "pairs")
+    return run
 
 
 def _pairs_of(held: PhraseIndex, each: np.ndarray, pairs: np.ndarray) -> Phrases:
-    found = held.longer(held.single())
-    return found[_place(pairs, _hashes(each, found.words))[1]]
+    return held.longer(held.single(), keep=lambda found: _place(pairs, _hashes(each, found.words))[1])
 
 
 def _triples_of(held: PhraseIndex, each: np.ndarray, frequent: np.ndarray, pairs: Phrases) -> Phrases:
     """Three words of which both pairs are frequent."""
-    found = held.longer(pairs)
-    return found[_place(frequent, _hashes(each, found.words[:, :2]))[1]]
+    return held.longer(pairs, keep=lambda found: _place(frequent, _hashes(each, found.words[:, :2]))[1])
 
 
 def frequent_triples(index: DataFrame, pairs: DataFrame, least: int) -> DataFrame:
     """``shard``, ``triples``: the same of three words."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                shard, lang, words, held = _opened(batch, row)
-                each, frequent = _word_hashes(lang, words), _listed(batch, len(_INDEX), row)[0]
-                yield _gram_rows(shard, each, _triples_of(held, each, frequent, _pairs_of(held, each, frequent)))
+    def grams(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+        shard, lang, words, held = _opened(batch, row)
+        each, frequent = _word_hashes(lang, words), _listed(batch, len(_INDEX), row)[0]
+        yield _gram_rows(shard, each, _triples_of(held, each, frequent, _pairs_of(held, each, frequent)))
 
-    return _frequent(index.join(pairs, "shard").select(*_INDEX.names, "pairs").mapInArrow(run, _GRAMS), least, "triples")
+    return _frequent(index.join(pairs, "shard").select(*_INDEX.names, "pairs").mapInArrow(_by_row(grams), _GRAMS), least, "triples")
 
 
 _COUNTS = T.StructType([
@@ -277,37 +303,34 @@ def phrase_counts(index: DataFrame, depth: int, least: int) -> DataFrame:
     release(index.sparkSession)
     triples = frequent_triples(index, pairs, least)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in range(batch.num_rows):
-                _, lang, words, held = _opened(batch, row)
-                each = _word_hashes(lang, words)
-                known = {2 + i: _listed(batch, len(_INDEX) + i, row) for i in range(2)}
-                phrases = _pairs_of(held, each, known[2][0])
-                for size in range(2, depth + 1):
-                    if not len(phrases.low):
-                        break
-                    if size == 3:
-                        phrases = _triples_of(held, each, known[2][0], phrases)
-                    elif size > 3:
-                        behind = size % 2 == 0
-                        phrases = held.longer(phrases, behind)
-                        triple = phrases.words[:, -3:] if behind else phrases.words[:, :3]
-                        phrases = phrases[_place(known[3][0], _hashes(each, triple))[1]]
-                    out, f = phrases, phrases.count
-                    if size in known:
-                        at, inside = _place(known[size][0], _hashes(each, phrases.words))
-                        phrases, count = phrases[inside], known[size][1][at[inside]]
-                        out, f = phrases[count != 0], np.where(count > 0, count, phrases.count)[count != 0]
-                    text = pa.array([b" ".join(map(words.__getitem__, w)) for w in out.words.tolist()], pa.binary()).cast(pa.string())
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([lang] * len(text), pa.string()), text, pa.array(np.full(len(text), size, np.int32)), pa.array(f, pa.int64())],
-                        names=_COUNTS.names,
-                    )
+    def counted(batch: pa.RecordBatch, row: int) -> Iterator[pa.RecordBatch]:
+        _, lang, words, held = _opened(batch, row)
+        each = _word_hashes(lang, words)
+        known = {2 + i: _listed(batch, len(_INDEX) + i, row) for i in range(2)}
+        phrases = _pairs_of(held, each, known[2][0])
+        for size in range(2, depth + 1):
+            if not len(phrases.low):
+                break
+            if size == 3:
+                phrases = _triples_of(held, each, known[2][0], phrases)
+            elif size > 3:
+                behind = size % 2 == 0
+                last = slice(-3, None) if behind else slice(3)
+                phrases = held.longer(phrases, behind, lambda x, last=last: _place(known[3][0], _hashes(each, x.words[:, last]))[1])
+            out, f = phrases, phrases.count
+            if size in known:
+                at, inside = _place(known[size][0], _hashes(each, phrases.words))
+                phrases, count = phrases[inside], known[size][1][at[inside]]
+                out, f = phrases[count != 0], np.where(count > 0, count, phrases.count)[count != 0]
+            text = pa.array([b" ".join(map(words.__getitem__, w)) for w in out.words.tolist()], pa.binary()).cast(pa.string())
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([lang] * len(text), pa.string()), text, pa.array(np.full(len(text), size, np.int32)), pa.array(f, pa.int64())],
+                names=_COUNTS.names,
+            )
 
     # one plan with the triples: the index is dealt by shard once
     listed = index.join(pairs, "shard").join(triples, "shard", "left").select(*_INDEX.names, "pairs", "triples")
-    return listed.mapInArrow(run, _COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return listed.mapInArrow(_by_row(counted), _COUNTS).groupBy("lang", "phrase", "size").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
 
 
 def collocations(

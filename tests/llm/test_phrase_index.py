@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import random
 import re
+import tracemalloc
 from collections import Counter
 
 import numpy as np
@@ -96,3 +97,23 @@ def test_scores_past_64_bits(spark):
     rows = [(f, n, r.randint(f, 10**14), r.randint(f, 10**14)) for f, n, _, _ in rows]
     got = spark.createDataFrame(rows, "f long, n long, l long, r long").selectExpr("f", "n", "l", "r", phrase_index.SCORE + " AS score").collect()
     assert sorted(tuple(x) for x in got) == sorted((f, n, a, b, 1000 * f * n // (a * b)) for f, n, a, b in rows)
+
+
+def test_phrases_are_extended_in_steps():
+    """Steps of any size find the same; what a step holds does not grow with the shard."""
+    r = np.random.default_rng(4)
+    ids = np.append(r.integers(0, 3000, 1_000_000) // r.integers(1, 300, 1_000_000), 0).astype(np.uint32)
+    before, after = phrase_index.PhraseIndex.transforms(ids, 6)
+    tracemalloc.start()
+    held = phrase_index.PhraseIndex(before, after)
+    pairs = held.longer(held.single(), keep=lambda x: x.count >= 100)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 60 * len(ids)
+    whole = held.longer(held.single(), step=10**9)
+    whole = whole[whole.count >= 100]
+    small = held.longer(held.single(), keep=lambda x: x.count >= 100, step=7)
+    for name in ("words", "low", "back", "count"):
+        assert (getattr(pairs, name) == getattr(whole, name)).all() and (getattr(small, name) == getattr(whole, name)).all()
+    none = held.longer(held.single()[:0])
+    assert none.words.shape == (0, 2) and len(none.count) == 0
