@@ -70,7 +70,7 @@ class Tables:
 
     @cached_property
     def remap(self) -> DataFrame:
-        return identity.id_remap(self.students, self.assignments, self.assignment_students)
+        return identity.id_remap(self.students, self.assignments, self.assignment_students, self.tasks)
 
     @cached_property
     def persons(self) -> DataFrame:
@@ -107,7 +107,7 @@ class Tables:
 
     @cached_property
     def marked(self) -> DataFrame:
-        return records.roster_month(self.roster, self.cells)
+        return records.roster_month(self.roster, self.cells, self.tasks)
 
 
 Builder = Callable[[Tables], DataFrame]

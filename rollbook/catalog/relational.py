@@ -70,7 +70,7 @@ def _(t):
     """SELECT s.id, c.student_id IS NOT NULL AS has_class FROM students s LEFT JOIN (SELECT DISTINCT x.student_id FROM assignment_students x JOIN assignments a ON a.id = x.assignment_id AND a.is_active) c ON c.student_id = s.id""",
 )
 def _(t):
-    assigned = identity.assigned_ids(t.assignments, t.assignment_students)
+    assigned = identity.assigned_ids(t.assignments, t.assignment_students, t.tasks)
     return t.students.join(assigned, F.col("id") == assigned["student_id"], "left").select(
         "id", assigned["student_id"].isNotNull().alias("has_class")
     )
@@ -90,7 +90,7 @@ def _(t):
     "SELECT student_id, subject FROM student_subject_tuition WHERE student_id IN (SELECT x.student_id FROM assignment_students x JOIN assignments a ON a.id = x.assignment_id AND a.is_active)",
 )
 def _(t):
-    assigned = identity.assigned_ids(t.assignments, t.assignment_students)
+    assigned = identity.assigned_ids(t.assignments, t.assignment_students, t.tasks)
     return joins.keep_known(t.student_subject_tuition, assigned, "student_id").select("student_id", "subject")
 
 
@@ -303,7 +303,7 @@ def _(t):
 
 @query("w_first_rank", "SELECT identity_key, canonical_id FROM o_canonical")
 def _(t):
-    return identity.canonical_ids(t.students, t.assignments, t.assignment_students)
+    return identity.canonical_ids(t.students, t.assignments, t.assignment_students, t.tasks)
 
 
 @query(
@@ -338,7 +338,7 @@ def _(t):
 def _(t):
     rows = records.scheduled_summary(t.marked, t.holidays, YEAR, MONTH)
     columns = ["id", "name", "subject", "teacher_name", "total_scheduled", "present_count", "percentage", "position"]
-    return records.lowest_first(rows).select(*columns)
+    return records.lowest_first(rows, t.tasks).select(*columns)
 
 
 @query(
@@ -370,7 +370,7 @@ def _(t):
 )
 def _(t):
     rows = records.scheduled_summary(t.marked, t.holidays, YEAR, MONTH)
-    return records.lowest_first(rows).select("id", "subject", "percentage", "position")
+    return records.lowest_first(rows, t.tasks).select("id", "subject", "percentage", "position")
 
 
 @query(

@@ -567,7 +567,7 @@ def _(t):
 )
 def _(t):
     mask = t.roster.select(F.col("id").alias("student_id"), "subject", "days_mask").filter("days_mask <> 0")
-    joined = null_safe_join(t.cells, mask, ["student_id", "subject"], "inner")
+    joined = null_safe_join(t.cells, mask, ["student_id", "subject"], "inner", t.tasks)
     hits = joined.filter(predicates.scheduled_on("days_mask", dates.weekday_of("date"))).join(
         t.holidays.select("date"), "date", "left_anti"
     )

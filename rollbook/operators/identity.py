@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.names import identity_key
 from rollbook.operators.compaction import first_per_key
+from rollbook.operators.spread import spread
 
 
 def with_identity(students: DataFrame) -> DataFrame:
@@ -33,21 +34,21 @@ def person_ids(students: DataFrame) -> DataFrame:
     return joined.select("id", F.coalesce("person_id", "id").alias("person_id"))
 
 
-def assigned_ids(assignments: DataFrame, assignment_students: DataFrame) -> DataFrame:
-    """Distinct students with an active assignment."""
+def assigned_ids(assignments: DataFrame, assignment_students: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Distinct students with an active assignment; ``tasks`` deals the assignments to that many tasks."""
     live = assignments.filter("is_active").select(F.col("id").alias("assignment_id"))
-    return assignment_students.join(live, "assignment_id", "left_semi").select("student_id").distinct()
+    return spread(assignment_students, tasks, "assignment_id").join(spread(live, tasks, "assignment_id"), "assignment_id", "left_semi").select("student_id").distinct()
 
 
 def canonical_ids(
-    students: DataFrame, assignments: DataFrame, assignment_students: DataFrame
+    students: DataFrame, assignments: DataFrame, assignment_students: DataFrame, tasks: int | None = None
 ) -> DataFrame:
-    """``identity_key -> canonical_id``.
+    """``identity_key -> canonical_id``; ``tasks`` as for ``assigned_ids``.
 
     The lowest id that has an active assignment, active students first; then the lowest
     active id; then the lowest id. Four filtered minimums combine on the map side.
     """
-    assigned = assigned_ids(assignments, assignment_students).withColumnRenamed("student_id", "id")
+    assigned = assigned_ids(assignments, assignment_students, tasks).withColumnRenamed("student_id", "id")
     flagged = students.select(
         "id", identity_key().alias("identity_key"), F.coalesce("is_active", F.lit(False)).alias("live")
     ).join(assigned.withColumn("has_class", F.lit(True)), "id", "left")
@@ -63,9 +64,11 @@ def canonical_ids(
     return lowest.filter(F.col("identity_key").isNotNull())
 
 
-def id_remap(students: DataFrame, assignments: DataFrame, assignment_students: DataFrame) -> DataFrame:
-    """``old_id -> canonical_id`` wherever the two differ."""
-    canonical = canonical_ids(students, assignments, assignment_students)
+def id_remap(
+    students: DataFrame, assignments: DataFrame, assignment_students: DataFrame, tasks: int | None = None
+) -> DataFrame:
+    """``old_id -> canonical_id`` wherever the two differ; ``tasks`` as for ``assigned_ids``."""
+    canonical = canonical_ids(students, assignments, assignment_students, tasks)
     return (
         with_identity(students)
         .join(canonical, "identity_key")

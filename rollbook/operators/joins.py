@@ -8,12 +8,22 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from rollbook.operators.spread import spread
 
-def null_safe_join(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str) -> DataFrame:
+
+def null_safe_join(
+    left: DataFrame, right: DataFrame, keys: Sequence[str], how: str, tasks: int | None = None
+) -> DataFrame:
     """Join on equally named keys, NULL matching NULL; the left key columns are kept.
 
-    ``<=>`` is still an equi-join key, so the plan is a hash or sort-merge join.
+    ``<=>`` is still an equi-join key, so the plan is a hash or sort-merge join. ``tasks`` deals
+    both sides to that many tasks by all keys in one struct, which is equal where they are, NULL or not.
     """
+    if tasks:
+        key = F.struct(*[F.col(k).alias(f"k{i}") for i, k in enumerate(keys)])
+        left = spread(left.withColumn("_keys", key), tasks, "_keys")
+        other = spread(right.withColumn("_keys", key).drop(*keys), tasks, "_keys")
+        return left.join(other, "_keys", how).drop("_keys")
     other = right
     for key in keys:
         other = other.withColumnRenamed(key, f"_right_{key}")

@@ -54,10 +54,10 @@ def month_sets(month_cells: DataFrame) -> DataFrame:
     )
 
 
-def roster_month(roster: DataFrame, month_cells: DataFrame) -> DataFrame:
-    """Roster rows with their month sets; empty sets where nothing is recorded."""
+def roster_month(roster: DataFrame, month_cells: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Roster rows with their month sets; empty sets where nothing is recorded. ``tasks`` deals the join to that many."""
     sets = month_sets(month_cells).withColumnRenamed("student_id", "id")
-    joined = null_safe_join(roster, sets, ["id", "subject"], "left")
+    joined = null_safe_join(roster, sets, ["id", "subject"], "left", tasks)
     empty = {f"{s}_days": F.coalesce(f"{s}_days", F.lit(0).cast("long")) for s in STATUSES}
     return joined.withColumns(empty)
 
@@ -116,10 +116,10 @@ def summary_totals(summary: DataFrame) -> DataFrame:
     )
 
 
-def lowest_first(summary: DataFrame) -> DataFrame:
-    """Every row with its ``position`` by percentage, rows without one first, then by id and subject."""
+def lowest_first(summary: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Every row with its ``position`` by percentage, rows without one first, then by id and subject. ``tasks`` sort."""
     order = [F.col("percentage").asc_nulls_first(), F.col("id").asc(), F.col("subject").asc_nulls_first()]
-    return with_position(summary, order)
+    return with_position(summary, order, tasks)
 
 
 def month_grid(marked: DataFrame, holidays: DataFrame, year: int, month: int) -> DataFrame:

@@ -12,6 +12,7 @@ from rollbook.functions.dates import time12
 from rollbook.catalog.registry import Tables
 from rollbook.operators import aggregates, identity
 from rollbook.operators.compaction import latest_per_key
+from rollbook.operators.joins import null_safe_join
 from rollbook.operators.ranking import row_index
 from rollbook.operators.slots import merge_slots
 from rollbook.operators.spread import spread, tasks_for
@@ -495,6 +496,27 @@ def test_large_tables_are_dealt_to_more_tasks(spark):
     assert seen[0] == seen[1] and all(seen[0])
 
 
+def test_identity_and_month_joins_are_dealt(spark):
+    people = [student(i, "Same" if i % 4 == 0 else f"N{i}", korean_name="K" if i % 3 else None) for i in range(1, 40)]
+    classes = [("Monday", s, 600, 660, [1 + i % 39, 1 + i % 5], [1]) for i, s in enumerate(("Math", "Art", None) * 9)]
+    made = [m for i in range(1, 40) for m in marks(i, ("Math", None, "Art")[i % 3], {8: "present", 15: "ta"}, 10 * i)]
+    t = school(spark, people, classes, ("T1",), made)
+    links = [t[x] for x in ("students", "assignments", "assignment_students")]
+    found, seen = build(t, 2024, 1), []
+    for tasks in (None, 37):
+        remap = identity.id_remap(*links, tasks)
+        cells = records.cells(records.month_records(t["attendance"], remap, 2024, 1))
+        month = records.roster_month(found, cells, tasks)
+        marked_cells = null_safe_join(cells, found.select(F.col("id").alias("student_id"), "subject", "days_mask"), ["student_id", "subject"], "inner", tasks)
+        frames = [remap, month, marked_cells]
+        plans = [x._jdf.queryExecution().executedPlan().toString() for x in frames]
+        assert [", 37), REPARTITION_BY_NUM" in p for p in plans] == [tasks is not None] * 3
+        assert [x.columns for x in frames] == [x.columns for x in (seen[-1][1] if seen else frames)]
+        seen.append(([sorted(map(repr, x.collect())) for x in frames], frames))
+    assert seen[0][0] == seen[1][0] and all(seen[0][0])
+    assert any("subject=None" in r and "present_days=128" in r for r in seen[1][0][1])  # NULL meets NULL
+
+
 def test_tasks_follow_the_rows(spark):
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tasks_for(spark, 10 * few, width=10) is None and tasks_for(spark, 10 * few + 1, width=10) == few + 1
