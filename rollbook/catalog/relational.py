@@ -13,6 +13,7 @@ from rollbook.operators.compaction import first_per_key, latest_per_key, nulls_l
 from rollbook.operators.ordering import with_position
 from rollbook.operators.ranking import row_index
 from rollbook.operators.slots import merge_slots
+from rollbook.operators.spread import join_few
 from rollbook.plans import billing, directory, records, schedule
 
 # ---- joins ---------------------------------------------------------------------------------
@@ -24,9 +25,10 @@ from rollbook.plans import billing, directory, records, schedule
 JOIN assignments a ON a.id = x.assignment_id JOIN time_slots ts ON ts.id = a.time_slot_id""",
 )
 def _(t):
+    slots = t.time_slots.withColumnRenamed("id", "time_slot_id")
+    classes = t.assignments.select(F.col("id").alias("assignment_id"), "subject", "time_slot_id")
     return (
-        t.assignments.select(F.col("id").alias("assignment_id"), "subject", "time_slot_id")
-        .join(t.time_slots.withColumnRenamed("id", "time_slot_id"), "time_slot_id")
+        join_few(classes, slots, t.tasks, "time_slot_id", "assignment_id")
         .join(t.assignment_students, "assignment_id")
         .join(t.students.select(F.col("id").alias("student_id"), "name"), "student_id")
         .select("student_id", "assignment_id", "name", "subject", "start_min")

@@ -15,6 +15,7 @@ from rollbook.functions import dates, days, names, predicates, values
 from rollbook.functions import sql as sql_functions
 from rollbook.operators.identity import with_identity
 from rollbook.operators.joins import keep_known, null_safe_join
+from rollbook.operators.spread import join_few
 from rollbook.schema import FOREIGN_KEYS, KEYS
 from rollbook.session import run_dir
 from rollbook.sinks import writers
@@ -290,7 +291,7 @@ def _(t):
 def _(t):
     slots = t.time_slots.withColumnRenamed("id", "time_slot_id")
     end = F.when(F.col("is_active"), dates.time12("end_min"))
-    joined = t.assignments.join(slots, "time_slot_id")
+    joined = join_few(t.assignments, slots, t.tasks, "time_slot_id", "id")
     return joined.select("id", dates.time_range(dates.time12("start_min"), end).alias("text"))
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from rollbook.functions.names import identity_key
 from rollbook.operators.compaction import first_per_key
-from rollbook.operators.spread import spread
+from rollbook.operators.spread import join_dealt, spread
 
 
 def with_identity(students: DataFrame) -> DataFrame:
@@ -37,7 +37,8 @@ def person_ids(students: DataFrame) -> DataFrame:
 def assigned_ids(assignments: DataFrame, assignment_students: DataFrame, tasks: int | None = None) -> DataFrame:
     """Distinct students with an active assignment; ``tasks`` deals the assignments to that many tasks."""
     live = assignments.filter("is_active").select(F.col("id").alias("assignment_id"))
-    return spread(assignment_students, tasks, "assignment_id").join(spread(live, tasks, "assignment_id"), "assignment_id", "left_semi").select("student_id").distinct()
+    dealt = spread(assignment_students, tasks, "assignment_id")
+    return join_dealt(dealt, live, tasks, "assignment_id", "left_semi").select("student_id").distinct()
 
 
 def canonical_ids(

@@ -14,7 +14,7 @@ from rollbook.functions.predicates import hidden_as_of
 from rollbook.operators.compaction import nulls_last
 from rollbook.operators.joins import null_safe_join
 from rollbook.operators.slots import with_merged
-from rollbook.operators.spread import spread
+from rollbook.operators.spread import join_dealt, join_few, spread
 
 
 def schedule_slots(
@@ -49,12 +49,10 @@ def schedule_slots(
     # teachers are resolved on their own narrow rows, not once per student
     refs = spread(teacher_refs(teachers), tasks, "teacher_id")
     taught = assignment_teachers.join(refs, "teacher_id", "left").select("assignment_id", "teacher_ref")
-    joined = (
-        live.join(slots, "time_slot_id")
-        .join(spread(assignment_students, tasks, "assignment_id"), "assignment_id")
-        .join(spread(people, tasks, "student_id"), "student_id")
-        .join(spread(taught, tasks, "assignment_id"), "assignment_id", "left")
-    )
+    timed = join_few(live, slots, tasks, "time_slot_id", "assignment_id")
+    weekly = join_dealt(timed, assignment_students, tasks, "assignment_id")
+    weekly = weekly.join(spread(people, tasks, "student_id"), "student_id")
+    joined = join_dealt(weekly, taught, tasks, "assignment_id", "left")
     keys = ["name_id", "subject", "teacher_ref", "start_min", "end_min"]
     grouped = spread(joined, tasks, *keys).groupBy(*keys).agg(
         F.min("student_id").alias("student_id"),

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from rollbook.functions.dates import time12, weekday_num
 from rollbook.functions.predicates import not_deleted
 from rollbook.operators.aggregates import tally_with_unmarked
-from rollbook.operators.spread import spread
+from rollbook.operators.spread import join_dealt, join_few, spread
 from rollbook.sources.calendar import weekly_dates
 from rollbook.sources.readers import date_range
 
@@ -39,15 +39,11 @@ def teacher_schedule(
     )
     known = named.select(F.col("id").alias("teacher_id"), F.col("name").alias("teacher_name"))
     people = students.select(F.col("id").alias("student_id"), "name", "korean_name")
-    weekly = (
-        live.join(
-            time_slots.select(F.col("id").alias("time_slot_id"), "start_min", "end_min"), "time_slot_id"
-        )
-        .join(assignment_teachers, "assignment_id")
-        .join(spread(known, tasks, "teacher_id"), "teacher_id")
-        .join(spread(assignment_students, tasks, "assignment_id"), "assignment_id")
-        .join(spread(people, tasks, "student_id"), "student_id")
-    )
+    slots = time_slots.select(F.col("id").alias("time_slot_id"), "start_min", "end_min")
+    taught = join_few(live, slots, tasks, "time_slot_id", "assignment_id").join(assignment_teachers, "assignment_id")
+    taught = taught.join(spread(known, tasks, "teacher_id"), "teacher_id")
+    weekly = join_dealt(taught, assignment_students, tasks, "assignment_id")
+    weekly = weekly.join(spread(people, tasks, "student_id"), "student_id")
     marks = date_range(attendance, start, end).filter(not_deleted()).select(
         "student_id", "date", "subject", F.col("status").alias("attendance_status")
     )

@@ -3,6 +3,7 @@
 import datetime as dt
 import itertools
 import random
+import re
 from decimal import Decimal
 
 import pytest
@@ -15,7 +16,7 @@ from rollbook.operators.compaction import latest_per_key
 from rollbook.operators.joins import null_safe_join
 from rollbook.operators.ranking import row_index
 from rollbook.operators.slots import merge_slots
-from rollbook.operators.spread import spread, tasks_for
+from rollbook.operators.spread import join_few, spread, tasks_for
 from rollbook.plans import billing, records, roster, schedule
 from rollbook.schema import SCHEMAS, STATUSES
 from rollbook.sources.calendar import calendar, weekly_dates
@@ -517,6 +518,32 @@ def test_identity_and_month_joins_are_dealt(spark):
     assert any("subject=None" in r and "present_days=128" in r for r in seen[1][0][1])  # NULL meets NULL
 
 
+def test_slots_join_is_not_dealt_by_the_slot_alone(spark):
+    people = [student(i) for i in range(1, 20)]
+    classes = [("Monday", s, 600, 660, [1 + i % 19], [1]) for i, s in enumerate(("Math", "Art", None) * 9)]
+    t = school(spark, people, classes, ("T1",))
+    tables = [t[x] for x in ("students", "teachers", "time_slots", "assignments", "assignment_students", "assignment_teachers")]
+    weekly = schedule.teacher_schedule(dt.date(2024, 1, 8), dt.date(2024, 1, 21), *tables, t["attendance"], tasks=37)
+    for made in (roster.schedule_slots(*tables, tasks=37), weekly):
+        dealt = re.findall(r"hashpartitioning\((time_slot_id[^)]*)\)", made._jdf.queryExecution().executedPlan().toString())
+        assert dealt and all("_lot" in d and d.endswith(", 37") for d in dealt)
+
+
+def test_few_keys_are_joined_by_many_tasks(spark):
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else i % 3) for i in range(900)] + [(None, 1), (7, 1), (7, 1)], "id long, slot int")
+    few = spark.createDataFrame([(0, "a"), (1, "b"), (1, "b"), (1, "c"), (None, "d"), (9, "e")], "slot int, name string")
+    plain, dealt = (join_few(rows, few, tasks, "slot", "id") for tasks in (None, 16))
+    assert plain.columns == dealt.columns
+    assert sorted(map(repr, plain.collect())) == sorted(map(repr, dealt.collect())) and plain.count() > 900
+    one = rows.filter("slot = 1 AND id IS NOT NULL")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        held = join_few(one, few.hint("merge"), 16, "slot", "id").groupBy(F.spark_partition_id()).count().collect()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")
+    assert len(held) > 4
+
+
 def test_tasks_follow_the_rows(spark):
     few = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert tasks_for(spark, 10 * few, width=10) is None and tasks_for(spark, 10 * few + 1, width=10) == few + 1
