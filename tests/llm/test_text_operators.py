@@ -73,6 +73,35 @@ def test_links_of_awkward_vectors(spark, cell_rows):
     assert all(x["kept"] == (x["vec_id"] is not None and x["vec_id"] == x["component"]) for x in got)
 
 
+def test_links_in_turns(spark):
+    """Tiles of a few rows, dealt in several turns, give the links of one tile; every pair meets in one block and tile."""
+    r = np.random.default_rng(5)
+    rows = [(i, r.standard_normal(24).tolist()) for i in range(40)]
+    rows += [(100 + i, (np.array(rows[i % 3][1]) + r.standard_normal(24) * 0.12).tolist()) for i in range(120)]
+    paths = []
+    put, subspace_join.run_dir = subspace_join.run_dir, lambda *a: paths.append(put(*a)) or paths[-1]
+    try:
+        got = subspace_join.near_duplicates(vectors(spark, rows), cell_rows=60, turn_bytes=150_000).collect()
+    finally:
+        subspace_join.run_dir = put
+    assert Counter((x["vec_id"], x["n_links"], x["component"]) for x in got) == plain_links(rows, 0.95)
+    assert 2 <= len(paths) <= 8, len(paths)
+
+
+def test_crowded_cells_are_not_copied_for_each_axis():
+    """Rows that a turn shuffles do not grow with the axes: no more than the parts of a cell ask for."""
+    homes, visitors = np.array([100, 0, 1, 900]), np.array([100, 5, 0, 300])
+    inside, outside = subspace_join._parts(homes, visitors, 200)
+    assert inside.tolist() == [1, 0, 0, 9] and outside.tolist() == [0, 0, 0, 3]
+    space = subspace_join.Subspaces(16, 0.95, 8, 11)
+    turned = space.rotated(np.random.default_rng(1).standard_normal((50, 16)))
+    for axes in (1, 2, 3):
+        rows, cells, own = space.cells(turned, 0, axes)
+        assert own.sum() == 50 and len(rows) < 50 * 1.75**axes
+        home = dict(zip(rows[own].tolist(), map(tuple, cells[own].tolist()), strict=True))
+        assert all(tuple(c) < home[i] for i, c in zip(rows[~own].tolist(), cells[~own].tolist(), strict=True))
+
+
 def test_links_of_the_table(spark):
     table = spark.read.parquet(f"{SF}/embeddings.parquet")
     rows = [(x["vec_id"], x["embedding"]) for x in table.collect()]
